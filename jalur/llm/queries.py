@@ -28,6 +28,23 @@ def op2_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(_read(spark, sf_dir, "documents"), 24)
 
 
+def op3_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import verdicts
+
+    rows = verdicts(_read(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+#: The rules that the URL query is asked for.
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import judge
+
+    return judge(_read(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import item_digest, matches
 
@@ -36,6 +53,15 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), item_digest(F.col("items")).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+def op9_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat_format import digests, read_back, windows
+
+    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = F.lit("\\### Assistant: </turn> ok")
+    added = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
+    return digests(read_back(windows(turns.unionByName(added))))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -47,10 +73,49 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
         "op2_lpt_sharding": op2_lpt_sharding,
+        "op3_line_frequency": op3_line_frequency,
+        "op5_url_filter": op5_url_filter,
         "op8_decontamination": op8_decontamination,
+        "op9_chat_windows": op9_chat_windows,
         "op10_simhash": op10_simhash,
     }
 
 
+_WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
+_FULL = "trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> ''"
+
+_OP3 = f"""
+with d as (select row_number() over () as r, doc_id, coalesce(source, '') as host, coalesce(text, '') as text, {_WORDS} as w from documents),
+windows as (select r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as g from (select r, w, unnest(range(1, len(w) - 1)) as i from d)),
+again as (select r, g from windows group by r, g having count(*) > 1),
+hit as (select r, count(distinct i + k) as n from windows join again using (r, g), (values (0), (1), (2)) as o(k) group by r),
+lines as (select r, doc_id, host, x, regexp_replace(lower(trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), '[0-9]+', '0', 'g') as line
+  from (select r, doc_id, host, unnest(string_split(text, chr(10))) as x from d) where {_FULL}),
+hosts as (select host, count(distinct doc_id) as docs from lines group by host),
+often as (select host, line from lines join hosts using (host) group by host, line having count(distinct doc_id) >= 10 and count(distinct doc_id) > 0.02 * any_value(docs)),
+l as (select r, count(*) - count(distinct x) as dup, sum(length(x)) as chars, sum(if(often.line is null, 0, length(x))) as gone from lines left join often using (host, line) group by r),
+s as (select doc_id, len(w) as n_words, length(array_to_string(w, '')) as word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) as n_symbols,
+  coalesce(dup, 0) as n_dup_lines, coalesce(n, 0) as n_repeat_words, coalesce(gone, 0) as gone, coalesce(chars, 0) as chars from d left join hit using (r) left join l using (r))
+select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as word_chars, cast(n_symbols as bigint) as n_symbols, cast(n_dup_lines as bigint) as n_dup_lines,
+  cast(n_repeat_words as bigint) as n_repeat_words, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+  not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and gone <= 0.7 * chars as kept from s
+"""
+
+_CUT = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+_OP8 = f"""
+with items as (select cast(item_id as varchar) as item, {_CUT} as w from benchmark),
+spans as (select item, w, least(10, len(w)) as k, unnest(range(1, greatest(len(w) - 9, 1) + 1)) as i from items where len(w) > 0),
+windows as (select distinct item, k, array_to_string(w[i:i + k - 1], ' ') as g from spans),
+d as (select row_number() over () as r, doc_id, {_CUT} as w from documents),
+places as (select r, k, i, array_to_string(w[i:i + k - 1], ' ') as g from (select r, w, k, unnest(range(1, len(w) - k + 2)) as i from d, (select distinct k from windows))),
+found as (select r, k, i, item from places join windows using (k, g)),
+words as (select r, count(distinct p) as n from (select r, unnest(range(i, i + k)) as p from found) group by r),
+named as (select r, count(*) as n, string_agg(item, ',' order by item) as s from (select distinct r, item from found) group by r)
+select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(words.n, 0) as bigint) as n_hit, cast(coalesce(named.n, 0) as bigint) as n_items,
+  sha256(coalesce(s, '')) as items_sha256, coalesce(words.n, 0) > 0 as contaminated from d left join words using (r) left join named using (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_line_frequency": _OP3, "op8_decontamination": _OP8}
