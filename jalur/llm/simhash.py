@@ -27,7 +27,7 @@ from .components import connected
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: Pairs of trie nodes that a task holds at once, and pairs of leaves under which a node pair is compared directly.
-FRONTIER, LEAVES = 1 << 18, 64
+FRONTIER, LEAVES = 1 << 15, 32
 
 
 def fingerprint(text: bytes, width: int = 3) -> int:
