@@ -35,6 +35,14 @@ def op3_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import held_out, learn, scored
+
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = scored(docs, learn(docs, _read(spark, sf_dir, "labels")))
+    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 #: The rules that the URL query is asked for.
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
@@ -45,6 +53,13 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(_read(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import without_copies
+
+    rows = without_copies(_read(spark, sf_dir, "documents").select("doc_id", "text"), report=True)
+    return rows.select("doc_id", F.size("cut_places").cast("long").alias("n_cut"), F.array_join("cut_places", ",").alias("cut_places"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import item_digest, matches
 
@@ -74,7 +89,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_byte_bpe": op1_byte_bpe,
         "op2_lpt_sharding": op2_lpt_sharding,
         "op3_line_frequency": op3_line_frequency,
+        "op4_toxicity": op4_toxicity,
         "op5_url_filter": op5_url_filter,
+        "op7_line_dedup": op7_line_dedup,
         "op8_decontamination": op8_decontamination,
         "op9_chat_windows": op9_chat_windows,
         "op10_simhash": op10_simhash,
