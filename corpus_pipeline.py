@@ -4,13 +4,33 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from jalur.llm.common import written
+from jalur.llm.common import ship, written
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score as toxic go."""
+    from jalur.llm.toxicity import clean
+
+    return clean(docs, ship(spark).read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of repeated runs of lines are cut; documents that this leaves without a word go."""
+    from pyspark.sql import functions as F
+
+    from jalur.llm.line_dedup import without_copies
+
+    rows = without_copies(docs, report=True)
+    cut = F.size("cut_places") > 0
+    left = rows.where(~(cut & (F.col("text") == "")))
+    return left.withColumn("n_chars", F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays."""
     from jalur.llm.simhash import one_of_each
 
+    ship(spark)
     return one_of_each(docs)
 
 
@@ -18,7 +38,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage go."""
     from jalur.llm.decontaminate import clean
 
-    return clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return clean(docs, ship(spark).read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,11 +48,12 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     from jalur.llm.bpe import encode
 
+    ship(spark)
     rows = encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     return rows.withColumn("n_tokens", (F.octet_length("token_ids") / 4).cast("long"))
 
 
-STAGES = [("simhash", near_duplicates), ("decontamination", benchmark), ("byte_bpe", tokens)]
+STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("simhash", near_duplicates), ("decontamination", benchmark), ("byte_bpe", tokens)]
 
 #: Tries, automata and merges aren't SQL; tests/llm compares the stages with brute force.
 ORACLE_SQL = None

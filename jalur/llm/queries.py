@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import ship
+
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +55,13 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(_read(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import scan, summary
+
+    rows = scan(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", F.size("licenses").cast("long").alias("n_licenses"), summary("licenses").alias("licenses"), F.round(F.coalesce(F.array_max(F.transform("licenses", lambda x: x["coverage"])), F.lit(0.0)), 4).alias("coverage"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import without_copies
 
@@ -91,6 +100,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_line_frequency": op3_line_frequency,
         "op4_toxicity": op4_toxicity,
         "op5_url_filter": op5_url_filter,
+        "op6_license_scan": op6_license_scan,
         "op7_line_dedup": op7_line_dedup,
         "op8_decontamination": op8_decontamination,
         "op9_chat_windows": op9_chat_windows,

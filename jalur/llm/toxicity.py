@@ -29,8 +29,12 @@ _WORD = re.compile(r"\w+")
 TOXIC, CLEAN, CANDIDATES = 4000, 12_000, 20_000
 #: Letters of the shortest and longest stem; letters from which a term may be misspelt by one edit.
 STEM, MISSPELT = (4, 8), 5
-#: Share of a term's hits that are taken to be misspelt before any is seen.
-SLIPS = 0.02
+#: Share of words from which on a term is dense in a text; share of toxic documents from which on a term is taken though others explain them.
+DENSE, COMMON = 0.007, 0.05
+#: Least log odds of a term, and most clean documents with it for each toxic one.
+ODDS, IMPURE = 3.0, 0.2
+#: Share of a term's hits that are taken to be misspelt before any is seen, and least log odds of a misspelt hit that counts.
+SLIPS, SURE = 0.02, 2.0
 #: Words around a hit that are its context, and what its weight is multiplied by.
 WINDOW, QUOTED, HURLED = 6, 0.1, 1.1
 #: Words of talking about a word, and of address; both in the languages of the corpus.
@@ -38,6 +42,7 @@ ABOUT = frozenset("said says wrote called quote quoted quoting word term slur in
 ADDRESS = frozenset("you your youre ur du dich dein ihr sie tu te toi ton vous tú ti eres usted".split())
 _OPEN, _CLOSE = "\"“«„‘", "\"”»“’"
 _END = "$"  # of a whole word, in the lexicon
+_DENSE = "+"  # before a term that counts only if DENSE of the text's words or more are hits of it
 
 
 class Automaton:
@@ -140,21 +145,36 @@ class Model:
 
     def scorer(self):
         """A function from a text to (score, hits); a hit is (term, word, edits, times, weight)."""
-        automaton, weights, bias = Automaton(sorted(self.weights)), self.weights, self.bias
+        weights, bias = self.weights, self.bias
+        automaton = Automaton(sorted({t.removeprefix(_DENSE) for t in weights}))
+
+        find = automaton.find
 
         def score(text: str | None) -> tuple[float, list[tuple[str, str, int, int, float]]]:
             lower = (text or "").lower()
-            best: dict[str, float] = {}
-            hits = []
-            find = automaton.find
-            for word in sorted(w for w in set(_WORD.findall(lower)) if find(w)):
-                context = max(_context(lower, m) for m in re.finditer(rf"(?<!\w){re.escape(word)}(?!\w)", lower))
-                times = sum(1 for _ in re.finditer(rf"(?<!\w){re.escape(word)}(?!\w)", lower))
-                for term, edits in find(word).items():
-                    weight = context * weights[term][edits]
-                    best[term] = max(weight, best.get(term, 0.0))
-                    hits.append((term, word, edits, times, weight))
-            total = bias + sum(best.values())
+            words = _WORD.findall(lower)
+            exact: dict[str, float] = {}
+            near, hits = 0.0, []
+            found = {w: t for w in set(words) if (t := find(w))}
+            if found:
+                many: Counter = Counter()
+                for w in words:
+                    if w in found:
+                        many.update(t for t, e in found[w].items() if not e)
+                for word in sorted(found):
+                    places = list(re.finditer(rf"(?<!\w){re.escape(word)}(?!\w)", lower))
+                    context = max((_context(lower, m) for m in places), default=1.0)
+                    for t, edits in found[word].items():
+                        for term in (t, _DENSE + t):
+                            if term not in weights or term[0] == _DENSE and (edits or many[t] < DENSE * len(words)):
+                                continue
+                            weight = context * weights[term][edits]
+                            if edits:
+                                near = max(near, weight)
+                            else:
+                                exact[term] = max(weight, exact.get(term, 0.0))
+                            hits.append((term, word, edits, len(places), weight))
+            total = bias + sum(exact.values()) + near
             return 1 / (1 + math.exp(-max(-50.0, min(50.0, total)))), hits
 
         return score
@@ -178,11 +198,15 @@ def held_out(id_col: Column) -> Column:
 
 
 def _terms(text: str) -> set[str]:
-    out: set[str] = set()
-    for w in set(_WORD.findall(text.lower())):
-        out.add(w + _END)
-        out.update(w[:k] for k in range(STEM[0], min(len(w), STEM[1]) + 1))
-    return out
+    """Words and stems of a text, and once more those that are dense in it."""
+    count: Counter = Counter()
+    words = Counter(_WORD.findall(text.lower()))
+    for w, n in words.items():
+        count[w + _END] += n
+        for k in range(STEM[0], min(len(w), STEM[1]) + 1):
+            count[w[:k]] += n
+    least = DENSE * words.total()
+    return {*count, *(_DENSE + t for t, n in count.items() if n >= least)}
 
 
 def _counted(rows: DataFrame, found, schema: str) -> DataFrame:
@@ -222,7 +246,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     if not toxic:
         rows.drop()
         return Model()
-    least = max(2, toxic // 200)
+    least = max(4, toxic // 100)
     often = _counted(rows.df.where("y = 1"), lambda: _terms, "term string, y int, n long").where(F.col("n") >= least).orderBy(F.desc("n"), "term").limit(CANDIDATES)
     names = [r["term"] for r in often.collect()]
     place = {t: k for k, t in enumerate(names)}
@@ -235,29 +259,31 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
         for k in found:
             members[k].add(d)
     odds = lambda a, b: math.log((a + 0.1) / (toxic + 1)) - math.log((b + 0.1) / (clean + 1))
-    able = [k for k, t in enumerate(names) if odds(len(members[k]), in_clean.get(t, 0)) > 3.5 and in_clean.get(t, 0) <= len(members[k]) / 20]
-    # of terms in the same documents the longest stem is the most particular
-    heap = [(-len(members[k]), in_clean.get(names[k], 0), names[k].endswith(_END), -len(names[k]), names[k], k) for k in able]
+    able = [k for k, t in enumerate(names) if odds(len(members[k]), in_clean.get(t, 0)) > ODDS and in_clean.get(t, 0) <= IMPURE * len(members[k])]
+    # of terms in the same documents the purest, the plainest and the longest is the most particular
+    heap = [(-len(members[k]), in_clean.get(names[k], 0), names[k][0] == _DENSE, names[k].endswith(_END), -len(names[k]), names[k], k) for k in able]
     heapq.heapify(heap)
     open_docs, chosen = set(range(toxic)), []
+    core = lambda t: t.strip(_DENSE + _END)
     while heap:
         n, *rest, k = heapq.heappop(heap)
-        left = len(members[k] & open_docs)
-        if left < least:
+        left, all_of = len(members[k] & open_docs), len(members[k])
+        akin = any(core(t).startswith(core(names[k])) or core(names[k]).startswith(core(t)) for t in chosen)
+        if left < least and (akin or all_of < max(4, COMMON * toxic)):
             continue
-        if -n != left:
+        if left >= least and -n != left:
             heapq.heappush(heap, (-left, *rest, k))
             continue
         chosen.append(names[k])
         open_docs -= members[k]
-    hits = _counted(rows.df, lambda: _misspelt(chosen), "term string, y int, n long").collect()
+    hits = _counted(rows.df, lambda: _misspelt([t for t in chosen if t[0] != _DENSE]), "term string, y int, n long").collect()
     rows.drop()
     slips = {(r["term"], r["y"]): r["n"] for r in hits}
     weights = {}
     for t in chosen:
         a, b = len(members[place[t]]), in_clean.get(t, 0)
         near = math.log((slips.get((t, 1), 0) + SLIPS * a + 0.1) / (toxic + 1)) - math.log((slips.get((t, 0), 0) + 0.1) / (clean + 1))
-        weights[t] = (odds(a, b), max(0.0, near))
+        weights[t] = (odds(a, b), 0.0 if t[0] == _DENSE or near < SURE else near)
     return Model(math.log((toxic + 1) / (clean + toxic + 1)), weights)
 
 
