@@ -10,6 +10,7 @@ skipped.  A pre-token of n bytes costs O(n log n) whatever its length.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from heapq import heappop, heappush
 
@@ -21,8 +22,10 @@ from pyspark.sql import types as T
 
 from .common import slices
 
-#: Encoded stretches of text that a worker remembers at most.
-REMEMBERED = 300_000
+#: Encoded pre-tokens, and words, of each generation that a worker remembers at most (some 170 bytes each).
+REMEMBERED = 400_000
+#: A space before white space or at the end.
+_ODD = re.compile(r" (?:\s|\Z)").search
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -31,40 +34,22 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
 
 
-class RankQueue:
-    """Positions by rank; pop gives the least rank and in it the first position."""
-
-    def __init__(self, ranks: int):
-        self.buckets: dict[int, list[int]] = {}
-        self.low, self.mid, self.top = [0] * ((ranks >> 6) + 1), [0] * ((ranks >> 12) + 1), 0
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is None:
-            self.buckets[rank] = [position]
-            a, b = rank >> 6, rank >> 12
-            self.low[a] |= 1 << (rank & 63)
-            self.mid[b] |= 1 << (a & 63)
-            self.top |= 1 << b
-        else:
-            heappush(bucket, position)
-
-    def pop(self) -> tuple[int, int]:
-        b = (self.top & -self.top).bit_length() - 1
-        x = self.mid[b]
-        a = b << 6 | (x & -x).bit_length() - 1
-        x = self.low[a]
-        rank = a << 6 | (x & -x).bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.low[a] &= self.low[a] - 1
-            if not self.low[a]:
-                self.mid[b] &= self.mid[b] - 1
-                if not self.mid[b]:
-                    self.top &= self.top - 1
-        return rank, position
+class Remembered:
+    """What was worked out for short keys, in two generations; the older one goes when the newer is full."""
+
+    def __init__(self, make, at_most: int = REMEMBERED):
+        self.make, self.at_most, self.new, self.old = make, at_most, {}, {}
+
+    def find(self, key: str) -> bytes:
+        if len(key) > 64:
+            return self.make(key)
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(self.new) >= self.at_most:
+            self.old, self.new = self.new, {}
+        self.new[key] = found
+        return found
 
 
 class Codec:
@@ -79,8 +64,11 @@ class Codec:
         self.ranks, self.tokens = ranks, {i: t for t, i in ranks.items()}
         # \s is the White_Space property, without the separators U+001C to U+001F
         self.split = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
-        self.queue = RankQueue(max(ranks.values(), default=0) + 1)
-        self.seen: dict[str, bytes] = {}
+        size = max(ranks.values(), default=0) + 1
+        # bitmaps of the rank queue: a bit for each rank, for each word of low, and for each word of mid; empty between calls
+        self.low, self.mid = [0] * ((size >> 6) + 1), [0] * ((size >> 12) + 1)
+        self.pieces = Remembered(lambda piece: np.array(self.merge(piece.encode()), "<u4").tobytes())
+        self.words = Remembered(lambda word: self._stretch(" " + word))
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token."""
@@ -88,36 +76,69 @@ class Codec:
         whole = ranks.get(piece)
         if whole is not None:
             return [whole]
-        n, queue = len(piece), self.queue
+        n, low, mid, top, get = len(piece), self.low, self.mid, 0, ranks.get
         end, before, pair = list(range(1, n + 1)), list(range(-1, n)), [-1] * n  # of the part that starts here
+        buckets: dict[int, list[int]] = {}
+
+        def push(rank: int, i: int) -> int:
+            """The top bitmap, with position i in the bucket of its rank."""
+            if rank in buckets:
+                heappush(buckets[rank], i)
+                return top
+            buckets[rank] = [i]
+            a = rank >> 6
+            low[a] |= 1 << (rank & 63)
+            mid[a >> 6] |= 1 << (a & 63)
+            return top | 1 << (a >> 6)
+
         for i in range(n - 1):
-            rank = ranks.get(piece[i : i + 2])
+            rank = get(piece[i : i + 2])
             if rank is not None:
                 pair[i] = rank
-                queue.push(rank, i)
-        while queue.top:
-            rank, i = queue.pop()
+                if rank in buckets:
+                    buckets[rank].append(i)
+                else:
+                    buckets[rank] = [i]
+                    a = rank >> 6
+                    low[a] |= 1 << (rank & 63)
+                    mid[a >> 6] |= 1 << (a & 63)
+                    top |= 1 << (a >> 6)
+        while top:
+            b = (top & -top).bit_length() - 1
+            x = mid[b]
+            a = b << 6 | (x & -x).bit_length() - 1
+            x = low[a]
+            rank = a << 6 | (x & -x).bit_length() - 1
+            bucket = buckets[rank]
+            if len(bucket) > 1:
+                i = heappop(bucket)
+            else:
+                i = bucket[0]
+                del buckets[rank]
+                x = low[a] = x & x - 1
+                if not x:
+                    x = mid[b] = mid[b] & mid[b] - 1
+                    if not x:
+                        top &= top - 1
             if pair[i] != rank:
                 continue  # stale
             j = end[i]
-            end[i], pair[j] = end[j], -1
-            k = end[i]
+            k = end[i] = end[j]
+            pair[j] = pair[i] = -1
             if k < n:
                 before[k] = i
-                new = ranks.get(piece[i : end[k]])
-                pair[i] = -1 if new is None else new
+                new = get(piece[i : end[k]])
                 if new is not None:
-                    queue.push(new, i)
-            else:
-                pair[i] = -1
+                    pair[i] = new
+                    top = push(new, i)
             h = before[i]
             if h >= 0:
-                new = ranks.get(piece[h:k])
+                new = get(piece[h:k])
                 if new is None:
                     pair[h] = -1
                 elif new != pair[h]:
                     pair[h] = new
-                    queue.push(new, h)
+                    top = push(new, h)
         out, i = [], 0
         while i < n:
             out.append(ranks[piece[i : end[i]]])
@@ -125,32 +146,27 @@ class Codec:
         return out
 
     def _stretch(self, stretch: str) -> bytes:
-        ids: list[int] = []
-        for piece in self.split(stretch):
-            ids += self.merge(piece.encode())
-        packed = np.array(ids, "<u4").tobytes()
-        if len(stretch) < 64:
-            if len(self.seen) >= REMEMBERED:
-                self.seen.clear()
-            self.seen[stretch] = packed
-        return packed
+        known, find = self.pieces.new, self.pieces.find
+        return b"".join([known.get(piece) or find(piece) for piece in self.split(stretch)])
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian 32-bit numbers, one after another.
 
         A pre-token always starts at a space that no white space follows, so the
-        text is cut there and stretches seen before are looked up.
+        text is cut there and words seen before, with that space, are looked up.
         """
-        seen, out, words = self.seen, [], text.split(" ")
-        held = words[0]
+        known, find, words = self.words.new, self.words.find, text.split(" ")
+        if not _ODD(text):
+            out = [known.get(word) or find(word) for word in words[1:]]
+            return b"".join([self._stretch(words[0]), *out])
+        out, held = [], words[0]
         for word in words[1:]:
             if word and not word[0].isspace():
-                out.append(seen.get(held) or self._stretch(held))
+                out.append(self._stretch(held))
                 held = " " + word
             else:
                 held += " " + word
-        out.append(seen.get(held) or self._stretch(held))
-        return b"".join(out)
+        return b"".join([*out, self._stretch(held)])
 
     def decode(self, ids: bytes | list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist() if isinstance(ids, bytes) else ids))
