@@ -27,6 +27,8 @@ from .common import Table, let, text_key
 _SPACES, _WORD = " \t\n\x0b\x0c\r", r"[^\x20\x09-\x0D]+"
 #: Documents with cut lines that are sent to all executors at most, by total number of cut lines; beyond, the join shuffles.
 BROADCAST_LINES = 1_000_000
+#: Repeated line ids (12 bytes each) that are sent to all executors at most; beyond, the join shuffles and splits hot ids.
+BROADCAST_IDS = 250_000
 
 
 def _lines(docs: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -39,7 +41,9 @@ def _lines(docs: DataFrame, id_col: str, text: str) -> DataFrame:
 
 def _segments(lines: DataFrame, min_words: int) -> DataFrame:
     """Unbroken stretches of repeated lines, with min_words words or more, as rows: id, key, x (an array of lines)."""
-    again = lines.groupBy("h", "g").count().where("count > 1").select("h", "g")
+    again = Table(lines.groupBy("h", "g").count().where("count > 1").select("h", "g")).df
+    if again.count() <= BROADCAST_IDS:
+        again = F.broadcast(again)
     repeated = lines.join(again, ["h", "g"], "left_semi")
     stretch = F.col("nth") - F.dense_rank().over(W.partitionBy("id", "key").orderBy("nth"))
     rows = repeated.withColumn("stretch", stretch).groupBy("id", "key", "stretch").agg(F.sort_array(F.collect_set(F.struct("nth", "place", "h", "g", "words"))).alias("x")).drop("stretch")
