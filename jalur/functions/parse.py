@@ -32,7 +32,7 @@ EVIDENCE = ["seg2_norm", "seg3_norm", "seg4_norm", "seg5_norm", "tail2_norm", "t
 
 def _first(text: Column, patterns: tuple[str, ...]) -> Column:
     """The group of the first pattern that is found."""
-    return F.coalesce(*[F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in patterns])
+    return F.coalesce(*[F.get(F.regexp_extract_all(text, F.lit(p), F.lit(1)), F.lit(0)) for p in patterns])
 
 
 def _found(text: Column, pattern: str) -> Column:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Texts that stand for null.
-NULL_WORDS = ["", "nan", "null", "none", "na", "n/a", "<na>"]
+# Texts that stand for null, besides the empty one.
+NULL_WORDS = ["nan", "null", "none", "na", "n/a", "<na>"]
 
 POSTCODE = r"(?<!\d)(\d{5})(?!\d)"
 
@@ -15,6 +15,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _kept(t: Column, pattern: str, group: int = 0) -> Column:
+    """What the pattern finds first, else null; t is named once, so that nested calls stay small."""
+    return F.get(F.regexp_extract_all(t, F.lit(pattern), F.lit(group)), F.lit(0))
+
+
 def squeezed(c: Column | str) -> Column:
     """Runs of Unicode white space as one space."""
     return F.regexp_replace(col(c), r"(?U)\s+", " ")
@@ -27,8 +32,7 @@ def stripped(c: Column | str) -> Column:
 
 def clean(c: Column | str) -> Column:
     """Stripped and squeezed; null if empty or a null word."""
-    t = squeezed(stripped(col(c).cast("string")))
-    return F.when(~F.lower(t).isin(NULL_WORDS), t)
+    return _kept(squeezed(stripped(col(c).cast("string"))), r"(?is)^(?!(?:" + "|".join(NULL_WORDS) + r")$).+$")
 
 
 def upper_clean(c: Column | str) -> Column:
@@ -38,8 +42,7 @@ def upper_clean(c: Column | str) -> Column:
 
 def segment(c: Column | str) -> Column:
     """Upper case, letters and digits and single spaces only; null if nothing is left."""
-    t = F.trim(F.regexp_replace(F.regexp_replace(upper_clean(c), r"[^A-Z0-9 ]", " "), " +", " "))
-    return F.nullif(t, F.lit(""))
+    return _kept(F.trim(F.regexp_replace(F.regexp_replace(upper_clean(c), r"[^A-Z0-9 ]", " "), " +", " ")), r"^.+$")
 
 
 def padded(c: Column | str) -> Column:
@@ -49,7 +52,7 @@ def padded(c: Column | str) -> Column:
 
 def postcode(c: Column | str) -> Column:
     """The first five digits that stand alone."""
-    return F.nullif(F.regexp_extract(clean(c), POSTCODE, 1), F.lit(""))
+    return _kept(clean(c), POSTCODE, 1)
 
 
 def postcode_digits(c: Column | str) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.parse import EVIDENCE
 from ..functions.text import clean, postcode_label, title, upper_clean
+from ..sources.tables import written
 from .dedupe import first_rows
 
 #: Rows of a lookup that are sent to all executors at most; beyond, joins shuffle.
@@ -59,7 +60,7 @@ def best_match(df: DataFrame, lookup: DataFrame, name: str, keep: list[str], row
     """
     names = lookup.withColumn("_n", upper_clean(name)).where("_n is not null").select(*[F.col(c).alias(f"_m_{c}") for c in dict.fromkeys([*keep, *within])], "_n", F.col("_ord").alias("_m_ord"))
     cols = [c for c in evidence if c in df.columns]
-    rows = df.select(F.col(row_key).alias("_k"), F.coalesce("address_norm", F.lit(" ")).alias("_norm"), F.array_distinct(F.array_compact(F.array(*[clean(c) for c in cols]))).alias("_ev"), *[clean(c).alias(f"_w_{c}") for c in within])
+    rows = written(df.select(F.col(row_key).alias("_k"), F.coalesce("address_norm", F.lit(" ")).alias("_norm"), F.array_distinct(F.array_compact(F.array(*[clean(c) for c in cols]))).alias("_ev"), *[clean(c).alias(f"_w_{c}") for c in within]))
     cases = rows.groupBy("_norm", "_ev", *[f"_w_{c}" for c in within]).agg(F.min("_k").alias("_case"))
     agrees = F.lit(True)
     for c in within:

@@ -68,9 +68,9 @@ def ascending(df: DataFrame, *columns: str) -> DataFrame:
     return df.orderBy(*[F.col(c).asc_nulls_last() for c in columns])
 
 
-def oldest(df: DataFrame, statuses: list[str], at: str, id_col: str, before: Column, limit: int) -> DataFrame:
+def oldest(df: DataFrame, statuses: list[str], at: str, id_col: str, before: Column, limit: int, status: str = "status") -> DataFrame:
     """Rows of a status whose time is before the cutoff, oldest first."""
-    return df.where(F.col("status").isin(statuses) & (F.col(at) < before)).orderBy(F.col(at), F.col(id_col)).limit(limit)
+    return df.where(F.col(status).isin(statuses) & (F.col(at) < before)).orderBy(F.col(at), F.col(id_col)).limit(limit)
 
 
 def summary(*columns: str) -> Column:
@@ -115,7 +115,7 @@ def tallies(df: DataFrame, groups: dict[str, list[str]], status: str = "status")
 def rates(events: DataFrame, at: str, kind: str, width: str = "5 minutes") -> DataFrame:
     """Events of each kind in windows of time, and how many a second."""
     w = events.groupBy(F.window(at, width).alias("w"), kind).agg(F.count("*").alias("events"))
-    return w.select(F.col("w.start").alias("window_start"), kind, "events", (F.col("events") / (F.col("w.end").cast("long") - F.col("w.start").cast("long"))).alias("per_second"))
+    return w.select(F.col("w.start").alias("window_start"), kind, "events", (F.col("events") / (F.col("w.end").cast("timestamp").cast("long") - F.col("w.start").cast("timestamp").cast("long"))).alias("per_second"))
 
 
 def histogram(events: DataFrame, value: str, bounds: list[float], by: list[str] = ()) -> DataFrame:

@@ -95,7 +95,7 @@ def x7_x8_address_text_and_distance(spark, d):
 
 
 @query(f"""with {ADDRESSES} select id, cast(id as varchar) as premise_no, 'JALAN' as street_name_prefix, c_mktsegment as street_name, r_name as locality_name, 'TAMAN ' || (id % 7) as sub_locality_1, replace(n_name, '_', ' ') as sub_locality_2,
- cast(10000 + id % 90000 as varchar) as postcode, 'JALAN ' || c_mktsegment as seg2_norm, replace(n_name, 'NATION_', '') || ' ' || r_name as tail2_norm, upper(address) as address_clean from addr""")
+ cast(10000 + id % 90000 as varchar) as postcode, 'JALAN ' || c_mktsegment as seg2_norm, case when r_name like '% %' then r_name else replace(n_name, 'NATION_', '') || ' ' || r_name end as tail2_norm, upper(address) as address_clean from addr""")
 def x9_x10_parse(spark, d):
     out = parse.parse(samples.addresses(spark, d), "address").withColumn("mukim_name", F.lit(None).cast("string"))
     return parse.resolve_sub_localities(out).select("id", "premise_no", "street_name_prefix", "street_name", "locality_name", "sub_locality_1", "sub_locality_2", "postcode", "seg2_norm", "tail2_norm", "address_clean")
@@ -108,7 +108,7 @@ _TYPE_WORDS = ["Menara", "Hospital", "Gudang", "Plaza", "Kampung", "Rumah", "Oth
  (['R', 'O', 'I', 'C', 'R', 'R', 'U'])[p_partkey % 7 + 1] as type_code from part""")
 def x12_x21_types(spark, d):
     word = F.array(*[F.lit(w) for w in _TYPE_WORDS])[(F.col("p_partkey") % 7).cast("int")]
-    out = table(spark, d, "part").withColumn("building", F.concat(word, F.lit(" "), "p_partkey")).withColumn("address_type", parse.address_type("building", "p_name"))
+    out = table(spark, d, "part").withColumn("building", F.concat(word, F.lit(" "), "p_partkey")).withColumn("address_type", parse.address_type("building"))
     return out.select("p_partkey", "address_type", codes.type_code("address_type").alias("type_code"))
 
 
@@ -285,7 +285,7 @@ def j10_a1_m7_spatial_reassignment(spark, d):
     return spatial.change_counts(spatial.reassigned(p, {"state_id": samples.bands(spark, d)}), ["state_id"])
 
 
-@query("""with h as (select c_custkey, lon, lat, n_nationkey from customer, lateral (select case when c_custkey % 2 = 0 then c_custkey % 100 + 0.5 end as lon, case when c_custkey % 2 = 0 then c_custkey * 7 % 100 + 0.5 end as lat) left join nation on n_nationkey = (lat // 20) * 5 + lon // 20)
+@query("""with h as (select c_custkey, lon, lat, n_nationkey from customer, lateral (select case when c_custkey % 2 = 0 then c_custkey % 100 + 0.5 end as lon, case when c_custkey % 2 = 0 then c_custkey * 7 % 100 + 0.5 end as lat) left join nation on n_nationkey = floor(lat / 20) * 5 + floor(lon / 20))
 select c_custkey as id, case when n_nationkey is not null and (c_custkey % 4 <> 0 or n_nationkey = c_nationkey) then printf('%02d', n_nationkey) when c_custkey % 4 = 0 then printf('%02d', c_nationkey) end as district_code,
  coalesce(n_nationkey is not null and (c_custkey % 4 <> 0 or n_nationkey = c_nationkey), false) as district_from_boundary, coalesce(c_custkey % 4 = 0 and n_nationkey <> c_nationkey, false) as district_boundary_conflict from h join customer using (c_custkey)""")
 def j9_boundary_enrichment(spark, d):
@@ -438,9 +438,9 @@ def a4_surplus(spark, d):
 
 
 _CHECKS = """with s as (select printf('%02d', n_nationkey % 20) as state_code, case when n_nationkey % 8 = 0 then ' ' else n_name end as state_name from nation),
-p as (select case when c_custkey % 50 = 0 then '' else cast(c_custkey % 1000 as varchar) end as postcode, c_mktsegment as postcode_name, c_custkey as at from customer),
+p as (select case when c_custkey % 50 = 0 then '' else cast(c_custkey % 1000 as varchar) end as postcode, c_mktsegment as postcode_name, c_custkey as staged from customer),
 l as (select p_partkey as locality_id, case when p_partkey % 2 = 0 then 'machinery ' else 'BUILDING' end as locality_name from part),
-sp as (select upper(trim(postcode_name)) as name from (select *, row_number() over (partition by postcode order by at desc) as rn from p where postcode <> '') where rn = 1),
+sp as (select upper(trim(postcode_name)) as name from (select *, row_number() over (partition by postcode order by staged desc) as rn from p where postcode <> '') where rn = 1),
 c as (select 'state_missing_state_code' as check_name, 'error' as severity, 0 as n union all select 'state_missing_state_name', 'error', (select count(*) from s where trim(state_name) = '') union all
  select 'state_duplicate_state_code', 'error', (select sum(x - 1) from (select count(*) as x from s group by state_code having count(*) > 1)) union all select 'postcode_missing_postcode', 'error', (select count(*) from p where postcode = '') union all
  select 'postcode_missing_postcode_name', 'error', 0 union all select 'postcode_duplicate_postcode', 'error', coalesce((select sum(x - 1) from (select count(*) as x from p where postcode <> '' group by postcode having count(*) > 1)), 0) union all
@@ -576,7 +576,7 @@ def o2_open_first(spark, d):
 
 @query("""select o_orderkey from orders where o_orderstatus in ('O', 'P') and o_orderdate < timestamp '1998-01-01' order by o_orderdate, o_orderkey limit 25""")
 def o6_f10_oldest(spark, d):
-    return reads.oldest(table(spark, d, "orders"), ["O", "P"], "o_orderdate", "o_orderkey", F.lit("1998-01-01").cast("timestamp"), 25).select("o_orderkey")
+    return reads.oldest(table(spark, d, "orders"), ["O", "P"], "o_orderdate", "o_orderkey", F.lit("1998-01-01").cast("timestamp"), 25, "o_orderstatus").select("o_orderkey")
 
 
 @query("""select c_custkey, c_name from customer where c_name ilike '%000007%' or c_mktsegment ilike '%000007%' or cast(c_custkey as varchar) = '000007'""")
@@ -690,7 +690,7 @@ def s12_s13_records(spark, d):
 def g1_windowed_stream(spark, d):
     """The events as a stream, counted by hour; each batch has the whole result, the last one stays."""
     schema = table(spark, d, "events").schema
-    s = jobs.messages(spark, f"{d}/events.parquet", schema, fmt="parquet").withWatermark("ts", "1 hour").groupBy("event_type", F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    s = jobs.messages(spark, d, schema, fmt="parquet", names="events.parquet").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 hour").groupBy("event_type", F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
     at = _path(spark, "stream")
     jobs.run_once(s, at, f"{at}-checkpoint", mode="complete")
     out = spark.read.parquet(at)
@@ -707,7 +707,7 @@ def g3_routing(spark, d):
 
 
 @query("""with j as (select event_id as k from events where event_id < 200)
-select k::varchar as job_id, 4 + (k % 2) as moves, case when k % 2 = 0 then 'completed' else 'failed' end as status, 1 + (k % 2) as refused from j""")
+select k::varchar as job_id, 4 as moves, case when k % 2 = 0 then 'completed' else 'failed' end as status, 1 + (k % 2) as refused from j""")
 def g4_g8_job_states(spark, d):
     """Moves of jobs as a stateful stream; a second claim is refused, and a completion after a failure."""
     k = F.col("event_id")

@@ -24,9 +24,9 @@ STATE = "status string, updated_at timestamp, started_at timestamp, recoveries i
 MOVE = "job_id string, event string, from_status string, to_status string, accepted boolean, at timestamp, seconds double, recoveries int"
 
 
-def messages(spark: SparkSession, path: str, schema, files: int = 1, fmt: str = "json") -> DataFrame:
-    """Files of a folder as they come, so many at a time; what was read is in the query's checkpoint."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).format(fmt).load(path)
+def messages(spark: SparkSession, path: str, schema, files: int = 1, fmt: str = "json", names: str = "*") -> DataFrame:
+    """Files of a folder, of these names, as they come, so many at a time; what was read is in the query's checkpoint."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).option("pathGlobFilter", names).format(fmt).load(path)
 
 
 def decoded(lines: DataFrame, body: str = "value") -> DataFrame:
@@ -102,6 +102,12 @@ def run_once(stream: DataFrame, path: str, checkpoint: str, each: Callable[[Data
         if each:
             each(df, batch)
 
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(keep).start()
+    conf, name = stream.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = conf.get(name)
+    conf.set(name, "false")  # with timeouts by processing time there'd be another batch for ever
+    try:
+        query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(keep).start()
+    finally:
+        conf.set(name, before)
     query.awaitTermination()
     return query
