@@ -22,8 +22,8 @@ from pyspark.sql import types as T
 
 from .common import slices
 
-#: Encoded pre-tokens, and words, of each generation that a worker remembers at most (some 170 bytes each).
-REMEMBERED = 400_000
+#: Encoded pre-tokens, and words, of each generation that a worker remembers at most (some 200 bytes each).
+PIECES, WORDS = 250_000, 100_000
 #: A space before white space or at the end.
 _ODD = re.compile(r" (?:\s|\Z)").search
 
@@ -37,7 +37,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Remembered:
     """What was worked out for short keys, in two generations; the older one goes when the newer is full."""
 
-    def __init__(self, make, at_most: int = REMEMBERED):
+    def __init__(self, make, at_most: int):
         self.make, self.at_most, self.new, self.old = make, at_most, {}, {}
 
     def find(self, key: str) -> bytes:
@@ -67,8 +67,8 @@ class Codec:
         size = max(ranks.values(), default=0) + 1
         # bitmaps of the rank queue: a bit for each rank, for each word of low, and for each word of mid; empty between calls
         self.low, self.mid = [0] * ((size >> 6) + 1), [0] * ((size >> 12) + 1)
-        self.pieces = Remembered(lambda piece: np.array(self.merge(piece.encode()), "<u4").tobytes())
-        self.words = Remembered(lambda word: self._stretch(" " + word))
+        self.pieces = Remembered(lambda piece: np.array(self.merge(piece.encode()), "<u4").tobytes(), PIECES)
+        self.words = Remembered(lambda word: self._stretch(" " + word), WORDS)
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token."""

@@ -218,7 +218,13 @@ def _counted(rows: DataFrame, found, schema: str) -> DataFrame:
         of = found()
         for part in slices(batches, "text"):
             for y, text in zip(part.column("y").to_pylist(), part.column("text").to_pylist(), strict=True):
-                count.update((*k, y) if isinstance(k, tuple) else (k, y) for k in of(text or ""))
+                count.update((k, y) for k in of(text or ""))
+            if len(count) > 200_000:
+                yield from batches_of(count)
+                count.clear()
+        yield from batches_of(count)
+
+    def batches_of(count: Counter) -> Iterator[pa.RecordBatch]:
         keys = list(count)
         for lo in range(0, len(keys), 50_000):
             some = keys[lo : lo + 50_000]
@@ -248,20 +254,20 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
         return Model()
     least = max(4, toxic // 100)
     often = _counted(rows.df.where("y = 1"), lambda: _terms, "term string, y int, n long").where(F.col("n") >= least).orderBy(F.desc("n"), "term").limit(CANDIDATES)
-    names = [r["term"] for r in often.collect()]
-    place = {t: k for k, t in enumerate(names)}
-    pairs = _counted(rows.df.where("y = 0"), lambda: lambda x: _terms(x) & place.keys(), "term string, y int, n long")
+    in_all = {r["term"]: r["n"] for r in often.collect()}  # at most CANDIDATES
+    pairs = _counted(rows.df.where("y = 0"), lambda: lambda x: _terms(x) & in_all.keys(), "term string, y int, n long")
     in_clean = {r["term"]: r["n"] for r in pairs.collect()}
+    odds = lambda a, b: math.log((a + 0.1) / (toxic + 1)) - math.log((b + 0.1) / (clean + 1))
+    names = [t for t, a in in_all.items() if odds(a, in_clean.get(t, 0)) > ODDS and in_clean.get(t, 0) <= IMPURE * a]
+    place = {t: k for k, t in enumerate(names)}
     in_toxic = [set(r["terms"]) for r in rows.df.where("y = 1").mapInArrow(_which(place), "terms array<int>").collect()]  # at most TOXIC rows
     # the terms, by what they newly explain
     members: list[set[int]] = [set() for _ in names]
     for d, found in enumerate(in_toxic):
         for k in found:
             members[k].add(d)
-    odds = lambda a, b: math.log((a + 0.1) / (toxic + 1)) - math.log((b + 0.1) / (clean + 1))
-    able = [k for k, t in enumerate(names) if odds(len(members[k]), in_clean.get(t, 0)) > ODDS and in_clean.get(t, 0) <= IMPURE * len(members[k])]
     # of terms in the same documents the purest, the plainest and the longest is the most particular
-    heap = [(-len(members[k]), in_clean.get(names[k], 0), names[k][0] == _DENSE, names[k].endswith(_END), -len(names[k]), names[k], k) for k in able]
+    heap = [(-len(members[k]), in_clean.get(names[k], 0), names[k][0] == _DENSE, names[k].endswith(_END), -len(names[k]), names[k], k) for k in range(len(names))]
     heapq.heapify(heap)
     open_docs, chosen = set(range(toxic)), []
     core = lambda t: t.strip(_DENSE + _END)
