@@ -16,7 +16,7 @@ def json_text(c: Column | str, schema: str | None = None) -> Column:
     t = F.col(c) if isinstance(c, str) else c
     fenced = F.nullif(F.regexp_extract(t, r"(?s)```(?:json)?\s*(.*?)```", 1), F.lit(""))
     bare = F.nullif(F.regexp_extract(t, r"(?s)(\{.*\}|\[.*\])", 1), F.lit(""))
-    text = F.trim(F.coalesce(fenced, bare))
+    text = F.btrim(F.coalesce(fenced, bare), F.lit(" \t\r\n"))
     return F.from_json(text, schema) if schema else text
 
 

@@ -32,11 +32,11 @@ def csv_files(spark: SparkSession, path: str, sep: str = ",", encoding: str = "u
 
 
 def json_files(spark: SparkSession, path: str, multiline: bool | None = None) -> DataFrame:
-    """S3: JSON documents or lines; unless told, lines, and documents if no line is JSON."""
+    """S3: JSON documents or lines; unless told, lines, and documents if a line isn't JSON."""
     paths = expanded(spark, path)
     if multiline is not True:
         df = spark.read.json(paths)
-        if multiline is False or df.columns != ["_corrupt_record"]:
+        if multiline is False or "_corrupt_record" not in df.columns:
             return df
     return spark.read.json(paths, multiLine=True)
 
