@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import base64
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 from heapq import heappop, heappush
 
@@ -23,7 +25,7 @@ from pyspark.sql import types as T
 from .common import slices
 
 #: Encoded pre-tokens, and words, of each generation that a worker remembers at most (some 200 bytes each).
-PIECES, WORDS = 250_000, 100_000
+PIECES, WORDS = 350_000, 50_000
 #: A space before white space or at the end.
 _ODD = re.compile(r" (?:\s|\Z)").search
 
@@ -65,9 +67,11 @@ class Codec:
         # \s is the White_Space property, without the separators U+001C to U+001F
         self.split = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
         size = max(ranks.values(), default=0) + 1
+        #: rank of each pair of bytes, or -1
+        self.two = [[ranks.get(bytes((a, b)), -1) for b in range(256)] for a in range(256)]
         # bitmaps of the rank queue: a bit for each rank, for each word of low, and for each word of mid; empty between calls
         self.low, self.mid = [0] * ((size >> 6) + 1), [0] * ((size >> 12) + 1)
-        self.pieces = Remembered(lambda piece: np.array(self.merge(piece.encode()), "<u4").tobytes(), PIECES)
+        self.pieces = Remembered(lambda piece: _packed(self.merge(piece.encode())), PIECES)
         self.words = Remembered(lambda word: self._stretch(" " + word), WORDS)
 
     def merge(self, piece: bytes) -> list[int]:
@@ -91,9 +95,10 @@ class Codec:
             mid[a >> 6] |= 1 << (a & 63)
             return top | 1 << (a >> 6)
 
+        two = self.two
         for i in range(n - 1):
-            rank = get(piece[i : i + 2])
-            if rank is not None:
+            rank = two[piece[i]][piece[i + 1]]
+            if rank >= 0:
                 pair[i] = rank
                 if rank in buckets:
                     buckets[rank].append(i)
@@ -130,7 +135,14 @@ class Codec:
                 new = get(piece[i : end[k]])
                 if new is not None:
                     pair[i] = new
-                    top = push(new, i)
+                    if new in buckets:
+                        heappush(buckets[new], i)
+                    else:
+                        buckets[new] = [i]
+                        a = new >> 6
+                        low[a] |= 1 << (new & 63)
+                        mid[a >> 6] |= 1 << (a & 63)
+                        top |= 1 << (a >> 6)
             h = before[i]
             if h >= 0:
                 new = get(piece[h:k])
@@ -172,6 +184,13 @@ class Codec:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist() if isinstance(ids, bytes) else ids))
 
 
+def _packed(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 _codecs: dict[tuple[str, str], Codec] = {}
 
 

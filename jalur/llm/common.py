@@ -14,11 +14,18 @@ from pyspark.sql import functions as F
 
 _local: dict[str, str] = {}
 _shipped: set[str] = set()
+_DEFAULT_BATCH, BATCH = "67108864b", "8m"
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Send this package to the executors, so that they needn't have it installed."""
-    sc = spark.sparkContext
+    """Send this package to the executors, so that they needn't have it installed.
+
+    Unless the session says otherwise, batches for Python have BATCH bytes at
+    most, so that long texts don't fill a worker's memory.
+    """
+    sc, name = spark.sparkContext, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) == _DEFAULT_BATCH:
+        spark.conf.set(name, BATCH)
     if sc.applicationId not in _shipped:
         package = Path(__file__).resolve().parent.parent
         path = Path(tempfile.mkdtemp(prefix="jalur-")) / f"{package.name}_package.zip"
