@@ -20,6 +20,11 @@ def _kept(t: Column, pattern: str, group: int = 0) -> Column:
     return F.get(F.regexp_extract_all(t, F.lit(pattern), F.lit(group)), F.lit(0))
 
 
+def _unless(t: Column, wrong) -> Column:
+    """t, null where it's wrong; t is worked out once, without a regular expression."""
+    return F.get(F.filter(F.array(t), lambda x: ~wrong(x)), F.lit(0))
+
+
 def squeezed(c: Column | str) -> Column:
     """Runs of Unicode white space as one space."""
     return F.regexp_replace(col(c), r"(?U)\s+", " ")
@@ -32,7 +37,7 @@ def stripped(c: Column | str) -> Column:
 
 def clean(c: Column | str) -> Column:
     """Stripped and squeezed; null if empty or a null word."""
-    return _kept(squeezed(stripped(col(c).cast("string"))), r"(?is)^(?!(?:" + "|".join(NULL_WORDS) + r")$).+$")
+    return _unless(F.trim(squeezed(col(c).cast("string"))), lambda t: F.lower(t).isin(["", *NULL_WORDS]))
 
 
 def upper_clean(c: Column | str) -> Column:
@@ -42,7 +47,7 @@ def upper_clean(c: Column | str) -> Column:
 
 def segment(c: Column | str) -> Column:
     """Upper case, letters and digits and single spaces only; null if nothing is left."""
-    return _kept(F.trim(F.regexp_replace(F.regexp_replace(upper_clean(c), r"[^A-Z0-9 ]", " "), " +", " ")), r"^.+$")
+    return _unless(F.trim(F.regexp_replace(upper_clean(c), r"[^A-Z0-9]+", " ")), lambda t: t == "")
 
 
 def padded(c: Column | str) -> Column:
