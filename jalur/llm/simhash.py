@@ -18,11 +18,11 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Table, binary_texts, slices, written
+from .common import Table, binary_texts, slices, text_key, written
 from .components import connected
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -206,6 +206,20 @@ def _stars(budget: int):
     return run
 
 
+def _grouped(docs: DataFrame, name: Column, budget: int, width: int, at_most: int = 250_000) -> DataFrame:
+    """docs without the text, with the fingerprint and with the least name in the group."""
+    marked = Table(fingerprints(docs, width=width))
+    least = Table(marked.df.groupBy("fingerprint").agg(F.min(name).alias("least")))
+    edges = Table(links(least.df.select("fingerprint"), budget, at_most))
+    members = connected(edges.df)
+    roots = least.df.join(members.df.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
+    named = roots.groupBy("root").agg(F.min("least").alias("_named"))
+    # only fingerprints in a group of several need the second join
+    groups = written(roots.join(named, "root").select("fingerprint", F.col("_named").alias("least")))
+    edges.drop()
+    return marked.df.join(groups, "fingerprint")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", budget: int = 3, width: int = 3, at_most: int = 250_000) -> DataFrame:
     """One row a document: id_col, fingerprint (signed), component_id.
 
@@ -215,25 +229,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     Null and empty texts have fingerprint 0.  Null ids don't name a component
     unless it has no other.
     """
-    marked = Table(fingerprints(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), width=width))
-    least = Table(marked.df.groupBy("fingerprint").agg(F.min("id").alias("least")))
-    edges = Table(links(least.df.select("fingerprint"), budget, at_most))
-    members = connected(edges.df)
-    roots = least.df.join(members.df.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
-    named = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    # only fingerprints in a group of several need the second join
-    groups = written(roots.join(named, "root").select("fingerprint", "component_id"))
-    edges.drop()
-    return marked.df.join(groups, "fingerprint").select(F.col("id").alias(id_col), "fingerprint", "component_id")
+    rows = _grouped(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), F.col("id"), budget, width, at_most)
+    return rows.select(F.col("id").alias(id_col), "fingerprint", F.col("least").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", budget: int = 3, width: int = 3) -> DataFrame:
-    """docs with one document of each near-duplicate group, the one of the least id; its columns stay.
+    """docs with one document of each near-duplicate group, the one of the least id and then text key; its columns stay.
 
-    Of documents that share that id one stays.
+    Null ids come last.  Rows equal in id and text are one document, of which
+    one row stays; an id alone, null or not, doesn't tell documents apart.
     """
-    groups = near_duplicates(docs, id_col, text, budget, width)
-    gone = Table(groups.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_jl_id")))
-    kept = docs.join(gone.df.distinct(), docs[id_col].eqNullSafe(F.col("_jl_id")), "left_anti")
-    again = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(id_col).count().where("count > 1")
-    return kept if again.isEmpty() else kept.dropDuplicates([id_col])
+    named = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), text_key(text).alias("key"))
+    rows = _grouped(named, F.struct(F.col("id").isNull().alias("nameless"), "id", "key"), budget, width)
+    stays = F.col("id").eqNullSafe(F.col("least.id")) & (F.col("key") == F.col("least.key"))
+    gone = Table(rows.where(~stays).select(F.col("id").alias("_jl_id"), F.col("key").alias("_jl_key")))
+    kept = docs.join(gone.df.distinct(), docs[id_col].eqNullSafe(F.col("_jl_id")) & (text_key(docs[text]) == F.col("_jl_key")), "left_anti")
+    again = rows.where(stays).groupBy("id", "key").count().where("count > 1")
+    return kept if again.isEmpty() else kept.withColumn("_jl_key", text_key(text)).dropDuplicates([id_col, "_jl_key"]).drop("_jl_key")

@@ -76,3 +76,12 @@ def test_edges(spark):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [4, 7, 8]
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
     assert simhash.one_of_each(docs.limit(0)).count() == 0
+
+
+def test_ids_alone_do_not_tell_documents_apart(spark):
+    a, b, c, d, e = ("alpha beta gamma delta", "red green blue white black", "one two three four five six", "north south east west", "salt pepper sugar flour")
+    rows = [(None, a), (1, a), (None, b), (None, c), (7, d), (7, e), (7, e), (9, "East of  eden"), (3, "east of EDEN"), (3, "salt  pepper sugar flour")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(((r.doc_id or -1, r.text) for r in simhash.one_of_each(docs).collect()))
+    # each group keeps one document: of the least id, null last; texts that share an id, or have none, are different documents
+    assert kept == sorted([(1, a), (-1, b), (-1, c), (7, d), (3, "east of EDEN"), (3, "salt  pepper sugar flour")])
