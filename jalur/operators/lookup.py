@@ -72,7 +72,7 @@ def best_match(df: DataFrame, lookup: DataFrame, name: str, keep: list[str], row
     # near: deletion neighbourhoods
     longest = names.agg(F.coalesce(F.max(F.length("_n")), F.lit(0))).first()[0]
     texts = cases.select("*", F.explode("_ev").alias("_e")).where(F.length("_e") <= longest + near[1])
-    probes = texts.select("*", F.explode(_deletions("_e", F.when(F.length("_e") <= 6, near[0]).otherwise(near[1]), near[1])).alias("_d"))
+    probes = texts.select("*", F.explode(_deletions("_e", F.when(F.length("_e") <= 5, near[0]).otherwise(near[1]), near[1])).alias("_d"))
     by_probe = dimension(names.select("*", F.explode(_deletions("_n", F.when(F.length("_n") <= 5, near[0]).otherwise(near[1]), near[1])).alias("_d")))
     close = probes.join(by_probe, "_d").where(agrees & (F.levenshtein("_e", "_n") <= F.when(F.length("_n") <= 5, near[0]).otherwise(near[1])))
     shape = ["_case", "_ev", "_n", *[c for c in names.columns if c.startswith("_m_")]]

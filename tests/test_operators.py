@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -48,6 +49,31 @@ def test_match_within_a_state(spark):
     assert got == {1: 2, 2: 1}
 
 
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_near_matches_against_all_pairs(spark):
+    rng = random.Random(3)
+    names = sorted({"".join(rng.choices("ABCD", k=rng.randint(3, 9))) for _ in range(60)} | {"KLUANG", "SEPANG", "GOMBAK"})
+    texts = [*{"".join(rng.choices("ABCD", k=rng.randint(3, 9))) for _ in range(300)}, "KLOENG", "SIPING", "GUMBEK"]
+    lk = spark.createDataFrame(list(zip(names, range(len(names)), strict=True)), "name string, _ord long")
+    rows = spark.createDataFrame(list(enumerate(texts)), "k long, seg2_norm string").withColumn("address_norm", F.lit(" "))
+    got = {r.k: (r._m__distance, r._m_name) for r in lookup.best_match(rows, lk, "name", ["name"], "k").collect()}
+    want = {}
+    for k, t in enumerate(texts):
+        near = [(d, -len(n), o, n) for o, n in enumerate(names) if (d := edits(t, n)) <= (1 if len(n) <= 5 else 2)]
+        if near:
+            d, _, _, n = min(near)
+            want[k] = (d, n)
+    assert got == want and {len(texts) - 3, len(texts) - 2, len(texts) - 1} <= set(got)
+
+
 def test_duplicates_and_codes(spark):
     df = spark.createDataFrame([(0, "A"), (1, "A"), (2, None), (3, None), (4, "B")], "_row_id long, address_clean string")
     got = {r._row_id: r.d for r in dedupe.duplicates(df, "address_clean", "_row_id", "d").collect()}
