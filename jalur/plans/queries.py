@@ -709,10 +709,15 @@ def g3_routing(spark, d):
 @query("""with j as (select event_id as k from events where event_id < 200)
 select k::varchar as job_id, 4 as moves, case when k % 2 = 0 then 'completed' else 'failed' end as status, 1 + (k % 2) as refused from j""")
 def g4_g8_job_states(spark, d):
-    """Moves of jobs as a stateful stream; a second claim is refused, and a completion after a failure."""
+    """Moves of jobs as a stateful stream, every event a job; the SQL asks for those below 200."""
+    return job_states(spark, d).where(F.col("job_id").cast("long") < 200)
+
+
+def job_states(spark, d):
+    """Each event as a job that moves through the stream; a second claim is refused, and a completion after a failure."""
     k = F.col("event_id")
     steps = F.when(k % 2 == 0, F.array(*map(F.lit, ("uploaded", "queue", "claim", "claim", "complete")))).otherwise(F.array(*map(F.lit, ("uploaded", "queue", "claim", "claim", "fail", "complete"))))
-    log = table(spark, d, "events").where(k < 200).select(k.cast("string").alias("job_id"), F.posexplode(steps).alias("i", "event"), "ts").select("job_id", "event", (F.col("ts") + F.make_dt_interval(secs=F.col("i"))).alias("at"))
+    log = table(spark, d, "events").select(k.cast("string").alias("job_id"), F.posexplode(steps).alias("i", "event"), "ts").select("job_id", "event", (F.col("ts") + F.make_dt_interval(secs=F.col("i"))).alias("at"))
     src, at = _path(spark, "log"), _path(spark, "moves")
     log.write.parquet(src)
     moved = jobs.moves(jobs.messages(spark, src, log.schema, 1000, "parquet"))

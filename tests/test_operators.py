@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from jalur.functions.text import config_bool
 from jalur.operators import cluster, columns, corrections, dedupe, lookup, model_map, reads, snapshot, spatial, validate
-from jalur.plans import config
+from jalur.plans import config, queries
 from jalur.plans.pipeline import Layers, Lookups, standardised
 from jalur.sources import readers, tables, writers
 from jalur.streaming import jobs
@@ -234,3 +234,10 @@ def test_stale_jobs_go_back_to_the_queue():
     s = State()
     out = list(jobs._moves(300)(("j",), iter(()), s))[0].iloc[0]
     assert (out.from_status, out.to_status, out.recoveries, s.new[0], s.new[3]) == ("running", "queued", 2, "queued", 2)
+
+
+def test_every_event_is_a_job(spark, sf_dir):
+    ids = [r.event_id for r in spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id").collect()]
+    assert max(ids) >= 200
+    got = sorted(map(tuple, queries.job_states(spark, sf_dir).collect()))
+    assert got == sorted((str(k), 4, "failed" if k % 2 else "completed", 1 + k % 2) for k in ids)
