@@ -7,11 +7,20 @@ agree wholly in at least one of k + 1 equal blocks, so the trie is built k + 1
 times, each time with another block at the top; under that block only pairs of
 a node with itself need visiting.  These sub-tries are independent, which is
 what deals the join out to tasks.  Sub-tries that are too large for a task are
-dealt out again by the same rule, over the bits that are left.
+dealt out again by the same rule, over the bits that are left, while a block
+of these still parts them.
+
+Two uses.  near_duplicates links documents by one fingerprint of their word
+shingles.  At a similarity of 0.8 five-word shingles differ in some 10 of 64
+bits, beyond what a trie can prune by, so one_of_each lets four fingerprints of
+the single words (which an edit changes a fifth as much) find the pairs, and a
+fingerprint of 512 bits over five-word shingles decides them.
 """
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -22,12 +31,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Table, binary_texts, slices, text_key, written
+from .common import Table, binary_texts, slices, text_key
 from .components import connected
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: Pairs of trie nodes that a task holds at once, and pairs of leaves under which a node pair is compared directly.
 FRONTIER, LEAVES = 1 << 15, 32
+#: Bits of a block by which a sub-trie that is too large is dealt out, at least.
+LEAST_BLOCK = 6
+#: Values of a sub-trie from which on some of them are first compared with all, and so many of them at most.
+CROWD, LEADERS = 256, 16
+#: Fingerprints over words, and 64-bit parts of the one over shingles; words whose hash a worker remembers at most.
+TABLES, PARTS, HASHES = 4, 8, 100_000
 
 
 def fingerprint(text: bytes, width: int = 3) -> int:
@@ -68,6 +83,70 @@ def fingerprints(docs: DataFrame, text: str = "text", out: str = "fingerprint",
     return docs.mapInArrow(run, T.StructType([*rest, T.StructField(out, T.LongType())]))
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """64-bit hashes of 64-bit numbers (two rounds of multiply and shift)."""
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+_SEEDS = _mixed(np.arange(1, TABLES + PARTS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def _majority(hashes: np.ndarray, weights: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """The fingerprint of weighted hashes, 64 bits for each seed: a bit is 1 if set in over half the weight."""
+    total = np.zeros(64 * len(seeds))
+    for lo in range(0, len(hashes), 1 << 11):  # bounded memory for any length
+        bits = np.unpackbits(_mixed(hashes[lo : lo + (1 << 11), None] ^ seeds).view(np.uint8), axis=1, bitorder="little")
+        total += weights[lo : lo + (1 << 11)].astype(np.float32) @ bits.astype(np.float32)
+    return np.packbits(2 * total > weights.sum(), bitorder="little").view(np.uint64)
+
+
+def wide_fingerprint(text: bytes, known: dict[bytes, int], width: int = 5) -> np.ndarray:
+    """TABLES words of 64 bits over the text's words, by how often they occur, then PARTS over its distinct word shingles.
+
+    Fewer words than width: one shingle of them all; none: 0.  known: hashes of words, kept between calls.
+    """
+    words = text.translate(_LOWER).split()
+    if not words:
+        return np.zeros(TABLES + PARTS, np.uint64)
+    if len(known) > HASHES:
+        known.clear()
+    count = Counter(words)
+    for w in count.keys() - known.keys():
+        known[w] = xxhash.xxh64_intdigest(w, 42)
+    once = np.fromiter((known[w] for w in count), np.uint64, len(count))
+    one = _majority(once, np.fromiter(count.values(), np.int64, len(count)), _SEEDS[:TABLES])
+    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    n = max(1, len(h) - width + 1)
+    shingle = np.zeros(n, np.uint64)
+    for k in range(min(width, len(h))):
+        shingle = _mixed(shingle + h[k : k + n])
+    shingle = np.unique(shingle)
+    return np.r_[one, _majority(shingle, np.ones(len(shingle)), _SEEDS[TABLES:])]
+
+
+def wide_budget(similarity: float) -> int:
+    """Bits of the shingle fingerprint that texts of this Jaccard similarity differ in, and one standard deviation."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    n = 64 * PARTS
+    return int(n * share + (n * share * (1 - share)) ** 0.5)
+
+
+def wide_fingerprints(docs: DataFrame, text: str = "text", out: str = "fingerprint", width: int = 5) -> DataFrame:
+    """docs without the text, with wide_fingerprint() as binary. No shuffle."""
+    rest = [f for f in docs.schema.fields if f.name not in (text, out)]
+    names = [f.name for f in rest]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, int] = {}
+        for part in slices(batches, text):
+            found = [wide_fingerprint(x, known, width).tobytes() for x in binary_texts(part.column(text))]
+            yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(found, pa.binary())], names=[*names, out])
+
+    return docs.mapInArrow(run, T.StructType([*rest, T.StructField(out, T.BinaryType())]))
+
+
 class Groups:
     """Sets of positions, joined by arrays of links."""
 
@@ -85,16 +164,38 @@ class Groups:
                 label[:] = up
 
 
-def trie_groups(values: np.ndarray, top: int, budget: int) -> np.ndarray:
-    """For each of the sorted distinct unsigned values the position of the first of its group.
+def trie_groups(values: np.ndarray, top: int, budget: int, wide: np.ndarray | None = None, far: int = 0) -> np.ndarray:
+    """For each of the sorted unsigned values the position of the first of its group.
 
-    Values with the same top bits that differ in budget bits or fewer are in one group.
+    Values with the same top bits are linked if they differ in budget bits or
+    fewer and, if wide has a row of 64-bit parts for each, these in far or fewer.
+    Node pairs all of whose values are in one group already aren't walked any
+    further, so that a crowd of copies doesn't cost its square.
     """
     groups, n = Groups(len(values)), len(values)
+
+    def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        ok = np.bitwise_count(values[i] ^ values[j]) <= budget
+        if wide is not None and ok.any():
+            at = np.flatnonzero(ok)
+            ok[at] = np.bitwise_count(wide[i[at]] ^ wide[j[at]]).sum(1) <= far
+        return ok
+
     key = values >> np.uint64(64 - top) if top else np.zeros(n, np.uint64)
     lo = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if n else np.zeros(0, np.int64)
     hi = np.r_[lo[1:], n] if n else lo
     many = hi - lo > 1
+    for first, end in zip(lo[hi - lo > CROWD].tolist(), hi[hi - lo > CROWD].tolist(), strict=True):
+        # some values against all, which joins a crowd of copies before the walk; the walk finds what this leaves
+        members = np.arange(first, end)
+        alone = members
+        for _ in range(LEADERS):
+            if len(alone) < 2:
+                break
+            i = np.full(len(members), alone[0])
+            at = near(i, members)
+            groups.join(i[at], members[at])
+            alone = alone[1:][~at[alone[1:] - first]]
     todo = [(63 - top, np.stack([lo, hi, lo, hi, np.zeros(len(lo), np.int64)])[:, many])]
     while todo:
         bit, pairs = todo.pop()
@@ -102,8 +203,13 @@ def trie_groups(values: np.ndarray, top: int, budget: int) -> np.ndarray:
             half = pairs.shape[1] // 2
             todo += [(bit, pairs[:, half:]), (bit, pairs[:, :half])]
             continue
+        label = groups.label
+        turns = np.cumsum(np.r_[0, label[1:] != label[:-1]])
+        a, b, c, d, differ = pairs
+        done = (turns[a] == turns[b - 1]) & (turns[c] == turns[d - 1]) & (label[a] == label[c])
+        pairs = pairs[:, ~done]
         a, b, c, d, differ = pairs
-        few = ((b - a) * (d - c) <= LEAVES) | (bit < 0)
+        few = (b - a) * (d - c) <= LEAVES
         if few.any():
             p = pairs[:, few]
             size = (p[1] - p[0]) * (p[3] - p[2])
@@ -111,26 +217,30 @@ def trie_groups(values: np.ndarray, top: int, budget: int) -> np.ndarray:
             nth = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
             width = (p[3] - p[2])[owner]
             i, j = p[0][owner] + nth // width, p[2][owner] + nth % width
-            near = (i < j) & (np.bitwise_count(values[i] ^ values[j]) <= budget)
-            groups.join(i[near], j[near])
+            apart = (i < j) & (label[i] != label[j])
+            i, j = i[apart], j[apart]
+            at = near(i, j)
+            groups.join(i[at], j[at])
             pairs = pairs[:, ~few]
             a, b, c, d, differ = pairs
         if not pairs.shape[1]:
             continue
-        one = np.uint64(1) << np.uint64(bit)
 
-        def middle(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-            """Where, in a node's values, those with this bit set begin."""
+        def middle(lo: np.ndarray, hi: np.ndarray, bit: int = bit) -> np.ndarray:
+            """Where, in a node's values, those with this bit set begin; halfway in a node of equal values."""
+            if bit < 0:
+                return (lo + hi) // 2
+            one = np.uint64(1) << np.uint64(bit)
             return np.clip(np.searchsorted(values, values[lo] & ~((one << np.uint64(1)) - np.uint64(1)) | one), lo, hi)
 
-        m, o, same = middle(a, b), middle(c, d), a == c
-        below = [np.stack([a, m, c, o, differ]), np.stack([m, b, o, d, differ]), np.stack([a, m, o, d, differ + 1]), np.stack([m, b, c, o, differ + 1])[:, ~same]]
+        m, o, same, step = middle(a, b), middle(c, d), a == c, int(bit >= 0)
+        below = [np.stack([a, m, c, o, differ]), np.stack([m, b, o, d, differ]), np.stack([a, m, o, d, differ + step]), np.stack([m, b, c, o, differ + step])[:, ~same]]
         pairs = np.concatenate(below, axis=1)
         alive = (pairs[0] < pairs[1]) & (pairs[2] < pairs[3]) & (pairs[4] <= budget)
         alive &= ~((pairs[0] == pairs[2]) & (pairs[1] - pairs[0] == 1))
         pairs = pairs[:, alive]
         if pairs.shape[1]:
-            todo.append((bit - 1, pairs))
+            todo.append((max(bit - 1, -1), pairs))
     return groups.label
 
 
@@ -138,27 +248,34 @@ def _rotated(fp: str, by: int) -> str:
     return f"(shiftleft({fp}, {by}) | shiftrightunsigned({fp}, {64 - by}))" if by else fp
 
 
-def links(values: DataFrame, budget: int = 3, at_most: int = 250_000) -> DataFrame:
-    """Edges (u, v) that join all distinct fingerprints within budget bits to their groups.
+def links(values: DataFrame, budget: int = 3, at_most: int = 250_000, far: int | None = None) -> DataFrame:
+    """Edges (u, v) that join nodes to their groups.
 
-    values: one column fingerprint, distinct.  Of each sub-trie every group is
-    returned as a star, so there are at most budget + 1 edges a fingerprint, or
-    that many times more where sub-tries of over at_most values were split.
+    values: fingerprint (signed), node, and with far also wide (binary) and path,
+    the number of the fingerprint where a node has several.  Nodes are linked if
+    a fingerprint of theirs differs in budget bits or fewer, and wide in far or
+    fewer.  Of each sub-trie every group is returned as a star, so there are at
+    most budget + 1 edges a fingerprint, or that many times more where sub-tries
+    of over at_most values were split.
     """
     spark, blocks = values.sparkSession, budget + 1
     width = 64 // blocks
+    carried = ["node", *(["wide"] if far is not None else [])]
     # value: rotated so that the block is on top, turn: by how much, fixed: bits at the top that sub-trie members share
-    level = values.select(F.explode(F.array(*[F.struct(F.expr(_rotated("fingerprint", b * width)).alias("value"), F.lit(b * width).alias("turn"), F.lit(width).alias("fixed"), F.lit(0).alias("path")) for b in range(blocks)])).alias("x")).select("x.*")
-    head = lambda: F.expr("shiftrightunsigned(value, 64 - fixed)")
-    level = Table(level.withColumn("head", head()))
+    turned = F.explode(F.array(*[F.struct(F.expr(_rotated("fingerprint", b * width)).alias("value"), F.lit(b * width).alias("turn")) for b in range(blocks)]))
+    path = F.col("path").cast("long") if "path" in values.columns else F.lit(0).cast("long")
+    level = values.select(turned.alias("x"), F.lit(width).alias("fixed"), path.alias("path"), *carried).select("x.*", "fixed", "path", *carried)
+    head = F.expr("shiftrightunsigned(value, 64 - fixed)")
+    on = ["path", "turn", "fixed", "head"]
+    level = Table(level.withColumn("head", head))
     ready: list[Table] = []
-    for _ in range(2):
-        sizes = level.df.groupBy("path", "turn", "fixed", "head").count().where(F.col("count") > at_most)
+    while True:
+        # a block of fewer bits than this deals out less than it repeats
+        sizes = level.df.where(f"(64 - fixed) div {blocks} >= {LEAST_BLOCK}").groupBy(*on).count().where(F.col("count") > at_most)
         large = Table(sizes.drop("count"))
         if large.df.isEmpty():
             large.drop()
             break
-        on = ["path", "turn", "fixed", "head"]
         ready.append(Table(level.df.join(large.df, on, "left_anti")))
         hot = level.df.join(large.df, on, "left_semi")
         # the bits below the shared ones, once more in blocks: block b of the rest comes next to the shared ones
@@ -168,9 +285,8 @@ def links(values: DataFrame, budget: int = 3, at_most: int = 250_000) -> DataFra
             step = f"({b} * (64 - fixed) div {blocks})"
             tail = f"(value & (shiftleft(1L, {rest}) - 1))"
             moved = f"(shiftleft({tail}, {step}) | shiftrightunsigned({tail}, {rest} - {step})) & (shiftleft(1L, {rest}) - 1)"
-            parts.append(F.struct(F.expr(f"(value & ~(shiftleft(1L, {rest}) - 1)) | ({moved})").alias("value"), F.col("turn"), F.expr(f"fixed + (64 - fixed) div {blocks}").alias("fixed"), (F.col("path") * (blocks + 1) + b + 1).alias("path"), F.col("origin")))
-        hot = hot.withColumn("origin", F.col("origin") if "origin" in hot.columns else F.col("value"))
-        new = Table(hot.select(F.explode(F.array(*parts)).alias("x")).select("x.*").withColumn("head", head()))
+            parts.append(F.struct(F.expr(f"(value & ~(shiftleft(1L, {rest}) - 1)) | ({moved})").alias("value"), F.col("turn"), F.expr(f"fixed + (64 - fixed) div {blocks}").cast("int").alias("fixed"), (F.col("path") * (blocks + 1) + b + 1).alias("path")))
+        new = Table(hot.select(F.explode(F.array(*parts)).alias("x"), *carried).select("x.*", *carried).withColumn("head", head))
         level.drop()
         large.drop()
         level = new
@@ -178,46 +294,41 @@ def links(values: DataFrame, budget: int = 3, at_most: int = 250_000) -> DataFra
     schema = T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType())])
     out = None
     for table in ready:
-        df = table.df if "origin" in table.df.columns else table.df.withColumn("origin", F.col("value"))
-        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // at_most))
-        edges = df.repartition(n, "path", "turn", "fixed", "head").select("value", "turn", "fixed", "path", "origin").mapInArrow(_stars(budget), schema)
+        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-table.df.count() // at_most))
+        edges = table.df.repartition(n, *on).select("value", "turn", "fixed", "path", *carried).mapInArrow(_stars(budget, far), schema)
         out = edges if out is None else out.unionAll(edges)
     return out
 
 
-def _stars(budget: int):
+def _stars(budget: int, far: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches if b.num_rows]
-        if not columns:
+        held = [b for b in batches if b.num_rows]
+        if not held:
             return
-        value, turn, fixed, path, origin = (np.concatenate(x) for x in zip(*columns, strict=True))
+        columns = [[c.to_numpy(zero_copy_only=False) for c in b.columns[:5]] for b in held]
+        value, turn, fixed, path, node = (np.concatenate(x) for x in zip(*columns, strict=True))
+        wide = np.concatenate([np.frombuffer(b"".join(b.column("wide").to_pylist()), np.uint64).reshape(b.num_rows, -1) for b in held]) if far is not None else None
         value = value.view(np.uint64)
         kinds = np.stack([path, turn, fixed])
-        order = np.lexsort((value, *kinds))
-        value, turn, origin, kinds = value[order], turn[order], origin.view(np.uint64)[order], kinds[:, order]
+        order = np.lexsort((node, value, *kinds))
+        value, node, kinds = value[order], node[order], kinds[:, order]
+        if wide is not None:
+            wide = wide[order]
         cut = np.flatnonzero(np.any(kinds[:, 1:] != kinds[:, :-1], axis=0)) + 1
         for lo, hi in zip(np.r_[0, cut], np.r_[cut, len(value)], strict=True):
-            first = trie_groups(value[lo:hi], int(kinds[2, lo]), budget)
+            first = trie_groups(value[lo:hi], int(kinds[2, lo]), budget, None if wide is None else wide[lo:hi], far or 0)
             member = np.flatnonzero(first != np.arange(hi - lo))
-            t, o = np.uint64(turn[lo]), origin[lo:hi]
-            back = (o >> t) | (o << (np.uint64(64) - t)) if t else o
-            yield pa.RecordBatch.from_arrays([pa.array(back[member].view(np.int64)), pa.array(back[first[member]].view(np.int64))], names=["u", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(node[lo:hi][member]), pa.array(node[lo:hi][first[member]])], names=["u", "v"])
 
     return run
 
 
-def _grouped(docs: DataFrame, name: Column, budget: int, width: int, at_most: int = 250_000) -> DataFrame:
-    """docs without the text, with the fingerprint and with the least name in the group."""
-    marked = Table(fingerprints(docs, width=width))
-    least = Table(marked.df.groupBy("fingerprint").agg(F.min(name).alias("least")))
-    edges = Table(links(least.df.select("fingerprint"), budget, at_most))
-    members = connected(edges.df)
-    roots = least.df.join(members.df.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
+def _named(least: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
+    """Of groups of several nodes: the keys of each member, and the least name of the group.  least: keys, node, least."""
+    members = connected(edges)
+    roots = least.join(members.df, "node").select(*keys, "root", "least")
     named = roots.groupBy("root").agg(F.min("least").alias("_named"))
-    # only fingerprints in a group of several need the second join
-    groups = written(roots.join(named, "root").select("fingerprint", F.col("_named").alias("least")))
-    edges.drop()
-    return marked.df.join(groups, "fingerprint")
+    return roots.join(named, "root").select(*keys, F.col("_named").alias("least"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", budget: int = 3, width: int = 3, at_most: int = 250_000) -> DataFrame:
@@ -229,20 +340,38 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     Null and empty texts have fingerprint 0.  Null ids don't name a component
     unless it has no other.
     """
-    rows = _grouped(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), F.col("id"), budget, width, at_most)
+    marked = Table(fingerprints(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), width=width))
+    least = Table(marked.df.groupBy("fingerprint").agg(F.min("id").alias("least")).withColumn("node", F.col("fingerprint")))
+    groups = Table(_named(least.df, links(least.df.select("fingerprint", "node"), budget, at_most), ["fingerprint"]))
+    rest = least.df.join(groups.df, "fingerprint", "left_anti").select("fingerprint", "least")
+    rows = marked.df.join(groups.df.unionByName(rest), "fingerprint")
     return rows.select(F.col("id").alias(id_col), "fingerprint", F.col("least").alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", budget: int = 3, width: int = 3) -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = 0.8, width: int = 5, budget: int = 3, at_most: int = 100_000) -> DataFrame:
     """docs with one document of each near-duplicate group, the one of the least id and then text key; its columns stay.
 
-    Null ids come last.  Rows equal in id and text are one document, of which
-    one row stays; an id alone, null or not, doesn't tell documents apart.
+    Documents are linked if one of their TABLES fingerprints over words differs
+    in budget bits or fewer, and the one over shingles of width words in
+    wide_budget(similarity) or fewer.  Null ids come last.  Rows equal in id and
+    text are one document, of which one row stays; an id alone, null or not,
+    doesn't tell documents apart.  Texts without a word are one group.
     """
     named = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), text_key(text).alias("key"))
-    rows = _grouped(named, F.struct(F.col("id").isNull().alias("nameless"), "id", "key"), budget, width)
+    marked = Table(wide_fingerprints(named, width=width))
+    name = F.struct(F.col("id").isNull().alias("nameless"), "id", "key")
+    least = Table(marked.df.groupBy("fingerprint").agg(F.min(name).alias("least"), F.count("*").alias("rows")).withColumn("node", F.xxhash64("fingerprint")))
+    word = lambda k: F.expr(f"cast(conv(hex(substring(fingerprint, {8 * k + 1}, 8)), 16, -10) as long)")
+    number = [F.struct(F.lit(k).alias("path"), word(k).alias("fingerprint")) for k in range(TABLES)]
+    values = least.df.select("node", F.expr(f"substring(fingerprint, {8 * TABLES + 1}, {8 * PARTS})").alias("wide"), F.explode(F.array(*number)).alias("x")).select("node", "wide", "x.*")
+    groups = Table(_named(least.df, links(values, budget, at_most, wide_budget(similarity)), ["fingerprint"]))
+    # only fingerprints of several rows or of a group can lose a document
+    some = groups.df.unionByName(least.df.where("rows > 1").join(groups.df, "fingerprint", "left_anti").select("fingerprint", "least"))
+    rows = Table(marked.df.join(some, "fingerprint").select("id", "key", "least"))
     stays = F.col("id").eqNullSafe(F.col("least.id")) & (F.col("key") == F.col("least.key"))
-    gone = Table(rows.where(~stays).select(F.col("id").alias("_jl_id"), F.col("key").alias("_jl_key")))
-    kept = docs.join(gone.df.distinct(), docs[id_col].eqNullSafe(F.col("_jl_id")) & (text_key(docs[text]) == F.col("_jl_key")), "left_anti")
-    again = rows.where(stays).groupBy("id", "key").count().where("count > 1")
-    return kept if again.isEmpty() else kept.withColumn("_jl_key", text_key(text)).dropDuplicates([id_col, "_jl_key"]).drop("_jl_key")
+    gone = Table(rows.df.where(~stays).select(F.col("id").alias("_jl_id"), F.col("key").alias("_jl_key")).distinct())
+    kept = docs.join(gone.df, docs[id_col].eqNullSafe(F.col("_jl_id")) & (text_key(docs[text]) == F.col("_jl_key")), "left_anti")
+    again = rows.df.where(stays).groupBy("id", "key").count().where("count > 1").isEmpty()
+    for table in (marked, least, groups, rows):
+        table.drop()
+    return kept if again else kept.withColumn("_jl_key", text_key(text)).dropDuplicates([id_col, "_jl_key"]).drop("_jl_key")

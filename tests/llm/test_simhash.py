@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from jalur.llm import simhash
 from jalur.llm.components import connected
@@ -41,7 +42,7 @@ def test_whole_table(spark, sf_dir):
     assert [r.component_id for r in rows] == brute([r.doc_id for r in rows], [int(r.fingerprint, 16) for r in rows])
 
 
-@pytest.mark.parametrize("at_most", [250_000, 40])
+@pytest.mark.parametrize("at_most", [250_000, 100])
 def test_groups(spark, at_most):
     rng = np.random.default_rng(5)
     base = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
@@ -50,7 +51,7 @@ def test_groups(spark, at_most):
     fps |= {(1 << i) | (3 << 62) for i in range(0, 60)} | {0, (1 << 64) - 1}
     fps = sorted(fps)
     signed = np.array(fps, np.uint64).view(np.int64).tolist()
-    values = spark.createDataFrame([(x,) for x in signed], "fingerprint long")
+    values = spark.createDataFrame([(x, x) for x in signed], "fingerprint long, node long")
     table = connected(simhash.links(values, 3, at_most))
     root = {r.node: r.root for r in table.df.collect()}
     want = brute(list(range(len(fps))), fps)
@@ -69,7 +70,7 @@ def test_long_chain(spark):
 
 def test_edges(spark):
     rows = [(5, None, 1), (4, "", 2), (None, "  \n", 3), (9, "One two", 4), (8, "one  TWO", 5), (8, "one  TWO", 5), (7, "w " * 50_000, 6)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, fingerprint int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fingerprint int").withColumns({"least": F.lit(1), "rows": F.lit(2), "node": F.lit("n")})
     out = simhash.near_duplicates(docs).collect()
     assert sorted((r.doc_id or -1, r.component_id) for r in out) == [(-1, 4), (4, 4), (5, 4), (7, 7), (8, 8), (8, 8), (9, 8)]
     kept = simhash.one_of_each(docs)
@@ -85,3 +86,56 @@ def test_ids_alone_do_not_tell_documents_apart(spark):
     kept = sorted(((r.doc_id or -1, r.text) for r in simhash.one_of_each(docs).collect()))
     # each group keeps one document: of the least id, null last; texts that share an id, or have none, are different documents
     assert kept == sorted([(1, a), (-1, b), (-1, c), (7, d), (3, "east of EDEN"), (3, "salt  pepper sugar flour")])
+
+
+def kept_of(rows, similarity=0.8):
+    """What one_of_each keeps of (id, text), by comparing all pairs of wide fingerprints."""
+    known = {}
+    prints = np.array([simhash.wide_fingerprint((t or "").encode(), known) for _, t in rows]).reshape(len(rows), -1)
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        bits = np.bitwise_count(prints ^ prints[i])
+        linked = (bits[:, : simhash.TABLES].min(1) <= 3) & (bits[:, simhash.TABLES :].sum(1) <= simhash.wide_budget(similarity))
+        same = {label[j] for j in np.flatnonzero(linked)}
+        label = [min(same) if x in same else x for x in label]
+    least = {}
+    for x, (i, t) in zip(label, rows, strict=True):
+        least[x] = min(least.get(x, (True,)), (i is None, -1 if i is None else i, t))
+    return sorted((i, t) for _, i, t in least.values())
+
+
+def edited(rng, words, share):
+    """words with this share of them changed, added or left out."""
+    out = []
+    for w in words:
+        kind = rng.random()
+        out += [] if kind < share / 3 else [w, f"new{rng.integers(1000)}"] if kind < 2 * share / 3 else [f"other{rng.integers(1000)}"] if kind < share else [w]
+    return out
+
+
+def jaccard(a, b):
+    cut = lambda t: {tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))}
+    return len(cut(a) & cut(b)) / len(cut(a) | cut(b))
+
+
+@pytest.mark.parametrize("at_most", [100_000, 400])
+def test_near_copies(spark, at_most):
+    rng = np.random.default_rng(3)
+    rows = []
+    for n in (40, 80, 150, 300, 1000) * 4:
+        words = [f"w{int(x)}" for x in rng.zipf(1.4, n) % 5000]
+        rows += [(" ".join(words)), *(" ".join(edited(rng, words, s)) for s in (0.005, 0.01, 0.02, 0.02, 0.1, 0.3))]
+    crowd = [f"c{int(x)}" for x in rng.integers(0, 3000, 200)]
+    rows += [" ".join(edited(rng, crowd, 0.01)) for _ in range(150)]
+    rows = [(i, t) for i, t in enumerate(rows)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted((r.doc_id, r.text) for r in simhash.one_of_each(docs, at_most=at_most).collect())
+    assert kept == kept_of(rows)
+    if at_most > 1000:  # the decision against exact similarity
+        pairs = [(jaccard(a, b), i, j) for i, (_, a) in enumerate(rows[:140]) for j, (_, b) in enumerate(rows[:140]) if i < j and i // 7 == j // 7]
+        known = {}
+        prints = np.array([simhash.wide_fingerprint(t.encode(), known) for _, t in rows[:140]])
+        linked = lambda i, j: np.bitwise_count(prints[i, : simhash.TABLES] ^ prints[j, : simhash.TABLES]).min() <= 3 and np.bitwise_count(prints[i, simhash.TABLES :] ^ prints[j, simhash.TABLES :]).sum() <= simhash.wide_budget(0.8)
+        close = [linked(i, j) for s, i, j in pairs if s >= 0.8]
+        assert len(close) > 30 and np.mean(close) >= 0.9
+        assert not any(linked(i, j) for s, i, j in pairs if s < 0.6)
