@@ -1,15 +1,17 @@
 """Licence texts and notices in documents.
 
 Method: shingles of the templates' words are winnowed into fingerprints in an
-inverted index.  Fingerprints of a document that are in the index pick
-candidates, a template at an offset; a banded sequence alignment of the template
-with the words there tells how much of it is covered, and where.
+inverted index.  Fingerprints of a document, winnowed alike, that are in the
+index pick candidates, a template at an offset; a banded sequence alignment of
+the template with the words there tells how much of it is covered, and where.
+Every offset of a candidate is aligned, so that copies side by side are each
+found.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -58,11 +60,15 @@ def aligned(template: list[bytes], words: list[bytes], offset: int, band: int) -
     """Matched words, and the span [start, end) of words, of the best alignment of the
     whole template with words, where word i of it lies within band of word i + offset.
 
-    Best: fewest edits (words changed, added, left out), then most matches, then the first.
+    Best: fewest edits (words changed, added, left out), then most matches, then
+    the start nearest to offset, then the first.
     """
-    n, width, far = len(template), 2 * band + 1, (1 << 30, 0, 0)
-    # (edits, -matches, start) of a prefix of the template that ends before word i + offset - band + c
-    row = [(0, 0, j) if 0 <= (j := offset - band + c) <= len(words) else far for c in range(width)]
+    n = len(template)
+    if offset >= 0 and words[offset : offset + n] == template:
+        return n, offset, offset + n
+    width, far = 2 * band + 1, (1 << 30, 0, 0, 0)
+    # (edits, -matches, start's distance, start) of a prefix of the template that ends before word i + offset - band + c
+    row = [(0, 0, abs(j - offset), j) if 0 <= (j := offset - band + c) <= len(words) else far for c in range(width)]
     for i in range(1, n + 1):
         new = []
         for c in range(width):
@@ -70,17 +76,17 @@ def aligned(template: list[bytes], words: list[bytes], offset: int, band: int) -
             best = far
             if 0 <= j <= len(words):
                 if j and row[c] is not far:
-                    e, m, s = row[c]
-                    best = (e, m - 1, s) if template[i - 1] == words[j - 1] else (e + 1, m, s)
+                    e, m, d, s = row[c]
+                    best = (e, m - 1, d, s) if template[i - 1] == words[j - 1] else (e + 1, m, d, s)
                 if c + 1 < width and row[c + 1] is not far:  # the template's word is left out
-                    e, m, s = row[c + 1]
-                    best = min(best, (e + 1, m, s))
+                    e, m, d, s = row[c + 1]
+                    best = min(best, (e + 1, m, d, s))
                 if c and new[c - 1] is not far:  # a word is added
-                    e, m, s = new[c - 1]
-                    best = min(best, (e + 1, m, s))
+                    e, m, d, s = new[c - 1]
+                    best = min(best, (e + 1, m, d, s))
             new.append(best)
         row = new
-    e, m, start, c = min((*x, c) for c, x in enumerate(row))
+    e, m, _, start, c = min((*x, c) for c, x in enumerate(row))
     return -m, start, n + offset - band + c
 
 
@@ -89,25 +95,24 @@ class Scanner:
         self.templates = {name: words_of(text.encode()) for name, text in sorted(templates.items())}
         self.templates = {n: w for n, w in self.templates.items() if w}
         self.vocabulary = {w for words in self.templates.values() for w in words}
+        #: fingerprint: templates and places; the second one is of templates too short for a winnowing window
         self.index: dict[int, list[tuple[str, int]]] = defaultdict(list)
+        self.short: dict[int, list[tuple[str, int]]] = defaultdict(list)
         self.prints: dict[str, int] = {}
         for name, words in self.templates.items():
             hashes = self._hashes(words)
-            places = winnowed(hashes)
+            places, index = (winnowed(hashes), self.index) if len(hashes) >= WINDOW else (range(len(hashes)), self.short)
             self.prints[name] = len(places)
-            # every shingle is indexed: a document's window may choose another than the template's
-            for i, h in enumerate(hashes):
-                self.index[h].append((name, i))
+            for i in places:
+                index[hashes[i]].append((name, i))
 
     @staticmethod
     def _hashes(words: list[bytes]) -> list[int]:
         return [zlib.crc32(b" ".join(words[i : i + SHINGLE])) for i in range(max(1, len(words) - SHINGLE + 1))]
 
-    def scan(self, text: bytes) -> list[tuple[str, float, int, int]]:
-        """(template, share of its words that match, first word, word after the last), by place; of spans that
-        overlap the one with most matched words stays."""
-        words = words_of(text)
-        known, hits, n = self.vocabulary, defaultdict(list), len(words)
+    def _seeds(self, words: list[bytes]) -> dict[str, list[tuple[int, int]]]:
+        """Offsets and places of fingerprints, by template."""
+        known, hits = self.vocabulary, defaultdict(list)
         # a fingerprint in the index lies in an unbroken run of words that templates have
         at = [i for i, w in enumerate(words) if w in known]
         lo = 0
@@ -115,32 +120,49 @@ class Scanner:
             hi = lo
             while hi + 1 < len(at) and at[hi + 1] == at[hi] + 1:
                 hi += 1
-            if hi > lo or n == 1:
-                first = at[lo]
-                hashes = self._hashes(words[first : at[hi] + 1])
-                for k in winnowed(hashes):
-                    for name, place in self.index.get(hashes[k], ()):
-                        hits[name].append((first + k - place, first + k))
+            first = at[lo]
+            hashes = self._hashes(words[first : at[hi] + 1])
+            for index, places in ((self.index, winnowed(hashes)), (self.short, range(len(hashes)) if self.short else ())):
+                for k in places:
+                    for name, place in index.get(hashes[k], ()):
+                        hits[name].append((first + k - place, place))
+            if self.short and hi > lo:  # a template of one word
+                for k in at[lo : hi + 1]:
+                    for name, place in self.short.get(zlib.crc32(words[k]), ()):
+                        hits[name].append((k - place, place))
             lo = hi + 1
-        found = []
-        for name, seeds in hits.items():
+        return hits
+
+    def scan(self, text: bytes) -> list[tuple[str, float, int, int]]:
+        """(template, share of its words that match, first word, word after the last), by place; of spans that
+        overlap the one with most matched words stays."""
+        words = words_of(text)
+        found = set()
+        for name, seeds in self._seeds(words).items():
             template = self.templates[name]
-            band = max(BAND_WORDS, int(BAND * len(template)))
+            band = min(max(BAND_WORDS, int(BAND * len(template))), max(1, len(template) - 1))
+            need = max(1, SEED * self.prints[name])
             seeds.sort()
-            lo = 0
-            while lo < len(seeds):  # seeds of about one offset
-                hi = lo
-                while hi + 1 < len(seeds) and seeds[hi + 1][0] - seeds[lo][0] <= band:
-                    hi += 1
-                if len({p for _, p in seeds[lo : hi + 1]}) >= max(1, SEED * self.prints[name]):
-                    matched, start, end = aligned(template, words, seeds[(lo + hi) // 2][0], band)
-                    if matched >= COVERAGE * len(template):
-                        found.append((matched, -start, name, end, matched / len(template)))
-                lo = hi + 1
+            # offsets in a window of the band's width that has seeds enough
+            places: Counter = Counter()
+            offsets, lo = set(), 0
+            for hi, (offset, place) in enumerate(seeds):
+                places[place] += 1
+                while offset - seeds[lo][0] > band:
+                    places[seeds[lo][1]] -= 1
+                    if not places[seeds[lo][1]]:
+                        del places[seeds[lo][1]]
+                    lo += 1
+                if len(places) >= need:
+                    offsets.update(o for o, _ in seeds[lo : hi + 1] if o not in offsets)
+            for offset in offsets:
+                matched, start, end = aligned(template, words, offset, band)
+                if matched >= COVERAGE * len(template):
+                    found.add((-matched, end - start, start, name, end))
         kept: list[tuple[str, float, int, int]] = []
-        for _, start, name, end, share in sorted(found, key=lambda f: (-f[0], -f[1], f[2])):
-            if all(end <= k[2] or -start >= k[3] for k in kept):
-                kept.append((name, share, -start, end))
+        for matched, _, start, name, end in sorted(found):
+            if all(end <= k[2] or start >= k[3] for k in kept):
+                kept.append((name, -matched / len(self.templates[name]), start, end))
         return sorted(kept, key=lambda k: k[2:])
 
 

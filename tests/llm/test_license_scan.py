@@ -44,6 +44,40 @@ def test_changed_templates_against_whole_alignment():
                 assert name not in got
 
 
+def test_copies_side_by_side():
+    s, r = ls.Scanner(ls.TEMPLATES), random.Random(5)
+    for name, text in ls.TEMPLATES.items():
+        words = [w.decode() for w in words_of(text.encode())]
+        n = len(words)
+        for between in ([], ["baz"], ["foo", "bar", "baz"]):
+            for copies in (2, 3, 5):
+                whole, starts = ["begin"], []
+                for _ in range(copies):
+                    starts.append(len(whole))
+                    whole += [*words, *between]
+                got = [(k, lo, hi) for k, _, lo, hi in s.scan(" ".join(whole).encode())]
+                assert got == [(name, lo, lo + n) for lo in starts], (name, between)
+        if n < 20:
+            continue
+        # copies with some words changed, one right after the other
+        whole, spans = [], []
+        for _ in range(3):
+            changed = list(words)
+            for _ in range(n // 25):
+                k = r.randrange(1, len(changed) - 1)
+                changed[k : k + 1] = r.choice([[], ["other"], [changed[k], "added"]])
+            spans.append((len(whole), len(whole) + len(changed)))
+            whole += changed
+        got = [(lo, hi) for k, _, lo, hi in s.scan(" ".join(whole).encode()) if k == name]
+        assert len(got) == 3 and all(abs(a - c) <= 1 and abs(b - d) <= 1 for (a, b), (c, d) in zip(got, spans, strict=True)), name
+
+
+def test_templates_of_one_and_two_words():
+    s = ls.Scanner({"one": "Proprietary", "two": "No rights", "three": "some public notice"})
+    assert [(n, lo, hi) for n, _, lo, hi in s.scan(b"x proprietary y no rights rights no rights z some public notice")] == [("one", 1, 2), ("two", 3, 5), ("two", 6, 8), ("three", 9, 12)]
+    assert s.scan(b"no right, propriety") == []
+
+
 def test_clean_texts():
     s = ls.Scanner(ls.TEMPLATES)
     for text in (b"", b"the of and in to", b"all the rights of this work are under the software in the hope", b"license " * 5000, b"copy of the software and the license of the copy " * 300):
