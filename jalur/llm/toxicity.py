@@ -13,6 +13,7 @@ from __future__ import annotations
 import heapq
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -25,8 +26,10 @@ from pyspark.sql import types as T
 from .common import Table, slices
 
 _WORD = re.compile(r"\w+")
-#: Labelled documents of each label that the lexicon is learned from at most, and terms that are looked into.
-TOXIC, CLEAN, CANDIDATES = 4000, 12_000, 20_000
+#: Labelled documents of each label that the lexicon is learned from at most.
+TOXIC, CLEAN = 4000, 12_000
+#: States of the automaton that a worker remembers at most; beyond, it starts anew.
+STATES = 50_000
 #: Letters of the shortest and longest stem; letters from which a term may be misspelt by one edit.
 STEM, MISSPELT = (4, 8), 5
 #: Share of words from which on a term is dense in a text; share of toxic documents from which on a term is taken though others explain them.
@@ -40,7 +43,8 @@ WINDOW, QUOTED, HURLED = 6, 0.1, 1.1
 #: Words of talking about a word, and of address; both in the languages of the corpus.
 ABOUT = frozenset("said says wrote called quote quoted quoting word term slur insult sagte schrieb nannte zitat wort beleidigung dit écrit mot terme insulte citation dijo escribió palabra término insulto cita".split())
 ADDRESS = frozenset("you your youre ur du dich dein ihr sie tu te toi ton vous tú ti eres usted".split())
-_OPEN, _CLOSE = "\"“«„‘", "\"”»“’"
+#: Closed quotations within a line; an opening mark without its closing one quotes nothing.
+_QUOTED = re.compile('"[^"\n]*"|“[^”\n]*”|„[^“\n]*“|«[^»\n]*»|‘[^’\n]*’')
 _END = "$"  # of a whole word, in the lexicon
 _DENSE = "+"  # before a term that counts only if DENSE of the text's words or more are hits of it
 
@@ -75,6 +79,10 @@ class Automaton:
                 self.whole[node] = t
             else:
                 self.term[node] = t
+        self.letters = {c for node in self.children for c in node}
+        self._clear()
+
+    def _clear(self) -> None:
         self.numbers: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.steps: list[dict[str, int]] = []
@@ -118,13 +126,17 @@ class Automaton:
         return out
 
     def find(self, word: str) -> dict[str, int]:
-        """Terms that fit the word, and the edits."""
-        state, dead, steps = self.start, self.dead, self.steps
+        """Terms that fit the word, and the edits.  Letters that no term has are all one letter to it."""
+        if len(self.sets) > STATES:
+            self._clear()
+        state, dead, steps, letters = self.start, self.dead, self.steps, self.letters
         for c in word:
             try:
                 state = steps[state][c]
             except KeyError:
-                state = self._step(state, c)
+                if c not in letters:
+                    c = ""
+                state = steps[state][c] if c in steps[state] else self._step(state, c)
             if state == dead:
                 return {}
         nodes, found = self.sets[state]
@@ -158,12 +170,13 @@ class Model:
             found = {w: t for w in set(words) if (t := find(w))}
             if found:
                 many: Counter = Counter()
+                quotes = [m.span() for m in _QUOTED.finditer(lower)]
                 for w in words:
                     if w in found:
                         many.update(t for t, e in found[w].items() if not e)
                 for word in sorted(found):
                     places = list(re.finditer(rf"(?<!\w){re.escape(word)}(?!\w)", lower))
-                    context = max((_context(lower, m) for m in places), default=1.0)
+                    context = max((_context(lower, m, quotes) for m in places), default=1.0)
                     for t, edits in found[word].items():
                         for term in (t, _DENSE + t):
                             if term not in weights or term[0] == _DENSE and (edits or many[t] < DENSE * len(words)):
@@ -180,14 +193,12 @@ class Model:
         return score
 
 
-def _context(text: str, hit: re.Match) -> float:
-    """What a hit's weight is multiplied by."""
+def _context(text: str, hit: re.Match, quotes: list[tuple[int, int]]) -> float:
+    """What a hit's weight is multiplied by; quotes: spans of closed quotations, in order."""
     lo, hi = max(0, hit.start() - 120), hit.end() + 120
-    before, after = _WORD.findall(text[lo : hit.start()])[-WINDOW:], _WORD.findall(text[hit.end() : hi])[:WINDOW]
-    left, right = text[lo : hit.start()].rstrip(), text[hit.end() : hi].lstrip()
-    quoted = any(left.rpartition("\n")[2].count(o) > (0 if o != c else 0) and c in right.partition("\n")[0] for o, c in zip(_OPEN, _CLOSE, strict=True))
-    near = {*before, *after}
-    if quoted and near & ABOUT:
+    near = {*_WORD.findall(text[lo : hit.start()])[-WINDOW:], *_WORD.findall(text[hit.end() : hi])[:WINDOW]}
+    k = bisect_right(quotes, (hit.start(), hit.start())) - 1
+    if k >= 0 and hit.end() <= quotes[k][1] and near & ABOUT:
         return QUOTED
     return HURLED if near & ADDRESS else 1.0
 
@@ -240,7 +251,9 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     used, whole.  Of several labels of an id the largest counts; null labels and
     ids don't.  Terms are words and stems; one after another the term is taken
     that is in most toxic documents without an earlier term, if its log odds are
-    high.  Without a toxic label the lexicon is empty.
+    high.  Terms that are looked into are in a hundredth of the toxic documents or
+    more, so the sample bounds how many there are.  Without a toxic label the
+    lexicon is empty.
     """
     known = labels.select(F.col(id_col).alias("_jl_id"), F.col(label).cast("int").alias("y")).where("_jl_id is not null and y is not null").where(~held_out(F.col("_jl_id"))).groupBy("_jl_id").agg(F.max("y").alias("y"))
     pick = lambda y, n: known.where(F.col("y") == y).orderBy(F.xxhash64("_jl_id"), "_jl_id").limit(n)
@@ -253,12 +266,12 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
         rows.drop()
         return Model()
     least = max(4, toxic // 100)
-    often = _counted(rows.df.where("y = 1"), lambda: _terms, "term string, y int, n long").where(F.col("n") >= least).orderBy(F.desc("n"), "term").limit(CANDIDATES)
-    in_all = {r["term"]: r["n"] for r in often.collect()}  # at most CANDIDATES
+    often = _counted(rows.df.where("y = 1"), lambda: _terms, "term string, y int, n long").where(F.col("n") >= least)
+    in_all = {r["term"]: r["n"] for r in often.collect()}
     pairs = _counted(rows.df.where("y = 0"), lambda: lambda x: _terms(x) & in_all.keys(), "term string, y int, n long")
     in_clean = {r["term"]: r["n"] for r in pairs.collect()}
     odds = lambda a, b: math.log((a + 0.1) / (toxic + 1)) - math.log((b + 0.1) / (clean + 1))
-    names = [t for t, a in in_all.items() if odds(a, in_clean.get(t, 0)) > ODDS and in_clean.get(t, 0) <= IMPURE * a]
+    names = [t for t, a in sorted(in_all.items()) if odds(a, in_clean.get(t, 0)) > ODDS and in_clean.get(t, 0) <= IMPURE * a]
     place = {t: k for k, t in enumerate(names)}
     in_toxic = [set(r["terms"]) for r in rows.df.where("y = 1").mapInArrow(_which(place), "terms array<int>").collect()]  # at most TOXIC rows
     # the terms, by what they newly explain

@@ -42,26 +42,39 @@ def model():
 
 @pytest.mark.parametrize(
     ("text", "toxic"),
-    [(None, 0), ("", 0), ("a quiet text", 0), ("You moron!", 1), ("you m0ron", 1), ("morone x", 1), ("scums", 0), ('they wrote "moron" on the wall, a quoted word', 0), ("x " * 200_000 + "scum", 1), ("MORON", 1)],
+    [(None, 0), ("", 0), ("a quiet text", 0), ("You moron!", 1), ("you m0ron", 1), ("morone x", 1), ("scums", 0), ('they wrote "moron" on the wall, a quoted word', 0), ("x " * 200_000 + "scum", 1), ("MORON", 1),
+     ('they wrote "a" moron "b", a quoted word', 1), ('they wrote "a" and "moron", a quoted word', 0), ('they wrote "moron, an open quote of a word', 1), ('"x\nthey wrote moron" word', 1), ("sie schrieb „moron“ als zitat", 0), ("il a écrit « moron » mot", 0), ('wrote "' + "long " * 60 + 'moron" said', 0)],
 )
 def test_texts(text, toxic):
     score, _ = model().scorer()(text)
     assert int(score >= 0.3) == toxic and 0 <= score <= 1
 
 
-def test_whole_table_and_held_out_accuracy(spark):
+@pytest.mark.parametrize(("sf", "recall"), [("sf0.01", 0.6), ("sf0.1", 0.9)])
+def test_whole_table_and_held_out(spark, sf, recall):
+    """With some 50 toxic documents to learn from at sf0.01, and ten times as many at sf0.1."""
     from jalur.llm.queries import op4_toxicity
 
-    sf_dir = "/root/testdata/sf0.1"
+    sf_dir = f"/root/testdata/{sf}"
     rows = {r.doc_id: r for r in op4_toxicity(spark, sf_dir).collect()}
     assert len(rows) == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
-    right = [0, 0]
+    n = {(x, y): 0 for x in (0, 1) for y in (0, 1)}
     for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect():
         x = rows[r.doc_id]
         assert x.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and x.predicted == int(x.score >= 0.3)
         if x.held_out:
-            right[x.predicted == r.toxic] += 1
-    assert right[1] > 0.98 * sum(right)
+            n[r.toxic, x.predicted] += 1
+    print(sf, n)
+    assert n[1, 1] >= recall * (n[1, 0] + n[1, 1]) and n[1, 1] >= 0.9 * (n[0, 1] + n[1, 1])
+
+
+def test_states_are_bounded(monkeypatch):
+    a = tx.Automaton(["moron", "scum$"])
+    for k in range(0x4E00, 0x5E00):
+        a.find(chr(k) + "moron" + chr(k + 1))
+    assert len(a.sets) < 200
+    monkeypatch.setattr(tx, "STATES", 3)
+    assert a.find("moran") == {"moron": 1} and a.find("scum") == {"scum$": 0} and a.find("scums") == {}
 
 
 def test_edges(spark):
