@@ -57,10 +57,13 @@ class Remembered:
 class Codec:
     """Encodes and decodes by ranks that hold every single byte.
 
-    pattern splits a text into pre-tokens; merges never cross them.
+    pattern splits a text into pre-tokens; merges never cross them.  It must let
+    a pre-token start at every space that no white space follows, as those of the
+    public tokenizers do, or else say words=0: then texts aren't cut at spaces
+    first.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, pieces: int = PIECES, words: int = WORDS):
         import regex
 
         self.ranks, self.tokens = ranks, {i: t for t, i in ranks.items()}
@@ -71,8 +74,8 @@ class Codec:
         self.two = [[ranks.get(bytes((a, b)), -1) for b in range(256)] for a in range(256)]
         # bitmaps of the rank queue: a bit for each rank, for each word of low, and for each word of mid; empty between calls
         self.low, self.mid = [0] * ((size >> 6) + 1), [0] * ((size >> 12) + 1)
-        self.pieces = Remembered(lambda piece: _packed(self.merge(piece.encode())), PIECES)
-        self.words = Remembered(lambda word: self._stretch(" " + word), WORDS)
+        self.pieces = Remembered(lambda piece: _packed(self.merge(piece.encode())), pieces)
+        self.words = Remembered(lambda word: self._stretch(" " + word), words) if words else None
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token."""
@@ -167,6 +170,8 @@ class Codec:
         A pre-token always starts at a space that no white space follows, so the
         text is cut there and words seen before, with that space, are looked up.
         """
+        if self.words is None:
+            return self._stretch(text)
         known, find, words = self.words.new, self.words.find, text.split(" ")
         if not _ODD(text):
             out = [known.get(word) or find(word) for word in words[1:]]
@@ -191,23 +196,26 @@ def _packed(ids: list[int]) -> bytes:
     return out.tobytes()
 
 
-_codecs: dict[tuple[str, str], Codec] = {}
+_codecs: dict[tuple, Codec] = {}
 
 
-def codec(ranks_path: str, pattern: str) -> Codec:
+def codec(ranks_path: str, pattern: str, pieces: int = PIECES, words: int = WORDS) -> Codec:
     """One for each worker process; the rank file is installed on every machine."""
-    if (ranks_path, pattern) not in _codecs:
-        _codecs[ranks_path, pattern] = Codec(read_ranks(ranks_path), pattern)
-    return _codecs[ranks_path, pattern]
+    key = (ranks_path, pattern, pieces, words)
+    if key not in _codecs:
+        _codecs.clear()
+        _codecs[key] = Codec(read_ranks(ranks_path), pattern, pieces, words)
+    return _codecs[key]
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "token_ids", decoded: str | None = None) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "token_ids", decoded: str | None = None, pieces: int = PIECES, words: int = WORDS) -> DataFrame:
     """docs with the ids of every whole text, and if named the bytes they decode to.
 
     ids: binary, each id as four bytes, little-endian; as_array() makes numbers
     of them.  A null or empty text gives an empty value.  Repeated rows are
     encoded each.  There is no shuffle: rows stay where they are, and a lost
-    executor costs its tasks alone.
+    executor costs its tasks alone.  pieces and words bound what a worker
+    remembers.
     """
     made = [ids] + [decoded] * bool(decoded)
     rest = [f for f in docs.schema.fields if f.name not in made]
@@ -215,7 +223,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", i
     names = [f.name for f in rest]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(ranks_path, pattern)
+        c = codec(ranks_path, pattern, pieces, words)
         for part in slices(batches, text, 4 << 20):
             out = [c.encode(x or "") for x in part.column(text).to_pylist()]
             columns = [part.column(n) for n in names] + [pa.array(out, pa.binary())]
