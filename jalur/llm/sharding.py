@@ -4,7 +4,8 @@ Method: longest-processing-time scheduling.  Rows with equal texts are a group
 that stays together; groups, by size from the largest, go to the shard that has
 the least so far, through a heap.  All groups can't pass through one heap at
 scale, so the small ones are first packed by the same rule within each task
-into bins, and the heap deals out the large groups and the bins.  A small group
+into bins, bins are packed into larger ones while they are still too many for
+one heap, and the heap deals out the large groups and the bins.  A small group
 is at most one bin's even share, so a shard is off the mean by about one bin.
 """
 
@@ -23,6 +24,8 @@ from .common import Table
 
 #: Bins for each shard over all tasks, and groups or rows that one task packs or numbers.
 BINS, ROWS = 512, 100_000
+#: Bins that pass through the driver's heap at most (and then are broadcast: some 24 bytes each).
+HEAP = 100_000
 
 
 def schedule(sizes: list[tuple[int, object]], shards: int) -> dict[object, int]:
@@ -57,24 +60,40 @@ def _pack(bins: int):
     return run
 
 
-def homes(docs: DataFrame, shards: int = 24, text: str = "text") -> DataFrame:
+def _bin_key():
+    """What names a bin where it is a group."""
+    return F.concat_ws("/", F.lit("bin"), F.col("part").cast("string"), F.col("bin").cast("string")).cast("binary")
+
+
+def homes(docs: DataFrame, shards: int = 24, text: str = "text", rows: int = ROWS, heap: int = HEAP) -> DataFrame:
     """One row a group of equal texts: key (SHA-256 of the text, binary) and shard."""
     spark = docs.sparkSession
     groups = Table(docs.select(_size(text).alias("size"), _key(text).alias("key")).groupBy("key").agg(F.sum("size").alias("bytes")))
     total, n = groups.df.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count("*")).first()
     large = total // (shards * BINS) + 1  # under shards * BINS groups are as large
     heavy = [(r["bytes"], bytes(r["key"])) for r in groups.df.where(F.col("bytes") >= large).collect()]
-    parts = max(min(int(spark.conf.get("spark.sql.shuffle.partitions")), 64), -(-n // ROWS))
-    bins = max(2 * shards, shards * BINS // parts)
-    light = groups.df.where(F.col("bytes") < large).withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int"))
-    packed = Table(light.repartition(parts, "part").mapInArrow(_pack(bins), "key binary, bytes long, part int, bin int"))
-    loads = [(r["bytes"], (r["part"], r["bin"])) for r in packed.df.groupBy("part", "bin").agg(F.sum("bytes").alias("bytes")).collect()]
+    light, levels = groups.df.where(F.col("bytes") < large), []
+    while True:
+        parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), 64, n), -(-n // rows))
+        bins = max(2 * shards, min(shards * BINS, heap) // parts)
+        packed = Table(light.select("key", "bytes", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int").alias("part")).repartition(parts, "part").mapInArrow(_pack(bins), "key binary, bytes long, part int, bin int"))
+        levels.append(packed)
+        # a bin is a group of the next level
+        light = packed.df.groupBy("part", "bin").agg(F.sum("bytes").alias("bytes")).withColumn("key", _bin_key())
+        if parts * bins <= heap or parts == 1:
+            break
+        n = light.count()
+    loads = [(r["bytes"], (r["part"], r["bin"])) for r in light.collect()]  # heap rows at most
     placed = schedule(heavy + loads, shards)
-    # at most max(shards * BINS, 2 * shards for each ROWS groups) rows, and at most shards * BINS rows
-    of_bin = spark.createDataFrame([(*k, s) for k, s in placed.items() if isinstance(k, tuple)], "part int, bin int, shard int")
+    of_bin = F.broadcast(spark.createDataFrame([(*k, s) for k, s in placed.items() if isinstance(k, tuple)], "part int, bin int, shard int"))
     of_key = spark.createDataFrame([(k, s) for k, s in placed.items() if isinstance(k, bytes)], "key binary, shard int")
     groups.drop()
-    return packed.df.join(F.broadcast(of_bin), ["part", "bin"]).select("key", "shard").unionAll(of_key)
+    while True:
+        out = levels.pop().df.join(of_bin, ["part", "bin"]).select("key", "shard")
+        if not levels:
+            return out.unionAll(of_key)
+        below = levels[-1].df.select("part", "bin").distinct().withColumn("key", _bin_key())
+        of_bin = below.join(out, "key").select("part", "bin", "shard")
 
 
 def _text(text: str):

@@ -40,6 +40,18 @@ def test_balance_over_parts(spark, monkeypatch):
     assert len(loads) == 4 and max(loads.values()) < 1.02 * sum(loads.values()) / 4
 
 
+def test_bins_are_packed_again_where_they_are_too_many(spark):
+    docs = spark.createDataFrame([(i, "y" * (i % 50) + str(i)) for i in range(3000)], "doc_id long, text string")
+    for heap in (sharding.HEAP, 300):
+        rows = sharding.homes(docs, 3, rows=200, heap=heap).collect()
+        assert len({bytes(r["key"]) for r in rows}) == len(rows) == 3000
+        of = {bytes(r["key"]): r["shard"] for r in rows}
+        loads = [0, 0, 0]
+        for r in docs.select("text", sharding._key("text").alias("key")).collect():
+            loads[of[bytes(r["key"])]] += len(r["text"]) + 8
+        assert max(loads) < 1.05 * sum(loads) / 3
+
+
 def test_nulls_repeats_empty_and_clashes(spark):
     docs = [(None, None, 1), (None, "", 1), (3, "a", 2), (3, "a", 2), (4, "b" * 100_000, None)]
     df = spark.createDataFrame(docs, "doc_id long, text string, key int").withColumnRenamed("key", "shard")
