@@ -76,14 +76,18 @@ def score(found: Column, weights: list[float]) -> Column:
 def train(labelled: DataFrame, steps: int = STEPS, rate: float = 4.0, shrink: float = 1e-3) -> list[float]:
     """Weights from columns host, path and label (0 or 1); the bias comes last.
 
-    Both labels weigh the same in total.  Without a labelled row all weights are 0.  Each step is one aggregation whose
-    result has a row for each weight at most.
+    Both labels weigh the same in total.  With labels of one kind or none there is nothing to tell apart: all weights
+    are 0 and the bias says that kind, or allow.  Each step is one aggregation whose result has a row for each weight
+    at most.
     """
-    rows = Table(labelled.select(F.col("label").cast("double").alias("y"), features(F.col("host"), F.col("path")).alias("f")))
+    rows = Table(labelled.select(F.col("label").cast("double").alias("y"), features(F.col("host"), F.col("path")).alias("f")).coalesce(4))  # a small table
     blocked, n = rows.df.agg(F.coalesce(F.sum("y"), F.lit(0.0)), F.count("*")).first()
-    even = F.when(F.col("y") == 1, n / (2 * blocked) if blocked else 1.0).otherwise(n / (2 * (n - blocked)) if n > blocked else 1.0)
+    if not 0 < blocked < n:
+        rows.drop()
+        return [0.0] * WEIGHTS + [2.0 if blocked else -2.0]
+    even = F.when(F.col("y") == 1, n / (2 * blocked)).otherwise(n / (2 * (n - blocked)))
     weights, speed = [0.0] * (WEIGHTS + 1), [0.0] * (WEIGHTS + 1)
-    for _ in range(steps if n else 0):
+    for _ in range(steps):
         ahead = [w + 0.8 * v for w, v in zip(weights, speed, strict=True)]
         missed = rows.df.select((even * (F.col("y") - score(F.col("f"), ahead))).alias("e"), "f").select((F.col("e") / F.sqrt(F.greatest(F.size("f"), F.lit(1)).cast("double"))).alias("part"), F.explode(F.concat(F.col("f"), F.array(F.lit(WEIGHTS)))).alias("w"), (F.col("e")).alias("e"))
         slope = {r["w"]: r["g"] for r in missed.groupBy("w").agg(F.sum(F.when(F.col("w") == WEIGHTS, F.col("e")).otherwise(F.col("part"))).alias("g")).collect()}
