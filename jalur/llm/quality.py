@@ -16,6 +16,7 @@ from .common import Table, let, text_key
 
 #: White space that parts words, as a regular expression and as characters.
 _SPACE, _SPACES = r"[\x20\x09-\x0D]+", " \t\n\x0b\x0c\r"
+_WORD = r"[^\x20\x09-\x0D]+"
 #: Frequent lines that are sent to all executors at most (some 40 bytes each); beyond, the join shuffles.
 BROADCAST_ROWS = 200_000
 
@@ -24,12 +25,13 @@ BROADCAST_ROWS = 200_000
 class Limits:
     """A line is boilerplate of a host if it is in min_docs distinct documents or
     more and in over host_share of the host's documents.  A document is depleted
-    if boilerplate is over max_removed of the characters in its lines.
+    if boilerplate is over max_removed of the characters in its lines, or if fewer
+    than min_words words are left without it.
     """
 
     min_docs: int = 10
     host_share: float = 0.02
-    max_removed: float = 0.7
+    max_removed: float = 0.3
     min_words: int = 50
     max_repeat_percent: int = 50
 
@@ -83,11 +85,11 @@ def normalised(line: Column) -> Column:
 
 
 def lines(docs: DataFrame, id_col: str = "doc_id", host: str = "source", text: str = "text") -> DataFrame:
-    """One row a line with a word: id, text hash, host, place in the text, hash, length."""
+    """One row a line with a word: id, text hash, host, place in the text, hash, length, words."""
     t = F.coalesce(F.col(text), F.lit(""))
-    places = F.filter(F.transform(F.split(t, "\n"), lambda x, i: F.struct(i.alias("place"), F.xxhash64(normalised(x)).alias("line"), F.length(x).alias("chars"), (F.btrim(x, F.lit(_SPACES)) != "").alias("full"))), lambda x: x["full"])
+    places = F.filter(F.transform(F.split(t, "\n"), lambda x, i: F.struct(i.alias("place"), F.xxhash64(normalised(x)).alias("line"), F.length(x).alias("chars"), F.regexp_count(x, F.lit(_WORD)).alias("words"), (F.btrim(x, F.lit(_SPACES)) != "").alias("full"))), lambda x: x["full"])
     rows = docs.select(F.col(id_col).alias("id"), text_key(text).alias("key"), F.coalesce(F.col(host), F.lit("")).alias("host"), F.explode(places).alias("x"))
-    return rows.select("id", "key", "host", "x.place", "x.line", "x.chars")
+    return rows.select("id", "key", "host", "x.place", "x.line", "x.chars", "x.words")
 
 
 def boilerplate(of: DataFrame, limits: Limits = Limits()) -> DataFrame:
@@ -103,20 +105,20 @@ def _removed(docs: DataFrame, id_col: str, host: str, text: str, limits: Limits)
     often = Table(boilerplate(of, limits)).df
     if often.count() <= BROADCAST_ROWS:
         often = F.broadcast(often)
-    return of.join(often, ["host", "line"], "left_semi").groupBy("id", "key", "place").agg(F.max("chars").alias("chars"))
+    return of.join(often, ["host", "line"], "left_semi").groupBy("id", "key", "place").agg(F.max("chars").alias("chars"), F.max("words").alias("words"))
 
 
 def verdicts(docs: DataFrame, id_col: str = "doc_id", host: str = "source", text: str = "text", limits: Limits = Limits()) -> DataFrame:
-    """One row a document: id_col, the columns of statistics(), removed_chars, kept.
+    """One row a document: id_col, the columns of statistics(), removed_chars, removed_words, kept.
 
     A null host is the host "".  A document is kept unless its base rules fail
     or it is depleted.
     """
     named = docs.select(F.col(id_col).alias("id"), F.col(host).alias("host"), F.col(text).alias("text"))
-    removed = _removed(named, "id", "host", "text", limits).groupBy("id", "key").agg(F.sum("chars").alias("removed_chars")).select(F.col("id").alias("id2"), F.col("key").alias("key2"), "removed_chars")
+    removed = _removed(named, "id", "host", "text", limits).groupBy("id", "key").agg(F.sum("chars").alias("removed_chars"), F.sum("words").alias("removed_words")).select(F.col("id").alias("id2"), F.col("key").alias("key2"), "removed_chars", "removed_words")
     stats = statistics(named.select("id", text_key("text").alias("key"), "text"), "text", limits)
-    rows = stats.join(removed, stats["id"].eqNullSafe(F.col("id2")) & (stats["key"] == F.col("key2")), "left").withColumn("removed_chars", F.coalesce("removed_chars", F.lit(0)))
-    kept = ~F.col("base_failed") & (F.col("removed_chars") <= limits.max_removed * F.col("line_chars"))
+    rows = stats.join(removed, stats["id"].eqNullSafe(F.col("id2")) & (stats["key"] == F.col("key2")), "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("removed_chars", "removed_words")})
+    kept = ~F.col("base_failed") & (F.col("removed_chars") <= limits.max_removed * F.col("line_chars")) & (F.col("n_words") - F.col("removed_words") >= limits.min_words)
     return rows.withColumn("kept", kept).drop("id2", "key2", "key").withColumnRenamed("id", id_col)
 
 

@@ -120,12 +120,12 @@ lines as (select r, doc_id, host, x, regexp_replace(lower(trim(x, ' ' || chr(9)
   from (select r, doc_id, host, unnest(string_split(text, chr(10))) as x from d) where {_FULL}),
 hosts as (select host, count(distinct doc_id) as docs from lines group by host),
 often as (select host, line from lines join hosts using (host) group by host, line having count(distinct doc_id) >= 10 and count(distinct doc_id) > 0.02 * any_value(docs)),
-l as (select r, count(*) - count(distinct x) as dup, sum(length(x)) as chars, sum(if(often.line is null, 0, length(x))) as gone from lines left join often using (host, line) group by r),
+l as (select r, count(*) - count(distinct x) as dup, sum(length(x)) as chars, sum(if(often.line is null, 0, length(x))) as gone, sum(if(often.line is null, 0, len(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+')))) as gone_words from lines left join often using (host, line) group by r),
 s as (select doc_id, len(w) as n_words, length(array_to_string(w, '')) as word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) as n_symbols,
-  coalesce(dup, 0) as n_dup_lines, coalesce(n, 0) as n_repeat_words, coalesce(gone, 0) as gone, coalesce(chars, 0) as chars from d left join hit using (r) left join l using (r))
+  coalesce(dup, 0) as n_dup_lines, coalesce(n, 0) as n_repeat_words, coalesce(gone, 0) as gone, coalesce(gone_words, 0) as gone_words, coalesce(chars, 0) as chars from d left join hit using (r) left join l using (r))
 select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as word_chars, cast(n_symbols as bigint) as n_symbols, cast(n_dup_lines as bigint) as n_dup_lines,
   cast(n_repeat_words as bigint) as n_repeat_words, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
-  not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and gone <= 0.7 * chars as kept from s
+  not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and gone <= 0.3 * chars and n_words - gone_words >= 50 as kept from s
 """
 
 _CUT = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"

@@ -30,9 +30,10 @@ def brute(docs, limits):
     for i, host, text in docs:
         b = base(text)
         full = [x for x in (text or "").split("\n") if WORD.search(x)]
-        gone = sum(len(x) for x in full if (host or "", norm(x)) in often)
+        cut = [x for x in full if (host or "", norm(x)) in often]
+        gone, left = sum(map(len, cut)), b[0] - sum(len(WORD.findall(x)) for x in cut)
         failed = b[0] < limits.min_words or 100 * b[4] > limits.max_repeat_percent * b[0]
-        out.append((i, *b, failed, not failed and gone <= limits.max_removed * sum(map(len, full))))
+        out.append((i, *b, failed, not failed and gone <= limits.max_removed * sum(map(len, full)) and left >= limits.min_words))
     return out
 
 
@@ -48,6 +49,17 @@ def test_whole_table(spark, sf_dir):
     assert sorted(tuple(r[c] for c in ["doc_id", *NAMES]) for r in rows) == sorted(brute(docs, Limits()))
 
 
+def test_depleted_documents_are_rejected(spark):
+    line = "subscribe to our newsletter and accept all cookies now"  # nine words
+    own = lambda i, n: "\n".join(" ".join(f"w{i}x{k}x{j}" for j in range(10)) for k in range(n)).translate(str.maketrans("0123456789", "abcdefghij"))
+    docs = [(i, "h", own(i, 12) + "\n" + line) for i in range(20)] + [(100, "h", own(100, 4) + "\n" + line + "\n" + line), (101, "h", own(101, 6) + ("\n" + line) * 9), (102, "other", own(102, 4) + "\n" + line + "\n" + line)]
+    df = spark.createDataFrame(docs, "doc_id long, source string, text string")
+    rows = {r.doc_id: r for r in quality.verdicts(df, limits=Limits()).collect()}
+    assert {i for i, r in rows.items() if not r.base_failed and not r.kept} == {100}
+    assert rows[101].base_failed and rows[102].kept and rows[0].kept
+    assert sorted(tuple(rows[i][c] for c in ["doc_id", *NAMES]) for i in rows) == sorted(brute(docs, Limits()))
+
+
 def test_edges(spark):
     long = " ".join(f"w{i} x y z" for i in range(20_000))
     docs = [
