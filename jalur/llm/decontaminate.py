@@ -8,6 +8,11 @@ a candidate if the window fits between the document's first and last word at
 the offset of the shingle (length and positional bounds), and then the words
 are compared.  Windows have the length of the item, or ten words if that is
 less.
+
+A benchmark of up to BLOCK_BYTES is sent to all tasks as it is.  A larger one is
+joined: the order of shingles and the prefixes are worked out by shuffles, the
+documents are read once, a bitmap of the prefix shingles' hashes leaves the few
+places that can be one, and these meet the windows in a join that AQE can split.
 """
 
 from __future__ import annotations
@@ -17,18 +22,22 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import binary_texts, slices, text_key
+from .common import Table, binary_texts, slices, text_key
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: Word bytes are kept, every other byte parts words: all but ASCII letters, digits and what is beyond ASCII.
 _WORDS = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in _LOWER)
-#: Items of so many bytes of text are sent to the executors together; a larger benchmark is done in blocks.
+#: Items of so many bytes of text are sent to the executors as they are; a larger benchmark is joined.
 BLOCK_BYTES = 8 << 20
+#: Bits of the bitmap of prefix shingles (32 MB): with more shingles more places are verified, none is missed.
+BITMAP = 1 << 28
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -39,9 +48,9 @@ def words_of(text: bytes) -> list[bytes]:
 class Windows:
     """The distinct windows of some items, found by prefix shingle."""
 
-    def __init__(self, items: list[tuple[str, bytes]], size: int = 10, shingle: int = 5):
+    def __init__(self, items: list[tuple[str | None, bytes]], size: int = 10, shingle: int = 5):
         self.shingle = shingle
-        owners: dict[tuple[bytes, ...], set[str]] = defaultdict(set)
+        owners: dict[tuple[bytes, ...], set[str | None]] = defaultdict(set)
         for name, text in items:
             words = words_of(text)
             for i in range(max(len(words) - size, 0) + 1 if words else 0):
@@ -78,7 +87,7 @@ class Windows:
                 spans[-1] = (spans[-1][0], max(hi, spans[-1][1]))
             else:
                 spans.append((lo, hi))
-        return spans, items
+        return spans, items - {None}
 
 
 _FOUND = [T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(T.ArrayType(T.IntegerType()))), T.StructField("items", T.ArrayType(T.StringType()))]
@@ -105,47 +114,92 @@ def _probe(docs: DataFrame, text: str, items: list[tuple[str, bytes]], size: int
     return docs.mapInArrow(run, T.StructType([*rest, *_FOUND]))
 
 
-def _blocks(benchmark: DataFrame, item: str, text: str, at_most: int) -> Iterator[list[tuple[str, bytes]]]:
-    """The items in blocks of about at_most bytes; a block is all the driver holds."""
-    block, held = [], 0
-    for name, x in benchmark.where(F.col(text).isNotNull()).select(F.col(item).cast("string"), F.col(text)).toLocalIterator():
-        block.append((str(name), x.encode()))
-        held += len(block[-1][1])
-        if held >= at_most:
-            yield block
-            block, held = [], 0
-    if block:
-        yield block
+def _windows(benchmark: DataFrame, item: str, text: str, size: int, shingle: int = 5) -> Table:
+    """One row a distinct window: number, window (its words, spaced), names of its items, and its prefix: hash, words, place in the window."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text", 1 << 20):
+            names, found = [], []
+            for name, x in zip(part.column("item").to_pylist(), binary_texts(part.column("text")), strict=True):
+                words = words_of(x)
+                some = {b" ".join(words[i : i + size]).decode("utf-8", "replace") for i in range(max(len(words) - size, 0) + 1 if words else 0)}
+                names += [name] * len(some)
+                found += some
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(found, pa.string())], names=["item", "window"])
+
+    owners = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text")).mapInArrow(cut, "item string, window string").groupBy("window").agg(F.array_sort(F.collect_set("item")).alias("names"))
+    owners = Table(owners.withColumn("number", F.monotonically_increasing_id()))
+    words = F.split("window", " ")
+    k = F.least(F.lit(shingle), F.size(words))
+    parts = owners.df.select("number", k.alias("k"), F.posexplode(F.transform(F.sequence(F.lit(1), F.size(words) - k + 1), lambda i: F.array_join(F.slice(words, i, k), " "))).alias("at", "s"))
+    often = parts.select("number", "s").distinct().groupBy("s").agg(F.count("*").alias("n"))
+    first = parts.join(often, "s").groupBy("number").agg(F.min(F.struct("n", "s", "at", "k")).alias("p")).select("number", F.xxhash64("p.s").alias("h"), "p.at", "p.k")
+    return Table(owners.df.join(first, "number"))
+
+
+def _bitmap(hashes: DataFrame) -> np.ndarray:
+    """Bit h mod BITMAP for each hash; at most BITMAP / 64 rows come to the driver."""
+    slot = F.pmod("h", F.lit(BITMAP))
+    out = np.zeros(BITMAP >> 6, np.int64)
+    rows = hashes.select(F.shiftright(slot, 6).alias("slot"), F.expr(f"shiftleft(1L, cast(pmod(h, {BITMAP}) & 63 as int))").alias("bit")).groupBy("slot").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out[rows["slot"].to_numpy()] = rows["bits"].to_numpy()
+    return out.view(np.uint64)
+
+
+def _joined(docs: DataFrame, windows: Table, size: int) -> DataFrame:
+    """Of documents (_jl_id, _jl_text, _jl_words: the text) those with a window: spans, joined, and items."""
+    spark = docs.sparkSession
+    bits = spark.sparkContext.broadcast(_bitmap(windows.df.select("h")))
+    ks = sorted(r["k"] for r in windows.df.select("k").distinct().collect())  # lengths of shingles, a handful
+    schema = T.StructType([*(f for f in docs.schema.fields if f.name != "_jl_words"), T.StructField("h", T.LongType()), T.StructField("k", T.IntegerType()), T.StructField("place", T.IntegerType()), T.StructField("lo", T.IntegerType()), T.StructField("near", T.StringType())])
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "_jl_words"):
+            row, found = [], []
+            for r, x in enumerate(binary_texts(part.column("_jl_words"))):
+                words = words_of(x)
+                for k in ks:
+                    if len(words) < k:
+                        continue
+                    h = np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + k]), 42) for i in range(len(words) - k + 1)), np.uint64, len(words) - k + 1)
+                    slot = h % np.uint64(BITMAP)
+                    for i in np.flatnonzero(bits.value[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)).tolist():
+                        lo = max(0, i - size)
+                        row.append(r)
+                        found.append((int(h[i : i + 1].view(np.int64)[0]), k, i, lo, b" ".join(words[lo : i + size + 1]).decode("utf-8", "replace")))
+            keys = part.select(["_jl_id", "_jl_text"]).take(pa.array(row, pa.int64()))
+            columns = zip(*found, strict=True) if found else ([],) * 5
+            yield pa.RecordBatch.from_arrays([*keys.columns, *(pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string()), strict=True))], names=schema.names)
+
+    near = docs.mapInArrow(probe, schema)
+    hits = near.join(windows.df.select("h", "k", "at", "window", "names"), ["h", "k"])
+    # the window fits where its shingle stands, and its words are the document's
+    n, start = F.size(F.split("window", " ")), F.col("place") - F.col("at")
+    fits = (start >= F.col("lo")) & (F.array_join(F.slice(F.split("near", " "), F.greatest(start - F.col("lo") + 1, F.lit(1)), n), " ") == F.col("window"))
+    spans = hits.where(fits).select("_jl_id", "_jl_text", F.array(start, start + n).alias("span"), "names")
+    merged = spans.groupBy("_jl_id", "_jl_text").agg(F.array_sort(F.collect_set("span")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("names")))).alias("items"))
+    return merged.select("_jl_id", "_jl_text", F.expr(_JOINED).alias("spans"), "items")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", doc_id: str = "doc_id", size: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs with n_words, spans (array of [start, end) word positions) and items (ids as strings, sorted).
 
     A window is size consecutive words of an item, or the whole of a shorter
-    one; items without a word have none, and a null item id is called "None".
-    Spans cover each word in any occurrence of any window.  An empty benchmark
-    finds nothing.  A benchmark of over block_bytes is taken in blocks against
-    all documents, and what the blocks find is joined by document.
+    one; items without a word have none.  Windows of an item with a null id make
+    spans, but its id is in no list.  Spans cover each word in any occurrence of
+    any window.  An empty benchmark finds nothing.  A benchmark of over
+    block_bytes is joined to the documents, which are read once for it.
     """
-    done = []
-    blocks = _blocks(benchmark, item_id, item_text, block_bytes)
-    first = next(blocks, [])
-    second = next(blocks, None)
-    if second is None:
-        return _probe(docs, text, first, size)
+    total = benchmark.agg(F.coalesce(F.sum(F.octet_length(item_text)), F.lit(0))).first()[0]
+    if total <= block_bytes:
+        rows = benchmark.where(F.col(item_text).isNotNull()).select(F.col(item_id).cast("string"), F.col(item_text)).collect()
+        return _probe(docs, text, [(name, x.encode()) for name, x in rows], size)
     rest = [c for c in docs.columns if c not in ("n_words", "spans", "items")]
     keyed = docs.select(*[F.col(c) for c in rest], F.col(doc_id).alias("_jl_id"), text_key(text).alias("_jl_text"))
-    block: list | None = first
-    while block is not None:
-        done.append(_probe(keyed.select("_jl_id", "_jl_text", F.col(text).alias("_jl_words")), "_jl_words", block, size).drop("_jl_words").where(F.size("items") > 0))
-        block, second = second, next(blocks, None) if second is not None else None
-    hits = done[0]
-    for x in done[1:]:
-        hits = hits.unionAll(x)
-    merged = hits.groupBy("_jl_id", "_jl_text").agg(F.array_sort(F.flatten(F.collect_set("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-    merged = merged.select(F.col("_jl_id").alias("_jl_id2"), F.col("_jl_text").alias("_jl_text2"), F.expr(_JOINED).alias("spans"), "items")
+    found = _joined(keyed.select("_jl_id", "_jl_text", F.col(text).alias("_jl_words")), _windows(benchmark, item_id, item_text, size), size)
+    found = found.select(F.col("_jl_id").alias("_jl_id2"), F.col("_jl_text").alias("_jl_text2"), "spans", "items")
     none = _probe(keyed, text, [], size).drop("spans", "items")
-    out = none.join(merged, none["_jl_id"].eqNullSafe(F.col("_jl_id2")) & (none["_jl_text"] == F.col("_jl_text2")), "left")
+    out = none.join(found, none["_jl_id"].eqNullSafe(F.col("_jl_id2")) & (none["_jl_text"] == F.col("_jl_text2")), "left")
     return out.select(*rest, "n_words", F.coalesce("spans", F.array().cast(_FOUND[1].dataType)).alias("spans"), F.coalesce("items", F.array().cast(_FOUND[2].dataType)).alias("items"))
 
 
@@ -157,7 +211,7 @@ _JOINED = """aggregate(spans, cast(array() as array<array<int>>), (a, s) -> case
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """docs without those that hold a window of an item; the columns stay."""
-    return matches(docs, benchmark, **options).where(F.size("items") == 0).select(*docs.columns)
+    return matches(docs, benchmark, **options).where(F.size("spans") == 0).select(*docs.columns)
 
 
 def item_digest(items):
@@ -177,7 +231,7 @@ def brute_force(text: str | None, items: list[tuple[str, str | None]], size: int
                 if words[j : j + len(window)] == window:
                     hit |= set(range(j, j + len(window)))
                     names.add(name)
-    return len(words), len(hit), sorted(names)
+    return len(words), len(hit), sorted(names - {None})
 
 
 def digest_of(names: list[str]) -> str:

@@ -38,7 +38,7 @@ def test_edges(spark, block):
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     rows = dc.matches(docs, bench, block_bytes=block).collect()
     assert len(rows) == len(DOCS)
-    items = [(str(n), t) for n, t in ITEMS]
+    items = [(None if n is None else str(n), t) for n, t in ITEMS]
     for r in rows:
         n, hit, names = dc.brute_force(r.text, items)
         assert (r.n_words, sum(b - a for a, b in r.spans), r["items"]) == (n, hit, names)
