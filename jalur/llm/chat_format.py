@@ -3,6 +3,8 @@
 Method: budgeted windows.  Prefix sums of turn tokens choose spans of whole
 turns; each window keeps the system turn, repeats limited history before its
 new turns, and only new assistant turns are targets, so that each is one once.
+A conversation of over CHUNK turns is taken in chunks, each with the history
+before it, so that no task holds more than a chunk of it.
 
 Template: `<turn>role`, a line break, the text, `</turn>`, a line break.  In
 texts and roles a backslash is written `\\b` and `<` is written `\\l`, in roles
@@ -16,9 +18,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.columns import numbered
 from .common import let
 
 OPEN, CLOSE = "<turn>", "</turn>\n"
+#: Turns of a conversation that are one array at most; no window goes beyond.
+CHUNK = 4096
 
 
 def escaped(text: Column) -> Column:
@@ -34,7 +39,31 @@ def tokens(text: Column) -> Column:
     return F.ceil(F.octet_length(text) / 4) + 4
 
 
-def windows(turns: DataFrame, budget: int = 1024, history: int = 256, history_turns: int = 8) -> DataFrame:
+def _chunks(turns: DataFrame, history_turns: int, chunk: int) -> DataFrame:
+    """One row a chunk of a conversation: conv_id, chunk, t (its turns in order), first (place in t of the first that is new).
+
+    Before the new turns come the system turn and the history of the chunk before.
+    """
+    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    order = ["turn", "role", "text"]
+    if rows.groupBy("conv_id").count().where(F.col("count") > chunk).isEmpty():
+        rows = rows.withColumn("nth", F.row_number().over(W.partitionBy("conv_id").orderBy(*order)) - 1)
+    else:
+        rows = numbered(rows, *order, within=["conv_id"], name="nth")
+    rows = rows.withColumns({"nth": F.col("nth").cast("long"), "chunk": F.expr(f"nth div {chunk}"), "new": F.lit(True)})
+    last = rows.where(F.col("nth") % chunk >= chunk - history_turns).withColumns({"chunk": F.col("chunk") + 1, "new": F.lit(False)})
+    later = rows.where((F.col("nth") > 0) & (F.col("nth") % chunk == 0)).select(F.col("conv_id").alias("_c"), F.col("chunk").alias("_k"))
+    head = rows.where("nth = 0 and role = 'system'").drop("chunk").join(later, F.col("conv_id").eqNullSafe(F.col("_c"))).where(F.col("_k") * chunk - history_turns > 0)
+    head = head.withColumns({"chunk": F.col("_k"), "new": F.lit(False)}).select(*rows.columns)
+    rows = rows.unionByName(last).unionByName(head)
+    upto = W.partitionBy("conv_id", "chunk").orderBy("nth").rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = rows.withColumn("sum", F.sum(tokens(F.col("text"))).over(upto))
+    start = F.concat(F.lit(OPEN), F.replace(escaped(F.col("role")), F.lit("\n"), F.lit("\\e")), F.lit("\n"))
+    item = F.struct("nth", "new", "role", "text", "sum", start.alias("head"), escaped(F.col("text")).alias("body"))
+    return rows.groupBy("conv_id", "chunk").agg(F.sort_array(F.collect_list(item)).alias("t"), F.count_if(~F.col("new")).cast("int").alias("first")).where(F.col("first") < F.size("t"))
+
+
+def windows(turns: DataFrame, budget: int = 1024, history: int = 256, history_turns: int = 8, chunk: int = CHUNK) -> DataFrame:
     """One row a window: conv_id, window, text, context_turns, loss, n_tokens.
 
     turns: conv_id, turn, role, text.  Rows are ordered by turn, then role and
@@ -44,26 +73,23 @@ def windows(turns: DataFrame, budget: int = 1024, history: int = 256, history_tu
     the new ones.  loss: (start, length) of targets in code points.  A window
     holds budget tokens at most, unless its one new turn is larger, which is kept
     whole.  A conversation's role "system" counts as its system turn if first.
+    Windows are numbered in order; beyond chunk turns with gaps.
     """
-    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    upto = W.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(W.unboundedPreceding, W.currentRow)
-    rows = rows.withColumn("sum", F.sum(tokens(F.col("text"))).over(upto))
-    head = F.concat(F.lit(OPEN), F.replace(escaped(F.col("role")), F.lit("\n"), F.lit("\\e")), F.lit("\n"))
-    item = F.struct("turn", "role", "text", "sum", head.alias("head"), escaped(F.col("text")).alias("body"))
-    convs = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(item)).alias("t"))
+    convs = _chunks(turns, history_turns, chunk)
     # tokens before turn i, and of turn i
     before = "if(i = 0, 0L, t[greatest(i - 1, 0)].sum)"
-    system = "if(t[0].role = 'system', 1, 0)"
+    system = "if(t[0].nth = 0 and t[0].role = 'system', 1, 0)"
     back = f"filter(sequence(greatest(least({system}, i), i - {history_turns}), i), j -> {before} - if(j = 0, 0L, t[greatest(j - 1, 0)].sum) <= {history})[0]"
     context = f"if(i = 0, 0L, {system} * t[0].sum + {before} - if({back} = 0, 0L, t[greatest({back} - 1, 0)].sum))"
-    starts = f"""aggregate(sequence(0, size(t) - 1), named_struct('at', array(0), 'used', 0L), (a, i) -> if(
+    context_first = f"transform(array(first), i -> {context})[0]"
+    starts = f"""aggregate(sequence(first, size(t) - 1), named_struct('at', array(first), 'used', least({budget}L, {context_first})), (a, i) -> if(
         a.used + t[i].sum - {before} > {budget} and i > element_at(a.at, -1),
         named_struct('at', concat(a.at, array(i)), 'used', least({budget}L, {context}) + t[i].sum - {before}),
         named_struct('at', a.at, 'used', a.used + t[i].sum - {before}))).at"""
     # history is dropped where it would not fit beside the first new turn
     tight = f"{context} + t[i].sum - {before} > {budget}"
     repeated = f"if(i = 0, slice(t, 1, 0), concat(slice(t, 1, {system}), if({tight}, slice(t, 1, 0), slice(t, {back} + 1, i - {back}))))"
-    cut = f"transform(at, (i, k) -> named_struct('window', k, 'old', {repeated}, 'new', slice(t, i + 1, if(k + 1 < size(at), element_at(at, least(k + 2, size(at))), size(t)) - i)))"
+    cut = f"transform(at, (i, k) -> named_struct('window', chunk * {chunk} + k, 'old', {repeated}, 'new', slice(t, i + 1, if(k + 1 < size(at), element_at(at, least(k + 2, size(at))), size(t)) - i)))"
     out = convs.withColumn("at", F.expr(starts)).select("conv_id", F.explode(F.expr(cut)).alias("w"))
     out = out.select("conv_id", "w.window", F.size("w.old").alias("context_turns"), F.concat("w.old", "w.new").alias("all"))
     size = lambda x: F.length(x["head"]) + F.length(x["body"]) + len(CLOSE)

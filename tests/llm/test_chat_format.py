@@ -45,10 +45,10 @@ ROWS = [
 ]
 
 
-@pytest.mark.parametrize(("budget", "history"), [(1024, 256), (60, 20), (30, 0)])
-def test_edges(spark, budget, history):
+@pytest.mark.parametrize(("budget", "history", "chunk"), [(1024, 256, 4096), (60, 20, 4096), (30, 0, 40), (200, 60, 37)])
+def test_edges(spark, budget, history, chunk):
     df = spark.createDataFrame([(*r, "x") for r in ROWS], "conv_id long, turn long, role string, text string, window string")
-    out = cf.windows(df, budget, history)
+    out = cf.windows(df, budget, history, chunk=chunk)
     assert found(out) == expected(ROWS)
     count = lambda x: -(-len(x.encode()) // 4) + 4
     for r in out.collect():
