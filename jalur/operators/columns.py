@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import clean, plain_name
+from ..sources.tables import written
 
 # Columns by role, and their usual names.
 ALIASES = {
@@ -90,17 +91,27 @@ def record_id(*columns: str) -> Column:
     return F.concat(F.lit("rec-"), F.lower(F.hex(F.xxhash64(*columns))))
 
 
-def numbered(df: DataFrame, *order: str | Column, name: str = "_row_id") -> DataFrame:
-    """Row numbers from 0 in an order that has no ties, without bringing all rows together.
+def numbered(df: DataFrame, *order: str | Column, within: list[str] = (), name: str = "_row_id") -> DataFrame:
+    """Row numbers from 0 in an order that has no ties, within equal values of columns, without bringing rows together.
 
-    Rows are sorted by range over all tasks; each task's rows get the count of the
-    rows in the tasks before, of which one number a task passes through one place.
+    Without an order the rows keep the one they are read in.  Rows are sorted by
+    range over all tasks and written down with their places, so that a lost
+    executor changes no number; each task's rows of a group then get the count
+    of the group's rows in the tasks before.
     """
-    order = order or tuple(df.columns)
-    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_task", F.spark_partition_id()).withColumn("_in", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33))
-    parts = parts.persist()
-    before = parts.groupBy("_task").count().withColumn("_before", F.coalesce(F.sum("count").over(W.orderBy("_task").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("count")
-    return parts.join(F.broadcast(before), "_task").withColumn(name, F.col("_in") + F.col("_before")).drop("_task", "_in", "_before")
+    by = [*within, *order]
+    parts = df.repartitionByRange(*by).sortWithinPartitions(*by) if order else df
+    parts = written(parts.withColumn("_pos", F.monotonically_increasing_id()))
+    task = F.shiftright("_pos", 33)
+    starts = parts.groupBy(*within, task.alias("_task")).agg(F.count("*").alias("_n"), F.min("_pos").alias("_first"))
+    # a row for each task and group in it
+    before = F.coalesce(F.sum("_n").over(W.partitionBy(*within).orderBy("_task").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = starts.select(*[F.col(c).alias(f"_g_{c}") for c in within], F.col("_task"), (before - F.col("_first")).alias("_shift"))
+    on = F.shiftright(parts["_pos"], 33) == F.col("_task")
+    for c in within:
+        on &= parts[c].eqNullSafe(F.col(f"_g_{c}"))
+    out = parts.join(starts, on).withColumn("_number", F.col("_pos") + F.col("_shift"))
+    return out.drop("_pos", "_task", "_shift", name, *[f"_g_{c}" for c in within]).withColumnRenamed("_number", name)
 
 
 def projected(df: DataFrame, names: list[str]) -> DataFrame:
@@ -129,8 +140,10 @@ def without(df: DataFrame, *names: str) -> DataFrame:
 
 
 def overlaid(df: DataFrame, new: DataFrame, key: str, names: list[str]) -> DataFrame:
-    """Values of new by key, where it has one, over those of df."""
+    """Values of new by key, where it has one, over those of df; of several rows of a key the least counts."""
     usable = [c for c in names if c in new.columns]
+    values = F.struct(*usable) if usable else F.lit(None)
+    new = new.groupBy(key).agg(F.min(values).alias("_least")).select(key, *[F.col(f"_least.{c}").alias(c) for c in usable])
     over = new.select(key, *[F.col(c).alias(f"_over_{c}") for c in usable])
     return df.join(over, key, "left").select(*[F.coalesce(f"_over_{c}", c).alias(c) if c in usable else F.col(c) for c in df.columns], *[F.col(f"_over_{c}").alias(c) for c in usable if c not in df.columns])
 

@@ -9,6 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.codes import district_code, state_abbreviation, type_code
+from ..sources.tables import written
+from .columns import numbered
 
 
 def first_rows(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -36,28 +38,32 @@ def duplicates(df: DataFrame, key: str, order: str, flag: str) -> DataFrame:
 
 
 def key_of_first(df: DataFrame, key: str, order: str) -> DataFrame:
-    """The key stays on its first row and is null on the others."""
-    return df.withColumn(key, F.when(duplicate_rank([key], [order]) == 1, F.col(key)))
+    """The key stays on its first row and is null on the others; an aggregate and a join, so that no key's rows are sorted in one task."""
+    return duplicates(df, key, order, "_again").withColumn(key, F.when(~F.col("_again"), F.col(key))).drop("_again")
 
 
 def with_code(df: DataFrame, order: str, prefix: str = "ADR", out: str = "business_code", status: str | None = None, keep_old: str | None = "source_code") -> DataFrame:
     """PREFIX-STATE-DISTRICT-T000001, numbered in order within state, district and type (and status).
 
-    Null where the state or the district has no code.  A code that is there
-    already moves to keep_old.
+    Null where the state or the district has no code; only the other rows are
+    numbered.  A code that is there already moves to keep_old.
     """
     if out in df.columns:
         df = df.withColumnRenamed(out, keep_old) if keep_old and keep_old not in df.columns else df.drop(out)
     kind = F.col("address_type") if "address_type" in df.columns else F.lit(None).cast("string")
-    parts = df.withColumns({"_s": state_abbreviation("state_code"), "_d": district_code("district_code"), "_t": type_code(kind)})
-    n = F.row_number().over(W.partitionBy(*([status] if status else []), "_s", "_d", "_t").orderBy(order))
-    return parts.withColumn(out, F.format_string("%s-%s-%s-%s%06d", F.lit(prefix), F.col("_s"), F.col("_d"), F.col("_t"), n)).withColumn(out, F.when(F.col("_s").isNotNull() & F.col("_d").isNotNull(), F.col(out))).drop("_s", "_d", "_t")
+    parts = written(df.withColumns({"_s": state_abbreviation("state_code"), "_d": district_code("district_code"), "_t": type_code(kind)}))
+    coded = F.col("_s").isNotNull() & F.col("_d").isNotNull()
+    group = [*([status] if status else []), "_s", "_d", "_t"]
+    rows = numbered(parts.where(coded), order, within=group, name="_nth")
+    rows = rows.withColumn(out, F.format_string("%s-%s-%s-%s%06d", F.lit(prefix), F.col("_s"), F.col("_d"), F.col("_t"), F.col("_nth") + 1)).drop("_nth")
+    none = parts.where(~coded).withColumn(out, F.lit(None).cast("string"))
+    return rows.unionByName(none).drop("_s", "_d", "_t")
 
 
 def surrogate(new: DataFrame, old: DataFrame, id_col: str, order: list[str]) -> DataFrame:
-    """Ids for new rows, from the greatest of old on, in order; for dimensions."""
+    """Ids for new rows, from the greatest of old on, in order."""
     top = old.agg(F.coalesce(F.max(id_col), F.lit(0))).first()[0]
-    return new.withColumn(id_col, (F.lit(top) + F.row_number().over(W.orderBy(*order))).cast(dict(old.dtypes)[id_col]))
+    return numbered(new.drop(id_col), *order, name="_nth").withColumn(id_col, (F.lit(top) + 1 + F.col("_nth")).cast(dict(old.dtypes)[id_col])).drop("_nth")
 
 
 def next_id(*tables: tuple[DataFrame, str]) -> DataFrame:

@@ -10,13 +10,14 @@ from ..functions.text import clean, postcode_label, title, upper_clean
 from ..sources.tables import written
 from .dedupe import first_rows
 
-#: Rows of a lookup that are sent to all executors at most; beyond, joins shuffle.
-BROADCAST_ROWS = 500_000
+#: Rows and bytes (as JSON) of a lookup that are sent to all executors at most; beyond, joins shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64 << 20
 
 
-def dimension(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, broadcast if it has no more than so many rows (counting stops there)."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def dimension(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """df, broadcast if it has no more than so many rows and bytes (counting stops at the rows)."""
+    some = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))).first()
+    return F.broadcast(df) if some[0] <= rows and some[1] <= size else df
 
 
 def with_postcode(df: DataFrame, postcodes: DataFrame) -> DataFrame:
@@ -53,39 +54,55 @@ def best_match(df: DataFrame, lookup: DataFrame, name: str, keep: list[str], row
     the distance, then the longer name, then the row's order (_ord).  within:
     columns that must agree where df has a value.
 
-    Candidates come from equi-joins: exact ones by the name's words in the
-    address, near ones by a deletion neighbourhood - two texts within k edits
-    share a text that is left when each loses k letters or fewer.  So no row
-    meets every name.  Rows with the same evidence are matched once.
+    Candidates come from equi-joins of distinct texts: a name meets the addresses
+    that have its rarest word, and an evidence text, once for all rows that have
+    it, the names that share a deletion neighbourhood with it - two texts within
+    k edits share a text that is left when each loses k letters or fewer.  Only
+    names that match are then joined to their rows of the lookup, within the
+    columns that must agree.  So no row meets every name.
     """
-    names = lookup.withColumn("_n", upper_clean(name)).where("_n is not null").select(*[F.col(c).alias(f"_m_{c}") for c in dict.fromkeys([*keep, *within])], "_n", F.col("_ord").alias("_m_ord"))
+    names = written(lookup.withColumn("_n", upper_clean(name)).where("_n is not null").select(*[F.col(c).alias(f"_m_{c}") for c in dict.fromkeys([*keep, *within])], "_n", F.col("_ord").alias("_m_ord")))
+    shape = [c for c in names.columns if c.startswith("_m_")]
     cols = [c for c in evidence if c in df.columns]
-    rows = written(df.select(F.col(row_key).alias("_k"), F.coalesce("address_norm", F.lit(" ")).alias("_norm"), F.array_distinct(F.array_compact(F.array(*[clean(c) for c in cols]))).alias("_ev"), *[clean(c).alias(f"_w_{c}") for c in within]))
-    cases = rows.groupBy("_norm", "_ev", *[f"_w_{c}" for c in within]).agg(F.min("_k").alias("_case"))
-    agrees = F.lit(True)
-    for c in within:
-        agrees &= F.col(f"_w_{c}").isNull() | (F.col(f"_w_{c}") == F.col(f"_m_{c}").cast("string"))
-    # exact: the first word of the name is a word of the address; a name with a mark no word can hold has no exact match
-    words = cases.select("*", F.explode(F.array_distinct(F.split(F.trim("_norm"), " "))).alias("_word"))
-    by_word = dimension(names.withColumn("_word", F.split("_n", " ")[0]))
-    exact = words.join(by_word, "_word").where(agrees & F.contains(F.col("_norm"), F.concat(F.lit(" "), F.col("_n"), F.lit(" "))))
-    # near: deletion neighbourhoods
-    longest = names.agg(F.coalesce(F.max(F.length("_n")), F.lit(0))).first()[0]
-    texts = cases.select("*", F.explode("_ev").alias("_e")).where(F.length("_e") <= longest + near[1])
-    probes = texts.select("*", F.explode(_deletions("_e", F.when(F.length("_e") <= 5, near[0]).otherwise(near[1]), near[1])).alias("_d"))
-    by_probe = dimension(names.select("*", F.explode(_deletions("_n", F.when(F.length("_n") <= 5, near[0]).otherwise(near[1]), near[1])).alias("_d")))
-    close = probes.join(by_probe, "_d").where(agrees & (F.levenshtein("_e", "_n") <= F.when(F.length("_n") <= 5, near[0]).otherwise(near[1])))
-    shape = ["_case", "_ev", "_n", *[c for c in names.columns if c.startswith("_m_")]]
-    found = exact.select(*shape, F.lit(0).alias("_rank")).unionAll(close.select(*shape, F.lit(1).alias("_rank")))
+    own = [f"_w_{c}" for c in within]
+    rows = df.select(F.col(row_key).alias("_k"), F.coalesce("address_norm", F.lit(" ")).alias("_norm"), F.array_distinct(F.array_compact(F.array(*[clean(c) for c in cols]))).alias("_ev"), *[clean(c).alias(w) for c, w in zip(within, own, strict=True)])
+    # rows with the same texts are one case, named by 128 bits of hash
+    rows = written(rows.withColumn("_case", F.struct(F.xxhash64("_norm", "_ev", *own).alias("a"), F.xxhash64(F.lit(1), "_ev", "_norm", *own).alias("b"))))
+    cases = rows.dropDuplicates(["_case"]).drop("_k")
+    texts = names.select("_n").distinct()
+    # exact: by the name's rarest word; a name with a mark no word can hold has no exact match
+    words = texts.select("_n", F.explode(F.array_distinct(F.split("_n", " "))).alias("_word"))
+    often = words.groupBy("_word").agg(F.count("*").alias("_often"))
+    rarest = words.join(often, "_word").groupBy("_n").agg(F.min_by("_word", F.struct("_often", "_word")).alias("_word"))
+    asked = cases.select("_case", "_norm", "_ev", F.explode(F.array_distinct(F.split(F.trim("_norm"), " "))).alias("_word"))
+    hit = asked.join(dimension(rarest), "_word").where(F.contains(F.col("_norm"), F.concat(F.lit(" "), F.col("_n"), F.lit(" "))))
     least = F.coalesce(F.array_min(F.transform("_ev", lambda e: F.levenshtein(e, F.col("_n")))), F.lit(999))
-    order = F.struct("_rank", least.alias("_dist"), (-F.length("_n")).alias("_len"), "_m_ord")
-    best = found.withColumn("_order", order).groupBy("_case").agg(F.min_by(F.struct(*[c for c in names.columns if c.startswith("_m_")], F.col("_order._rank").alias("_m__rank"), F.col("_order._dist").alias("_m__distance")), "_order").alias("_b")).select("_case", "_b.*")
-    same = ["_norm", "_ev", *[f"_w_{c}" for c in within]]
-    of = cases.join(best, "_case").drop("_case")
-    on = F.lit(True)
-    for c in same:
-        on &= rows[c].eqNullSafe(of[c])
-    return rows.join(of, on).select(F.col("_k").alias(row_key), *[c for c in of.columns if c.startswith("_m_")])
+    found = hit.select("_case", "_n", F.lit(0).alias("_rank"), least.alias("_dist"))
+    if cols:
+        # near: deletion neighbourhoods of distinct texts
+        longest = texts.agg(F.coalesce(F.max(F.length("_n")), F.lit(0))).first()[0]
+        said = cases.select("_case", F.explode("_ev").alias("_e")).where(F.length("_e") <= longest + near[1])
+        most = lambda t: F.when(F.length(t) <= 5, near[0]).otherwise(near[1])
+        probes = said.select("_e").distinct().select("_e", F.explode(_deletions("_e", most("_e"), near[1])).alias("_d"))
+        by_probe = dimension(texts.select("_n", F.explode(_deletions("_n", most("_n"), near[1])).alias("_d")))
+        close = probes.join(by_probe, "_d").select("_e", "_n").distinct().withColumn("_dist", F.levenshtein("_e", "_n")).where(F.col("_dist") <= most("_n"))
+        found = found.unionAll(said.join(dimension(close), "_e").select("_case", "_n", F.lit(1).alias("_rank"), "_dist"))
+    # of a case and a name the best; it meets the name's rows, by all columns that must agree where the case has them
+    found = found.groupBy("_case", "_n").agg(F.min(F.struct("_rank", "_dist")).alias("_o")).select("_case", "_n", "_o.*")
+    if within:
+        found = found.join(cases.select("_case", *own), "_case")
+        full, agrees = F.lit(True), F.lit(True)
+        for c, w in zip(within, own, strict=True):
+            full &= F.col(w).isNotNull()
+            agrees &= F.col(w).isNull() | (F.col(w) == F.col(f"_m_{c}").cast("string"))
+        keyed = names.withColumns({w: F.col(f"_m_{c}").cast("string") for c, w in zip(within, own, strict=True)})
+        part = ["_case", "_rank", "_dist", "_n", *shape]
+        found = found.where(full).join(dimension(keyed), ["_n", *own]).select(*part).unionAll(found.where(~full).join(dimension(names), "_n").where(agrees).select(*part))
+    else:
+        found = found.join(dimension(names), "_n")
+    order = F.struct("_rank", "_dist", (-F.length("_n")).alias("_len"), "_m_ord")
+    best = found.groupBy("_case").agg(F.min_by(F.struct(*shape, F.col("_rank").alias("_m__rank"), F.col("_dist").alias("_m__distance")), order).alias("_b")).select("_case", "_b.*")
+    return rows.select("_k", "_case").join(best, "_case").select(F.col("_k").alias(row_key), *[c for c in best.columns if c.startswith("_m_")])
 
 
 def _deletions(text: str, k, most: int):

@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.records import autocomplete_text, document
 from .lookup import dimension
 
-#: Dimensions of an address by the key they are joined on.
-DIMENSIONS = ["street", "locality", "mukim", "district", "state", "postcode", "pbt"]
-
 
 def star(facts: DataFrame, dims: dict[str, DataFrame]) -> DataFrame:
     """Facts with the columns of each dimension, left-joined on the given key."""

@@ -111,6 +111,11 @@ def linked(rows: DataFrame, parents: DataFrame, row_key: str, parent_id: str, co
     return rows.drop(parent_id).join(best, F.col(row_key) == F.col("_k"), "left").drop("_k")
 
 
+def unmatched(rows: DataFrame, *ids: str) -> DataFrame:
+    """Rows, and how many of them have no parent, of each id."""
+    return rows.agg(F.count("*").alias("rows"), *[F.count_if(F.col(c).isNull()).alias(f"unmatched_{c}") for c in ids])
+
+
 def semi(df: DataFrame, keys_of: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose keys are there."""
     return df.join(keys_of.select(*keys).distinct(), keys, "left_semi")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions.text import sql_key, squeezed
+from ..sources.tables import swap, written
 from .dedupe import first_rows, key_of_first, latest, surrogate
 from .lookup import dimension
 
@@ -40,6 +41,46 @@ def guarded(status: str, apply: bool) -> str:
     return "blocked" if status == "blocked" else "applied" if apply else "dry_run"
 
 
+def apply_refresh(status: str, apply: bool, snapshot: DataFrame, path: str) -> str:
+    """M4: the new snapshot takes the table's place if the batch isn't blocked and is to be applied; what happened."""
+    outcome = guarded(status, apply)
+    if outcome == "applied":
+        swap(snapshot, path)
+    return outcome
+
+
+def rejected(rows: DataFrame, existing: DataFrame, keys: list[str], required: list[str], parents: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Rows with problem, an array: missing_COLUMN, duplicate (the keys are there already, or twice among rows), unknown_PARENT.
+
+    parents: a column and the table that must have its value, in a column of that name; a null value has no parent to miss.
+    """
+    there = existing.select(*[F.col(k).alias(f"_e_{k}") for k in keys]).distinct().withColumn("_there", F.lit(True))
+    twice = rows.groupBy(*[F.col(k).alias(f"_t_{k}") for k in keys]).agg((F.count("*") > 1).alias("_twice"))
+    out, on, same = rows, F.lit(True), F.lit(True)
+    for k in keys:
+        on &= F.col(k) == F.col(f"_e_{k}")
+        same &= F.col(k).eqNullSafe(F.col(f"_t_{k}"))
+    out = out.join(there, on, "left").join(twice, same, "left")
+    found = [F.when(F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) == "", F.lit(f"missing_{c}")) for c in required]
+    found.append(F.when(F.coalesce("_there", "_twice", F.lit(False)), F.lit("duplicate")))
+    for c, table in (parents or {}).items():
+        known = table.select(F.col(c).alias(f"_p_{c}")).distinct().withColumn(f"_known_{c}", F.lit(True))
+        out = out.join(dimension(known), F.col(c) == F.col(f"_p_{c}"), "left")
+        found.append(F.when(F.col(c).isNotNull() & F.col(f"_known_{c}").isNull(), F.lit(f"unknown_{c}")))
+    return out.withColumn("problem", F.array_compact(F.array(*found))).select(*rows.columns, "problem")
+
+
+def changed(old: DataFrame, rows: DataFrame, keys: list[str], required: list[str], paths: list[str], parents: dict[str, DataFrame] | None = None) -> DataFrame:
+    """The table with new rows, put into each of the places it is kept in; an error, and no change, if a row is rejected."""
+    bad = rejected(rows, old, keys, required, parents).where(F.size("problem") > 0).limit(5).collect()
+    if bad:
+        raise ValueError(f"rejected: {[tuple(r) for r in bad]}")
+    new = written(old.unionByName(rows, allowMissingColumns=True))
+    for path in paths:
+        swap(new, path)
+    return new
+
+
 def canonical_key() -> Column:
     """SHA-256 of the parts, bar-joined."""
     return F.sha2(F.concat_ws("|", *[sql_key(c) for c in KEY_TEXTS], *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in KEY_IDS], sql_key("country")), 256)
@@ -83,6 +124,17 @@ def activated(versions: DataFrame, features: DataFrame, version_id: int) -> tupl
     return rows.withColumn("status", status).drop("_t"), features.where(F.col("version_id") == version_id)
 
 
+def activate(versions: DataFrame, features: DataFrame, version_id: int, wkt: str = "boundary_wkt") -> tuple[DataFrame, DataFrame]:
+    """M9: activated(), unless the version isn't there, has no feature, or has one without a valid geometry: then an error."""
+    if versions.where(F.col("version_id") == version_id).isEmpty():
+        raise ValueError(f"there is no version {version_id}")
+    own = features.where(F.col("version_id") == version_id)
+    missing, invalid = invalid_features(own, wkt).first()
+    if missing or invalid or own.isEmpty():
+        raise ValueError(f"version {version_id} can't be active: {missing} features without a geometry, {invalid} with an invalid one")
+    return activated(versions, features, version_id)
+
+
 def reviewed(reviews: DataFrame, decisions: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Reviews with decisions (review_id, decision approve or reject, reviewed_by) carried out where they're open, and aliases with those of the approved."""
     first = first_rows(decisions, ["review_id"], [F.col("decision")]).select("review_id", F.col("decision").alias("_d"), F.col("reviewed_by").alias("_by"))
@@ -108,10 +160,13 @@ def claimed(jobs: DataFrame, wanted: DataFrame, worker: Column) -> DataFrame:
 
 
 def idempotent(requests: DataFrame, key: str, fingerprint: str, order: str) -> DataFrame:
-    """Each request as new, replayed (same fingerprint as the first of its key) or conflict (another); a null key is always new."""
-    w = W.partitionBy(key).orderBy(order)
-    first, n = F.first(fingerprint).over(w), F.row_number().over(w)
-    return requests.withColumn("outcome", F.when(F.col(key).isNull() | (n == 1), "new").when(first.eqNullSafe(F.col(fingerprint)), "replayed").otherwise("conflict"))
+    """Each request as new, replayed (same fingerprint as the first of its key) or conflict (another); a null key is always new.
+
+    The first of each key by a partial aggregate, then a join that AQE can split.
+    """
+    first = requests.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.min(F.struct(F.col(order).alias("o"), F.col(fingerprint).alias("f"))).alias("_first"))
+    out = requests.join(first, F.col(key) == F.col("_k"), "left")
+    return out.withColumn("outcome", F.when(F.col(key).isNull() | (F.col(order) == F.col("_first.o")), "new").when(F.col("_first.f").eqNullSafe(F.col(fingerprint)), "replayed").otherwise("conflict")).drop("_k", "_first")
 
 
 def revoked(keys: DataFrame, ids: DataFrame, at: Column) -> DataFrame:
@@ -120,6 +175,19 @@ def revoked(keys: DataFrame, ids: DataFrame, at: Column) -> DataFrame:
     return rows.withColumns({"status": F.when(F.col("_do"), "revoked").otherwise(F.col("status")), "revoked_at": F.when(F.col("_do"), at).otherwise(F.col("revoked_at"))}).drop("_r", "_do")
 
 
+def issued(keys: DataFrame, new: DataFrame, at: Column) -> DataFrame:
+    """Keys with new ones (key_id, name, key_hash), active; ids that are there already are left out."""
+    fresh = new.join(keys.select("key_id"), "key_id", "left_anti").withColumns({"status": F.lit("active"), "created_at": at})
+    return keys.unionByName(fresh, allowMissingColumns=True)
+
+
+def touched(keys: DataFrame, used: DataFrame) -> DataFrame:
+    """last_used_at of active keys by the latest use (key_id, at); it never goes back."""
+    last = used.groupBy("key_id").agg(F.max("at").alias("_at"))
+    out = keys.join(last, "key_id", "left")
+    return out.withColumn("last_used_at", F.when(F.col("status") == "active", F.greatest("last_used_at", "_at")).otherwise(F.col("last_used_at"))).drop("_at")
+
+
 def bootstrap_missing(required: DataFrame, manifest: DataFrame) -> DataFrame:
     """Tables that are asked for and not loaded yet."""
     return required.select("table_name").distinct().join(manifest.select("table_name").distinct(), "table_name", "left_anti")

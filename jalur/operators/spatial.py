@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions.text import postcode, upper_clean
+from ..sources.tables import written
 from .lookup import dimension
 
 #: Cells of a polygon at most; a larger polygon's cells are wider by powers of two.
@@ -33,11 +34,15 @@ def candidates(points: DataFrame, shapes: DataFrame, lon: str, lat: str, size: f
     """Points with the shapes whose box they are in (columns of shapes as they are).
 
     Each shape is put down at the level of cells, size * 2^level, of which its
-    box covers CELLS at most; a point asks once for each level there is.
+    box covers CELLS at most; a point asks once for each level there is.  Cells
+    hold a shape's number and box; its rings, which can be large, are fetched by
+    number for the pairs that are left.
     """
+    shapes = written(shapes.withColumn("_shape", F.monotonically_increasing_id()))
+    box = ["min_x", "max_x", "min_y", "max_y"]
     wide = F.greatest(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y"))
     level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(wide, F.lit(1e-12)) / (size * (int(CELLS**0.5) - 1))))).cast("int")
-    put = shapes.withColumn("_level", level).withColumn("_size", F.lit(size) * F.pow(F.lit(2.0), F.col("_level")))
+    put = shapes.select("_shape", *box).withColumn("_level", level).withColumn("_size", F.lit(size) * F.pow(F.lit(2.0), F.col("_level")))
     axis = lambda lo, hi: F.sequence(_cell(F.col(lo), F.col("_size")), _cell(F.col(hi), F.col("_size")))
     put = put.withColumn("_cx", F.explode(axis("min_x", "max_x"))).withColumn("_cy", F.explode(axis("min_y", "max_y"))).drop("_size")
     levels = sorted(r[0] for r in put.select("_level").distinct().collect())  # some dozens at most
@@ -45,7 +50,8 @@ def candidates(points: DataFrame, shapes: DataFrame, lon: str, lat: str, size: f
     asked = there.withColumn("_level", F.explode(F.array(*[F.lit(n) for n in levels]) if levels else F.array().cast("array<int>")))
     asked = asked.withColumn("_s", F.lit(size) * F.pow(F.lit(2.0), F.col("_level"))).withColumns({"_cx": _cell(F.col(lon), F.col("_s")), "_cy": _cell(F.col(lat), F.col("_s"))}).drop("_s")
     inside = (F.col(lon) >= F.col("min_x")) & (F.col(lon) <= F.col("max_x")) & (F.col(lat) >= F.col("min_y")) & (F.col(lat) <= F.col("max_y"))
-    return asked.join(dimension(put), ["_level", "_cx", "_cy"]).where(inside).drop("_level", "_cx", "_cy")
+    pairs = asked.join(dimension(put), ["_level", "_cx", "_cy"]).where(inside).drop("_level", "_cx", "_cy", *box)
+    return pairs.join(dimension(shapes.drop(*box)), "_shape").drop("_shape")
 
 
 def first_within(points: DataFrame, shapes: DataFrame, row_key: str, keep: list[str], order: str = "_ord", lon: str = "longitude", lat: str = "latitude", size: float = 0.25) -> DataFrame:

@@ -176,7 +176,7 @@ def x27_x28_x33_fingerprints(spark, d):
     return table(spark, d, "customer").select("c_custkey", records.fingerprint("c_name", "c_custkey").alias("fingerprint"), key.alias("key"), text.retry_key("c_name").alias("retry_key"))
 
 
-@query("""select event_id, ts < timestamp '2024-01-15' - interval 300 second as stale, cast(strftime(ts, '%Y-%m-%d') as varchar) as day, '***' as token, event_type as kind,
+@query("""select event_id, ts < timestamp '2024-01-15' - interval 300 second as stale, cast(strftime(ts, '%Y-%m-%d') as varchar) as day, '***REDACTED***' as token, event_type as kind,
  'clean_text' as stage, event_id as rows from events""")
 def x30_x32_times_logs_redaction(spark, d):
     m = records.redacted(F.create_map(F.lit("api_key"), F.lit("k"), F.lit("kind"), "event_type"))
@@ -200,10 +200,13 @@ def p1_p6_p19_p22_columns(spark, d):
     return out.select("id", columns.composed(["building_name", "state_name"]).alias("composed"), F.col("address_for_parse").alias("chosen"), F.col("address_source").alias("source"), "country", columns.best_score("a", "b").alias("best"))
 
 
-@query("""select o_orderkey, row_number() over (order by o_orderkey) - 1 as row_id, o_custkey = o_custkey as same from orders""")
+@query("""select o_orderkey, row_number() over (order by o_orderkey) - 1 as row_id, row_number() over (partition by o_orderstatus order by o_orderkey) - 1 as nth, count(*) over (partition by o_custkey, o_orderstatus) as same_id from orders""")
 def p7_p8_row_ids(spark, d):
-    out = columns.numbered(table(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", name="row_id")
-    return out.select("o_orderkey", "row_id", (columns.record_id("o_custkey") == columns.record_id("o_custkey")).alias("same"))
+    """Numbers over all rows and within a status, and how many rows share a record id."""
+    out = columns.numbered(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), "o_orderkey", name="row_id")
+    out = columns.numbered(out, "o_orderkey", within=["o_orderstatus"], name="nth").withColumn("id", columns.record_id("o_custkey", "o_orderstatus"))
+    same = out.groupBy("id").agg(F.count("*").alias("same_id"))
+    return out.join(same, "id").select("o_orderkey", "row_id", "nth", "same_id")
 
 
 @query("""select event_id, case when event_id % 2 = 0 then cast(json_extract(props, '$.k') as int) end as k from events""")
@@ -351,6 +354,18 @@ def j21_j22_corrections(spark, d):
     return out.select("id", F.col("address_for_parse").alias("address"), "note")
 
 
+@query(f"""with {ADDRESSES} select id, printf('%02d', r_regionkey + 1) as state_code, 'NO ' || id || ', JALAN ' || case when id % 3 = 1 then 'CORRECTED' else c_mktsegment end || ', TAMAN ' || (id % 7) || ', ' || replace(n_name, '_', ' ') || ', ' || r_name || ', ' || (10000 + id % 90000) || ', ' || r_name as address_clean from addr""")
+def c5_p20_j22_retry(spark, d):
+    """Failed rows with stale codes, and several corrections of an id, of which the first counts, through the batch pipeline again."""
+    a = samples.addresses(spark, d)
+    stale = {"state_code": F.lit("99"), "state_name": F.lit("NOWHERE"), "district_code": F.lit("99"), "premise_no": F.lit("0"), "validation_status": F.lit("FAIL"), "confidence_score": F.lit(0)}
+    failed = a.select(F.col("id").cast("string").alias("record_id"), F.col("id").alias("_row_id"), F.col("address").alias("source_address_old"), F.lit(None).cast("string").alias("source_address_new"), F.col("lon").alias("longitude"), F.col("lat").alias("latitude")).withColumns(stale)
+    text_ = F.regexp_replace("source_address_old", "Jalan [A-Z]+", "Jalan Corrected")
+    fixes = failed.where("_row_id % 3 = 1").select("record_id", F.explode(F.array(F.lit(2), F.lit(1), F.lit(3))).alias("seq"), text_.alias("corrected_address")).withColumn("corrected_address", F.when(F.col("seq") > 1, "Jalan Wrong").otherwise(F.col("corrected_address")))
+    out = corrections.retried(failed, fixes, lambda rows: standardised(rows, samples.lookups(spark, d)), "record_id", "seq")
+    return out.select(F.col("record_id").cast("long").alias("id"), "state_code", "address_clean")
+
+
 @query("""with n as (select p_partkey, ' ' || upper(p_name || ' of ' || p_type) || ' ' as norm from part), k as (select distinct upper(p_type) as name from part union select distinct upper(p_name) from part)
 select p_partkey, name from (select p_partkey, name, row_number() over (partition by p_partkey order by length(name) desc, name) as rn from n join k on contains(norm, ' ' || name || ' ')) where rn = 1""")
 def j25_contained_names(spark, d):
@@ -679,7 +694,7 @@ def s17_uploads(spark, d):
 
 @query("""select 'addr-' || row_number() over (order by n_nationkey) as record_id, n_name as address from nation""")
 def s12_s13_records(spark, d):
-    names = [r.n_name for r in table(spark, d, "nation").orderBy("n_nationkey").collect()]
+    names = [r.n_name for r in table(spark, d, "nation").orderBy("n_nationkey").collect()]  # a request's text, of 1,000 records at most
     return readers.records(spark, text="\n\n".join(names)).select("record_id", "address")
 
 
@@ -706,15 +721,10 @@ def g3_routing(spark, d):
     return dedupe.united(*[df.agg(F.count("*").alias("n")).withColumn("route", F.lit(name)) for name, df in parts.items()]).select("route", "n")
 
 
-@query("""with j as (select event_id as k from events where event_id < 200)
+@query("""with j as (select event_id as k from events)
 select k::varchar as job_id, 4 as moves, case when k % 2 = 0 then 'completed' else 'failed' end as status, 1 + (k % 2) as refused from j""")
 def g4_g8_job_states(spark, d):
-    """Moves of jobs as a stateful stream, every event a job; the SQL asks for those below 200."""
-    return job_states(spark, d).where(F.col("job_id").cast("long") < 200)
-
-
-def job_states(spark, d):
-    """Each event as a job that moves through the stream; a second claim is refused, and a completion after a failure."""
+    """Each event as a job that moves through a stateful stream; a second claim is refused, and a completion after a failure."""
     k = F.col("event_id")
     steps = F.when(k % 2 == 0, F.array(*map(F.lit, ("uploaded", "queue", "claim", "claim", "complete")))).otherwise(F.array(*map(F.lit, ("uploaded", "queue", "claim", "claim", "fail", "complete"))))
     log = table(spark, d, "events").select(k.cast("string").alias("job_id"), F.posexplode(steps).alias("i", "event"), "ts").select("job_id", "event", (F.col("ts") + F.make_dt_interval(secs=F.col("i"))).alias("at"))
@@ -733,6 +743,40 @@ def g7_chained_events(spark, d):
     return jobs.decoded(jobs.chained(done)).select(F.col("job_id").alias("job"))
 
 
+@query("""select event_id::varchar as job, 'search_sync_requested' as kind from events where event_id % 2 = 0 and event_id % 3 = 0""")
+def k9_g2_g6_g7_streams(spark, d):
+    """Results that arrive twice, as a stream: each job counts once, its search event is published, and a second stream reads what was."""
+    k = F.col("event_id")
+    done = table(spark, d, "events").select(k.cast("string").alias("job_id"), F.when(k % 2 == 0, "completed").otherwise("failed").alias("status"), (k % 3 == 0).alias("loaded"))
+    src, at = _path(spark, "results"), _path(spark, "chain")
+    done.unionAll(done).write.parquet(src)
+    jobs.chain(jobs.messages(spark, src, done.schema, 1000, "parquet"), at, f"{at}-checkpoint", f"{at}-topic")
+    said = jobs.decoded(jobs.messages(spark, f"{at}-topic/*", "value string", 1000, "text"))
+    jobs.run_once(said.select("job_id", "event_type"), f"{at}-search", f"{at}-search-checkpoint")
+    return spark.read.parquet(f"{at}-search").select(F.col("job_id").alias("job"), F.col("event_type").alias("kind"))
+
+
+@query("""with l as (select event_id, event_id % 5 as k from events)
+select event_id, case k when 0 then 45 when 1 then 95 when 2 then cast(floor(20 + 70 * least(1.0, (event_id % 9 + 1) / 10.0)) as int) end as percent, case k when 0 then 'transform' when 1 then 'failing' end as stage, case when k = 3 then event_id end as success_count from l""")
+def x31_log_progress(spark, d):
+    k, n = F.col("event_id") % 5, F.col("event_id")
+    line = F.when(k == 0, "PIPELINE_STAGE: Clean").when(k == 1, "Traceback (most recent call last):").when(k == 2, F.concat(F.lit("[Stage 3:> ("), n % 9, F.lit(" + 1) / 10]"))).when(k == 3, F.concat(F.lit("CHECKPOINT stage=load event=done success_count="), n, F.lit(" failed_count=0"))).otherwise("hello")
+    percent, stage = records.log_progress("line")
+    return table(spark, d, "events").withColumn("line", line).select("event_id", percent.alias("percent"), stage.alias("stage"), records.load_counts("line")["success_count"].alias("success_count"))
+
+
+@query("""select n_nationkey, case when n_nationkey % 6 = 0 then 'missing_n_name' when n_nationkey % 5 = 0 then 'duplicate' else '' end || case when n_regionkey > 2 then '|unknown_n_regionkey' else '' end as problem from nation""")
+def m10_lookup_checks(spark, d):
+    n = table(spark, d, "nation")
+    rows = n.select("n_nationkey", F.when(F.col("n_nationkey") % 6 != 0, F.col("n_name")).alias("n_name"), "n_regionkey", (F.col("n_nationkey") + F.when((F.col("n_nationkey") % 5 == 0) & (F.col("n_nationkey") % 6 != 0), 0).otherwise(1000)).alias("code"))
+    old = n.select(F.col("n_nationkey").alias("code"))
+    parents = {"n_regionkey": table(spark, d, "region").where("r_regionkey <= 2").select(F.col("r_regionkey").alias("n_regionkey"))}
+    out = snapshot.rejected(rows, old, ["code"], ["n_name"], parents)
+    first = F.concat_ws("|", F.filter("problem", lambda x: ~F.startswith(x, F.lit("unknown"))))
+    rest = F.filter("problem", lambda x: F.startswith(x, F.lit("unknown")))
+    return out.select("n_nationkey", F.concat(first, F.when(F.size(rest) > 0, F.concat(F.lit("|"), rest[0])).otherwise("")).alias("problem"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.spatial import boundaries
@@ -66,6 +65,3 @@ def bands(spark: SparkSession, d: str) -> DataFrame:
     wkt = F.format_string("POLYGON((%d 0, %d 0, %d 100, %d 100, %d 0))", x, x + 20 + x, x + 20 + x, x, x)
     return boundaries(table(spark, d, "region").select(F.col("r_regionkey").alias("state_id"), wkt.alias("geom_wkt")))
 
-
-def numbered_orders(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "orders").withColumn("n", F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")))

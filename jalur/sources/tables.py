@@ -13,9 +13,11 @@ _local: dict[str, str] = {}
 
 
 def scratch(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; only where it is unset, as in tests, a temporary folder."""
+    """spark.checkpoint.dir; only where it is unset on one machine, as in tests, a temporary folder."""
     if root := spark.conf.get("spark.checkpoint.dir", None):
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return _local.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="jalur-"))
 
 
@@ -43,10 +45,15 @@ def swap(df: DataFrame, path: str) -> None:
     df.write.parquet(new)
     fs, p = filesystem(spark, path)
     at = lambda x: spark._jvm.org.apache.hadoop.fs.Path(x)
-    if fs.exists(p):
-        fs.rename(p, at(old))
-    fs.rename(at(new), p)
-    fs.delete(at(old), True)
+    was = fs.exists(p)
+    if was and not fs.rename(p, at(old)):
+        raise OSError(f"{path} can't be moved; the new snapshot is at {new}")
+    if not fs.rename(at(new), p):
+        if was:
+            fs.rename(at(old), p)
+        raise OSError(f"{new} can't be moved to {path}")
+    if was:
+        fs.delete(at(old), True)
 
 
 def checkpointed(make, spark: SparkSession, path: str, stage: str, job: str, fingerprint: str, resume: bool = True) -> DataFrame:

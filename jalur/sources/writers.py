@@ -94,6 +94,26 @@ def once(df: DataFrame, path: str, keys: list[str], order: str) -> None:
     flat(first_rows(df, keys, [F.col(order)]).drop(order)).write.mode("overwrite").csv(path, header=True)
 
 
+# Lookup files and the tables they are loaded into.
+LOOKUPS = {
+    "state.csv": "state",
+    "district.csv": "district",
+    "mukim.csv": "mukim",
+    "postcode.csv": "postcode",
+    "district_aliases.csv": "district_aliases",
+    "locality.csv": "locality_lookup",
+    "sublocality.csv": "sublocality_lookup",
+    "street_type.csv": "street_type",
+    "street_type_alias.csv": "street_type_alias",
+    "street_name.csv": "street_name",
+}
+
+
+def lookup_files(spark, folder: str) -> dict[str, DataFrame]:
+    """K7: the lookup tables of a folder's CSV files, as texts; files that aren't there are left out."""
+    return {table: spark.read.csv(f"{folder}/{name}", header=True) for name, table in LOOKUPS.items() if exists(spark, f"{folder}/{name}")}
+
+
 def bootstrap(spark, tables: dict[str, DataFrame], path: str, version: str) -> list[str]:
     """Tables that aren't there yet are written under path; their names are returned and put into the manifest."""
     made = []

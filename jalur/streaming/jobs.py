@@ -53,6 +53,28 @@ def first_of_key(events: DataFrame, key: str, at: str | None = None, late: str =
     return events.withWatermark(at, late).dropDuplicatesWithinWatermark([key]) if at else events.dropDuplicates([key])
 
 
+def publish(messages: DataFrame, path: str, batch: int) -> None:
+    """K9: a batch's messages (value) as lines of a folder that messages() reads; a batch that is done again replaces itself."""
+    messages.select("value").write.mode("overwrite").option("compression", "none").text(f"{path}/batch-{batch}")
+
+
+def publish_to_broker(messages: DataFrame, servers: str, topic: str, key: str = "job_id") -> None:
+    """K9: messages (value, and a key) to a topic; needs the connector of the broker to be installed."""
+    messages.select(F.col(key).alias("key"), "value").write.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).save()
+
+
+def broker_messages(spark: SparkSession, servers: str, topic: str, at_most: int = 10_000) -> DataFrame:
+    """Messages of a topic (value as text); what was read is in the query's checkpoint."""
+    rows = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).option("maxOffsetsPerTrigger", at_most).load()
+    return rows.select(F.col("value").cast("string").alias("value"))
+
+
+def chain(results: DataFrame, path: str, checkpoint: str, topic: str) -> None:
+    """What there is of a stream of results (job_id, status, loaded): each job once, kept under path, and its search event published."""
+    once = first_of_key(results, "job_id")
+    run_once(once, path, checkpoint, lambda df, batch: publish(chained(df), topic, batch))
+
+
 def _moves(stale: float):
     def run(key: tuple[str], frames: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
         status, at, started, recoveries = state.get if state.exists else (None, None, None, 0)

@@ -113,6 +113,6 @@ def test_geometry(spark):
 
 
 def test_records(spark):
-    assert records.redact({"a": 1, "Password": "x", "in": [{"api_key": 2}]}) == {"a": 1, "Password": "***", "in": [{"api_key": "***"}]}
+    assert records.redact({"a": 1, "Password": "x", "in": [{"api_key": 2}]}) == {"a": 1, "Password": "***REDACTED***", "in": [{"api_key": "***REDACTED***"}]}
     got = values(spark, ['text {"a": 1} more', "```json\n[1]\n```", "none"], records.json_text("t"))
     assert [g[0] for g in got] == ['{"a": 1}', "[1]", None]
