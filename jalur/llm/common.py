@@ -12,7 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_local: dict[str, str] = {}
+from ..sources.tables import scratch
+
 _shipped: set[str] = set()
 _DEFAULT_BATCH, BATCH = "67108864b", "8m"
 
@@ -37,23 +38,8 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir.
-
-    Only where the session has none, as in tests on one machine, a temporary
-    folder is made.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _local:
-        _local[app] = "file://" + tempfile.mkdtemp(prefix="jalur-")
-    return _local[app]
-
-
 def _scratch(spark: SparkSession) -> str:
-    return f"{scratch_root(spark)}/jalur-{uuid.uuid4().hex}"
+    return f"{scratch(spark)}/jalur-{uuid.uuid4().hex}"
 
 
 class Table:

@@ -92,9 +92,10 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_word
     kept = Table(told.where("at = first").orderBy("at").select("id", "key", "x", F.monotonically_increasing_id().alias("seg")))
     depth = max(0, min_words.bit_length() - 1)
     ranked = ranks(kept.df.select("seg", F.posexplode("x").alias("pos", "l")).select("seg", "pos", "l.place", "l.words", "l.h", "l.g"), depth)
-    item = F.struct("pos", "place", "words", F.array(*[f"r{k}" for k in range(depth + 1)]).alias("r"))
-    whole = ranked.df.groupBy("seg").agg(F.sort_array(F.collect_list(item)).alias("x"))
-    whole = whole.withColumn("sums", F.aggregate("x", F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x["words"]))))
+    total = F.sum("words").over(W.partitionBy("seg").orderBy("pos"))
+    item = F.struct("pos", "place", "total", F.array(*[f"r{k}" for k in range(depth + 1)]).alias("r"))
+    whole = ranked.df.withColumn("total", total).groupBy("seg").agg(F.sort_array(F.collect_list(item)).alias("x"))
+    whole = whole.withColumn("sums", F.concat(F.array(F.lit(0).cast("long")), F.transform("x", lambda x: x["total"])))
     n = F.size("x")
     # ends of the shortest runs from each line on, and starts of the shortest ones up to each line
     ends = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(i.alias("lo"), F.get(F.filter(F.sequence(i + 1, F.least(i + min_words, n)), lambda j: F.col("sums")[j] - F.col("sums")[i] >= min_words), F.lit(0)).alias("hi")))
