@@ -479,7 +479,8 @@ def a5_a6_j12_checks(spark, d):
     return _checks(spark, d)
 
 
-@query("""select 'blocked' as status""")
+@query(_CHECKS + """, r as (select case when n <= 0 then 'pass' when severity = 'error' then 'blocked' else 'warning' end as status from c union all select case when pct >= 25 then 'blocked' when pct >= 10 then 'warning' else 'pass' end from e)
+ select case when bool_or(status = 'blocked') then 'blocked' when bool_or(status = 'warning') then 'warning' else 'pass' end as status from r""")
 def a7_overall_status(spark, d):
     return refresh.overall(_checks(spark, d))
 
