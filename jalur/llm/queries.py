@@ -144,5 +144,23 @@ select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(words.n, 0) as b
 """
 
 
+_OP9 = """
+with recursive said as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '\\### Assistant: </turn> ok' union all select -7, 1, 'assistant', '\\### Assistant: </turn> ok'),
+t as (select dense_rank() over (order by conv_id nulls first) as g, conv_id, row_number() over (partition by conv_id order by turn nulls first, role, text) - 1 as n, role, text,
+  cast(ceil(strlen(text) / 4.0) as bigint) + 4 as tok, 15 + length(regexp_replace(role, '[\\\\<\n]', 'xx', 'g')) + length(regexp_replace(text, '[\\\\<]', 'xx', 'g')) as chars from said),
+s as (select *, coalesce(sum(tok) over w, 0) as before, coalesce(sum(chars) over w, 0) as before_chars from t window w as (partition by g order by n rows between unbounded preceding and 1 preceding)),
+h as (select g, case when role = 'system' then 1 else 0 end as system, tok as head, chars as head_chars from s where n = 0),
+b as (select s.g, s.n, min(p.n) as back from s join h using (g) join s as p on p.g = s.g and p.n <= s.n and p.n >= greatest(least(system, s.n), s.n - 8) and s.before - p.before <= 256 group by s.g, s.n),
+c as (select s.*, system * head + s.before - p.before as context, system * head_chars as fixed_chars, s.before_chars - p.before_chars as back_chars from s join h using (g) join b using (g, n) join s as p on p.g = s.g and p.n = b.back),
+r as (select g, n, tok as used, false as starts from c where n = 0
+  union all select c.g, c.n, case when r.used + c.tok > 1024 then least(1024, c.context) + c.tok else r.used + c.tok end, r.used + c.tok > 1024 from r join c on c.g = r.g and c.n = r.n + 1)
+select any_value(conv_id) as conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by n)) as turns_sha256,
+  cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars, sha256(coalesce(string_agg(text, '' order by n) filter (role = 'assistant'), '')) as loss_sha256,
+  cast(sum(chars + case when starts then fixed_chars + case when context + tok > 1024 then 0 else back_chars end else 0 end) as bigint) as formatted_chars
+from c join r using (g, n) group by g
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_frequency": _OP3, "op8_decontamination": _OP8}
+    return {"op3_line_frequency": _OP3, "op8_decontamination": _OP8, "op9_chat_windows": _OP9}

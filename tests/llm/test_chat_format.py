@@ -35,7 +35,12 @@ def test_whole_table(spark, sf_dir):
     rows += [(-7, 0, "user", said), (-7, 1, "assistant", said)]
     got = op9_chat_windows(spark, sf_dir).collect()
     assert {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in got} == expected(rows)
-    assert all(r.formatted_chars > 0 for r in got)
+    from jalur.llm.queries import oracle_sql
+    from tests.oracle import connection
+
+    sql = connection(sf_dir).execute(oracle_sql()["op9_chat_windows"])
+    names = [c[0] for c in sql.description]
+    assert sorted(tuple(r[n] for n in names) for r in got) == sorted(sql.fetchall())
 
 
 ROWS = [
