@@ -20,7 +20,6 @@ fingerprint of 512 bits over five-word shingles decides them.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -93,13 +92,13 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 _SEEDS = _mixed(np.arange(1, TABLES + PARTS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def _majority(hashes: np.ndarray, weights: np.ndarray, seeds: np.ndarray) -> np.ndarray:
-    """The fingerprint of weighted hashes, 64 bits for each seed: a bit is 1 if set in over half the weight."""
-    total = np.zeros(64 * len(seeds))
-    for lo in range(0, len(hashes), 1 << 11):  # bounded memory for any length
-        bits = np.unpackbits(_mixed(hashes[lo : lo + (1 << 11), None] ^ seeds).view(np.uint8), axis=1, bitorder="little")
-        total += weights[lo : lo + (1 << 11)].astype(np.float32) @ bits.astype(np.float32)
-    return np.packbits(2 * total > weights.sum(), bitorder="little").view(np.uint64)
+def _majority(hashes: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """The fingerprint of hashes, 64 bits for each seed: a bit is 1 if set in over half of them."""
+    total = np.zeros(64 * len(seeds), np.int64)
+    for lo in range(0, len(hashes), 255):  # bounded memory for any length, and counts that fit a byte
+        mixed = _mixed(hashes[lo : lo + 255, None] ^ seeds)
+        total += np.unpackbits(mixed.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.uint8)
+    return np.packbits(2 * total > len(hashes), bitorder="little").view(np.uint64)
 
 
 def wide_fingerprint(text: bytes, known: dict[bytes, int], width: int = 5) -> np.ndarray:
@@ -112,18 +111,14 @@ def wide_fingerprint(text: bytes, known: dict[bytes, int], width: int = 5) -> np
         return np.zeros(TABLES + PARTS, np.uint64)
     if len(known) > HASHES:
         known.clear()
-    count = Counter(words)
-    for w in count.keys() - known.keys():
+    for w in set(words).difference(known):
         known[w] = xxhash.xxh64_intdigest(w, 42)
-    once = np.fromiter((known[w] for w in count), np.uint64, len(count))
-    one = _majority(once, np.fromiter(count.values(), np.int64, len(count)), _SEEDS[:TABLES])
     h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     n = max(1, len(h) - width + 1)
     shingle = np.zeros(n, np.uint64)
     for k in range(min(width, len(h))):
         shingle = _mixed(shingle + h[k : k + n])
-    shingle = np.unique(shingle)
-    return np.r_[one, _majority(shingle, np.ones(len(shingle)), _SEEDS[TABLES:])]
+    return np.concatenate([_majority(h, _SEEDS[:TABLES]), _majority(np.unique(shingle), _SEEDS[TABLES:])])
 
 
 def wide_budget(similarity: float) -> int:
