@@ -50,7 +50,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     ship(spark)
     # beside the other stages' workers there is memory for a smaller cache than operator 1 has alone
-    rows = encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, pieces=100_000, words=20_000)
+    rows = encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, pieces=200_000)
     return rows.withColumn("n_tokens", (F.octet_length("token_ids") / 4).cast("long"))
 
 
