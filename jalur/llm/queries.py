@@ -162,5 +162,25 @@ from c join r using (g, n) group by g
 """
 
 
+_TRIM = "trim(raw, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+
+# the shortest runs of 50 words from each line on and up to each line; equal runs are grouped by their whole text
+_OP7 = f"""
+with d as (select row_number() over (order by doc_id nulls first, text) as r, doc_id, text, string_split(coalesce(text, ''), chr(10)) as a from documents),
+raw as (select r, unnest(a) as raw, unnest(range(len(a))) as place from d),
+l as (select r, place, {_TRIM} as x, len(regexp_extract_all(raw, '[^\\x20\\x09-\\x0D]+')) as words from raw where {_TRIM} <> ''),
+s as (select r, place, x, row_number() over w as n, sum(words) over w as upto, sum(words) over w - words as before from l window w as (partition by r order by place)),
+runs as (select a.r, a.n as lo, b.n as hi from s as a asof join s as b on a.r = b.r and a.before + 50 <= b.upto
+  union select a.r, b.n, a.n from s as a asof join s as b on a.r = b.r and a.upto - 50 >= b.before),
+texts as (select r, lo, hi, string_agg(x, chr(10) order by n) as run from runs join s using (r) where n between lo and hi group by r, lo, hi),
+later as (select r, lo, hi from (select r, lo, hi, row_number() over (partition by run order by r, lo) as nth from texts) where nth > 1),
+gone as (select distinct r, place from later join s using (r) where n between lo and hi),
+cut as (select r, count(*) as n_cut, string_agg(place, ',' order by place) as cut_places from gone group by r),
+rest as (select r, string_agg(raw, chr(10) order by place) as t, bool_or({_TRIM} <> '') as full_line from raw semi join cut using (r) anti join gone using (r, place) group by r)
+select doc_id, cast(coalesce(n_cut, 0) as bigint) as n_cut, coalesce(cut_places, '') as cut_places,
+  sha256(case when n_cut is null then coalesce(text, '') when full_line then t else '' end) as text_sha256 from d left join cut using (r) left join rest using (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_frequency": _OP3, "op8_decontamination": _OP8, "op9_chat_windows": _OP9}
+    return {"op3_line_frequency": _OP3, "op7_line_dedup": _OP7, "op8_decontamination": _OP8, "op9_chat_windows": _OP9}

@@ -81,3 +81,10 @@ def test_whole_table(spark, sf_dir):
     got = op7_line_dedup(spark, sf_dir).collect()
     assert {r.doc_id: r.n_cut for r in got} == {i: len(g) for i, g in want.items()}
     assert sum(r.n_cut for r in got) > 0
+
+
+def test_sql(spark, sf_dir):
+    from jalur.llm.queries import op7_line_dedup, oracle_sql
+    from tests.oracle import connection, differs
+
+    assert differs(op7_line_dedup(spark, sf_dir), connection(sf_dir), oracle_sql()["op7_line_dedup"]) is None
