@@ -93,6 +93,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .filter_audit import audit
+
+    return audit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
@@ -105,6 +111,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontamination": op8_decontamination,
         "op9_chat_windows": op9_chat_windows,
         "op10_simhash": op10_simhash,
+        "op11_filter_audit": op11_filter_audit,
     }
 
 
@@ -182,5 +189,25 @@ select doc_id, cast(coalesce(n_cut, 0) as bigint) as n_cut, coalesce(cut_places,
 """
 
 
+# sets of filters are bits, A the lowest; the last step of an order is its whole set
+_OP11 = f"""
+with w as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t, {_WORDS} as w from documents),
+least as (select t, min(doc_id) as first from w group by t),
+d as (select part, (len(w) < 100)::int + 2 * (100 * len(list_distinct(w)) < 80 * len(w))::int + 4 * (100 * len(regexp_extract_all(t, '[A-Z]')) > 10 * length(t))::int
+    + 8 * regexp_matches(t, '[#$%&*|]')::int + 16 * coalesce(doc_id > first, false)::int as fails, doc_id in (select doc_id from labels where quality = 1) as good,
+    doc_id in (select doc_id from labels where toxic = 1) as toxic from w join least using (t)),
+letters as (select unnest(['A', 'B', 'C', 'D', 'E']) as f, unnest([1, 2, 4, 8, 16]) as bit),
+orders as (select a.f || b.f || c.f || d.f || e.f as filter_order from letters a, letters b, letters c, letters d, letters e where a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+steps as (select filter_order, step, bit, coalesce(sum(bit) over (partition by filter_order order by step rows between unbounded preceding and 1 preceding), 0)::int as before
+  from orders, range(1, 6) as s(step) join letters on f = filter_order[step]),
+g as (select part, fails, count(*) as n, count(*) filter (good) as n_good, count(*) filter (toxic) as n_toxic from d group by part, fails),
+r as (select part, filter_order, cast(step as int) as step, bit, sum(if(fails & (before | bit) = 0, n, 0)) as kept, sum(if(fails & before = 0 and fails & bit > 0, n, 0)) as removed,
+  sum(if(fails & before > 0 and fails & bit > 0, n, 0)) as redundant, sum(if(fails = bit, n, 0)) as unique_fails,
+  sum(if(fails & before = 0 and fails & bit > 0, n_good, 0)) as good_lost, sum(if(fails & before = 0 and fails & bit > 0, n_toxic, 0)) as toxic_lost from g, steps group by all)
+select part, filter_order, step, kept::bigint as kept, removed::bigint as removed, redundant::bigint as redundant, unique_fails::bigint as unique_fails,
+  good_lost::bigint as good_lost, toxic_lost::bigint as toxic_lost, (sum(removed) over (partition by part, bit))::bigint as shapley from r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_frequency": _OP3, "op7_line_dedup": _OP7, "op8_decontamination": _OP8, "op9_chat_windows": _OP9}
+    return {"op3_line_frequency": _OP3, "op7_line_dedup": _OP7, "op8_decontamination": _OP8, "op9_chat_windows": _OP9, "op11_filter_audit": _OP11}
