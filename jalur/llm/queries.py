@@ -99,6 +99,13 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import Mix, taken
+
+    rows = taken(Mix(_read(spark, sf_dir, "documents").select("doc_id", "text", "source")))
+    return rows.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
@@ -112,6 +119,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_chat_windows": op9_chat_windows,
         "op10_simhash": op10_simhash,
         "op11_filter_audit": op11_filter_audit,
+        "op13_mixing": op13_mixing,
     }
 
 
@@ -209,5 +217,24 @@ select part, filter_order, step, kept::bigint as kept, removed::bigint as remove
 """
 
 
+# what a source's slots take is a beginning of its repeated stream, so a document's share is what its repetitions have in common with it
+_OP13 = f"""
+with d as (select row_number() over () as r, doc_id, source, len({_WORDS}) as size, md5(coalesce(doc_id::varchar, '?') || ':' || coalesce(text, '')) as key from documents),
+s as (select source, sum(size) as source_size, row_number() over (order by source nulls last) - 1 as nth from d group by source),
+w as (select *, [5, 2, 1][nth % 3 + 1] as weight, sum(source_size) over () as total from s),
+c as (select *, coalesce(sum(3 * source_size) over (o rows between unbounded preceding and 1 preceding), 0) as before, sum(weight) over (o rows between current row and unbounded following) as rest,
+  row_number() over o as turn from w window o as (order by 3 * source_size / weight, nth)),
+l as (select total - before as free, rest as shares, turn as first_free from c where (total - before) * weight <= 3 * source_size * rest order by turn limit 1),
+t as (select source, source_size, nth, total, case when turn < first_free then 3 * source_size::double else free::double * weight / shares end as target from c, l),
+p as (select *, floor(target / greatest(total, 1)::double * 4503599627370496)::bigint as points, (sum(points) over (order by nth))::bigint as hi from t),
+k as (select (i::hugeint * 2783377641436329 % 4503599627370496)::bigint as u from range((select ceil(any_value(total) / 32)::bigint from w)) as x(i)),
+n as (select nth, count(*) as slots from k join p on u >= hi - points and u < hi group by nth),
+m as (select source, source_size, target, least(32 * coalesce(slots, 0), 3 * source_size) as most from p left join n using (nth)),
+o as (select d.*, m.source_size, m.target, m.most, coalesce(sum(size) over (partition by d.source order by key, r rows between unbounded preceding and 1 preceding), 0) as place from d join m on d.source is not distinct from m.source)
+select doc_id, size::bigint as size, source_size::bigint as source_size, target,
+  (greatest(least(place + size, most) - place, 0) + greatest(least(source_size + place + size, most) - source_size - place, 0) + greatest(least(2 * source_size + place + size, most) - 2 * source_size - place, 0))::bigint as taken from o
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_frequency": _OP3, "op7_line_dedup": _OP7, "op8_decontamination": _OP8, "op9_chat_windows": _OP9, "op11_filter_audit": _OP11}
+    return {"op3_line_frequency": _OP3, "op7_line_dedup": _OP7, "op8_decontamination": _OP8, "op9_chat_windows": _OP9, "op11_filter_audit": _OP11, "op13_mixing": _OP13}
