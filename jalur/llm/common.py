@@ -45,9 +45,9 @@ def _scratch(spark: SparkSession) -> str:
 class Table:
     """A result written to the shared folder; reading it has no lineage."""
 
-    def __init__(self, df: DataFrame):
+    def __init__(self, df: DataFrame, compression: str | None = None):
         self.spark, self.path, schema = df.sparkSession, _scratch(df.sparkSession), df.schema
-        df.write.parquet(self.path)
+        df.write.parquet(self.path, compression=compression)
         self.df = self.spark.read.schema(schema).parquet(self.path)
 
     def drop(self) -> None:

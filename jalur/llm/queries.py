@@ -99,6 +99,14 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .token_align import align
+
+    return align(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import Mix, taken
 
@@ -119,6 +127,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_chat_windows": op9_chat_windows,
         "op10_simhash": op10_simhash,
         "op11_filter_audit": op11_filter_audit,
+        "op12_token_alignment": op12_token_alignment,
         "op13_mixing": op13_mixing,
     }
 
