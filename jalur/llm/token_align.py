@@ -8,7 +8,9 @@ of A's token i, lies in B's token p - i, as p - i of B's ends come before it; so
 each end gives one link, and an end of both the same one twice.
 
 What both tokenisers do to a stretch between blanks doesn't depend on what is
-around it, so each worker remembers the tokens of short stretches.
+around it, and tokens of both end where it ends.  So each worker remembers the
+tokens of stretches, and a block of documents has each of its distinct stretches
+once: these are aligned, and a document's groups and links are its stretches' in order.
 """
 
 from __future__ import annotations
@@ -155,88 +157,110 @@ def _memory(first: bytes, second: bytes, remembered: int) -> Memory:
 def _tokens(models, remembered: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = _memory(*models.value, remembered)
-        for batch in slices(batches, "text", 1 << 20):
+        for batch in slices(batches, "text"):
             raw = binary_texts(batch["text"])
-            cut = [stretches(t.decode()) if t else [] for t in raw]
-            upto = np.cumsum([0, *map(len, cut)])
-            found, whole = [], np.ones(len(raw), bool)
-            for of, (ids, counts, same) in zip(memory.tokenisers, memory(list(chain.from_iterable(cut))), strict=True):
-                bounds = np.concatenate([[0], np.cumsum(counts)])[upto]
-                for k in np.unique(np.searchsorted(upto, np.flatnonzero(~same), "right") - 1):
-                    whole[k] &= of.joined(ids[bounds[k] : bounds[k + 1]].tolist()) == b" " + raw[k]
-                found.append((of, ids, bounds))
-            made = []
-            for of, ids, bounds in found:
-                n = np.diff(bounds)
-                ids, size = ids[np.repeat(whole, n)], np.where(whole, n, 0)
-                ends, offsets = np.cumsum(of.sizes[ids]), np.concatenate([[0], np.cumsum(size)])
-                base = np.concatenate([[0], ends])[offsets[:-1]]
-                for values in (ids, ends - np.repeat(base, size)):
-                    made.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values.astype(np.int32))))
-            kept = [c for c in batch.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept), *made], [*kept, *_ARRAYS])
+            numbers: dict[str, int] = {}
+            codes = [[numbers.setdefault(x, len(numbers)) for x in stretches(t.decode())] if t else [] for t in raw]
+            met = memory(list(numbers))
+            whole = np.logical_and.reduce([same for *_, same in met])
+            if not whole.all():  # where the first such stretch is, the document's bytes differ too
+                codes = [c if whole[c].all() else [] for c in codes]
+            lists = lambda values, bounds: pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values.astype(np.int32)))
+            one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+            columns = [one(batch["id"]), one(lists(np.fromiter(chain.from_iterable(codes), np.int32), np.cumsum([0, *map(len, codes)])))]
+            for of, (ids, counts, _) in zip(memory.tokenisers, met, strict=True):
+                ids, counts = ids[np.repeat(whole, counts)], np.where(whole, counts, 0)
+                bounds, ends = np.concatenate([[0], np.cumsum(counts)]), np.cumsum(of.sizes[ids])
+                base = np.concatenate([[0], ends])[bounds[:-1]]
+                columns += [one(lists(ids, bounds)), one(lists(ends - np.repeat(base, counts), bounds))]
+            yield pa.RecordBatch.from_arrays(columns, ["ids", "codes", *_ARRAYS])
 
     return run
 
 
-def tokens(docs: DataFrame, first: str, second: str, text: str = "text", remembered: int = REMEMBERED) -> DataFrame:
-    """docs without text, with a_ids, a_ends, b_ids and b_ends: ids and byte ends of both tokenisers over space + text.
+def tokens(docs: DataFrame, first: str, second: str, id_col: str = "doc_id", text: str = "text", remembered: int = REMEMBERED) -> DataFrame:
+    """Blocks of some megabytes of docs: what both tokenisers make of their distinct stretches, and which stretches each document is.
+
+    ids: the documents' id_col.  codes: for each document its stretches, as
+    places in the block's arrays; none where the text is null or empty, or where
+    the bytes of either tokeniser's tokens, joined, aren't space + text.  a_ids,
+    a_ends, b_ids, b_ends: for each stretch the ids of its tokens and where they
+    end, in bytes of the stretch.
 
     first: a byte-level BPE file (JSON) whose pre-tokens keep a space with the
-    word after it; second: a piece model.  The driver reads them.  All four
-    arrays are empty where the text is null or empty, or where the bytes of
-    either tokeniser's tokens, joined, aren't space + text.
+    word after it; second: a piece model.  The driver reads them.
     """
     models = docs.sparkSession.sparkContext.broadcast((Path(first).read_bytes(), Path(second).read_bytes()))
-    rows = docs.withColumnRenamed(text, "_jl_text").drop(*_ARRAYS, "text").withColumnRenamed("_jl_text", "text")
-    kinds = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("text").schema] + [f"{c} array<int>" for c in _ARRAYS])
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
+    kinds = f"ids array<{rows.schema['id'].dataType.simpleString()}>, codes array<array<int>>, " + ", ".join(f"{c} array<array<int>>" for c in _ARRAYS)
     return rows.mapInArrow(_tokens(models, remembered), kinds)
 
 
 def merged_ends(a_ends: Column, b_ends: Column) -> Column:
     """The ends of both in order, A's before B's: end, whose it is, and which of its tokens, in one number.
 
-    For texts of under 1 GB, as the end has 30 bits.
+    For stretches of under 1 GB, as the end has 30 bits.
     """
     key = lambda side: lambda end, i: F.shiftleft(end.cast("long"), 33).bitwiseOR(i + side)
     return F.sort_array(F.concat(F.transform(a_ends, key(0)), F.transform(b_ends, key(F.lit(1 << 32)))))
 
 
-def aligned(rows: DataFrame) -> DataFrame:
-    """rows of tokens() with groups and links.
+def _pair(a: Column, b: Column) -> Column:
+    return F.shiftleft(a.cast("long"), 32).bitwiseOR(b.cast("long"))
 
-    groups: for each offset at which tokens of both end, the numbers of the
-    last A and B token up to it.  links: for each pair of an A and a B token
-    whose bytes overlap, in order, A's id * 2^32 + B's id.
-    """
-    a, b = F.col("a_ids"), F.col("b_ids")
+
+def _joined(ids: Column) -> Column:
+    return F.array_join(ids.cast("array<string>"), ",")
+
+
+def _entangled(e: Column) -> Column:
+    """groups (text) and links of a stretch of several groups or of several tokens of both."""
+    a, b = e["a_ids"], e["b_ids"]
     same = lambda m, p: F.shiftright(m[p], 33) == F.shiftright(F.get(m, p - 1), 33)
     which = lambda x: x.bitwiseAND(_LOW).cast("int")
-    number = lambda i, j: F.shiftleft(F.get(a, i).cast("long"), 32).bitwiseOR(F.get(b, j).cast("long"))
 
     def link(m: Column, x: Column, p: Column) -> Column:
         i = which(x)
-        of_b = F.shiftright(x, 32).bitwiseAND(1) == 1
-        return F.when(~of_b, number(i, p - i)).when(same(m, p), None).otherwise(number(p - i, i))
+        of_a = x.bitwiseAND(1 << 32) == 0
+        return F.when(of_a, _pair(a[i], b[p - i])).when(same(m, p), None).otherwise(_pair(a[p - i], b[i]))
+
+    def text(m: Column, ends: Column) -> Column:
+        """ends: where in m a group ends; before it is A's last token of the group."""
+        before = lambda k, d: F.coalesce(which(F.get(m, F.get(ends, k - 1) - d)), F.lit(-1))
+        cut = lambda of, m_, p, k, d: _joined(F.slice(of, before(k, d) + 2, which(m_[p - d]) - before(k, d)))
+        return F.array_join(F.transform(ends, lambda p, k: F.concat(cut(a, m, p, k, 1), F.lit("|"), cut(b, m, p, k, 0))), ";")
 
     def both(m: Column) -> Column:
         ends = F.filter(F.sequence(F.lit(1), F.size(m) - 1), lambda p: same(m, p))
-        return F.struct(F.transform(ends, lambda p: F.struct(which(m[p - 1]).alias("a"), which(m[p]).alias("b"))).alias("groups"), F.array_compact(F.transform(m, lambda x, p: link(m, x, p))).alias("links"))
+        return F.struct(let(ends, lambda at: text(m, at)).alias("groups"), F.array_compact(F.transform(m, lambda x, p: link(m, x, p))).alias("links"))
+
+    return let(merged_ends(e["a_ends"], e["b_ends"]), both)
+
 
-    none = F.struct(F.array().cast("array<struct<a:int,b:int>>").alias("groups"), F.array().cast("array<bigint>").alias("links"))
-    found = F.when(F.size("a_ids") == 0, none).otherwise(let(merged_ends(F.col("a_ends"), F.col("b_ends")), both))
-    return rows.withColumn("_jl_found", found).select("*", "_jl_found.groups", "_jl_found.links").drop("_jl_found")
+def stretch(e: Column) -> Column:
+    """groups (as `a1,a2|b1;a3|b2,b3`), links (A's id * 2^32 + B's id of each pair whose bytes overlap) and n_groups of a stretch's tokens."""
+    a, b = e["a_ids"], e["b_ids"]
+    n = F.size(F.array_intersect(e["a_ends"], e["b_ends"]))
+    made = lambda groups, links: F.struct(groups.alias("groups"), links.alias("links"))
+    whole = F.concat(_joined(a), F.lit("|"), _joined(b))
+    easy = F.when(F.size(a) == 1, made(whole, F.transform(b, lambda y: _pair(a[0], y)))).when(F.size(b) == 1, made(whole, F.transform(a, lambda x: _pair(x, b[0]))))
+    none = made(F.lit(""), F.array().cast("array<bigint>"))  # a stretch that no document has
+    return F.struct(F.when(F.size(a) == 0, none).otherwise(easy.otherwise(_entangled(e))).alias("of"), n.alias("n"))
 
 
-def group_text(groups: Column, a: Column, b: Column) -> Column:
-    """The groups as `a1,a2|b1;a3|b2,b3`."""
-    ids = lambda of, before, last: F.array_join(F.slice(of, before + 2, last - before).cast("array<string>"), ",")
+def aligned(blocks: DataFrame) -> DataFrame:
+    """One row a document of tokens(): id, n_a, n_b, n_groups, groups and links, both in order, as stretch() says."""
+    entries = F.arrays_zip(*_ARRAYS)
 
-    def one(g: Column, k: Column) -> Column:
-        before = lambda c: F.coalesce(F.get(groups, k - 1)[c], F.lit(-1))
-        return F.concat(ids(a, before("a"), g["a"]), F.lit("|"), ids(b, before("b"), g["b"]))
+    def document(d: Column, known: Column) -> Column:
+        total = lambda f: F.aggregate(d["codes"], F.lit(0).cast("long"), lambda s, c: s + f(c))
+        return F.struct(
+            d["ids"].alias("id"), total(lambda c: F.size(F.col("a_ids")[c])).alias("n_a"), total(lambda c: F.size(F.col("b_ids")[c])).alias("n_b"), total(lambda c: known[c]["n"]).alias("n_groups"),
+            F.array_join(F.transform(d["codes"], lambda c: known[c]["of"]["groups"]), ";").alias("groups"), F.flatten(F.transform(d["codes"], lambda c: known[c]["of"]["links"])).alias("links"),
+        )
 
-    return F.array_join(F.transform(groups, one), ";")
+    docs = let(F.transform(entries, stretch), lambda known: F.transform(F.arrays_zip("ids", "codes"), lambda d: document(d, known)))
+    return blocks.select(F.inline(docs))
 
 
 def pair_counts(rows: DataFrame) -> DataFrame:
@@ -280,11 +304,9 @@ def align(docs: DataFrame, first: str, second: str, id_col: str = "doc_id", text
     count_sum: the counts of all links.  A pair's count is of documents, and
     every row is one.  Documents without tokens (see tokens()) have zeros and ''.
     """
-    a, b, groups = F.col("a_ids"), F.col("b_ids"), F.col("groups")
-    rows = aligned(tokens(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), first, second))
-    size = lambda c: F.size(c).cast("long")
-    digest = F.when(F.size("a_ids") == 0, "").otherwise(F.sha2(group_text(groups, a, b).cast("binary"), 256))
-    made = rows.select(F.monotonically_increasing_id().alias("row"), "id", size("a_ids").alias("n_a"), size("b_ids").alias("n_b"), size(F.array_intersect("a_ends", "b_ends")).alias("n_groups"), size("links").alias("n_links"), digest.alias("groups_sha256"), "links")
+    rows = aligned(tokens(docs, first, second, id_col, text))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2(F.col("groups").cast("binary"), 256))
+    made = rows.select(F.monotonically_increasing_id().alias("row"), "id", "n_a", "n_b", "n_groups", F.size("links").cast("long").alias("n_links"), digest.alias("groups_sha256"), "links")
     held = Table(made, compression="zstd")
     sums = scored(held.df, pair_counts(held.df))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from jalur.llm import queries
-from jalur.llm.token_align import Memory, _floor, align, aligned, first_tokens, group_text, pair_counts, scored, second_tokens, stretches, tokens
+from jalur.llm.token_align import Memory, _floor, align, aligned, first_tokens, pair_counts, scored, second_tokens, stretches, tokens
 
 A, B = P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model")
 
@@ -95,7 +95,7 @@ def test_brute_force(spark, both):
 
 def test_frequent_and_seldom_pairs_agree(spark):
     docs = spark.createDataFrame([(k, t) for k, t in enumerate(some_texts(120, 9))], "doc_id long, text string")
-    made = aligned(tokens(docs, A, B)).select(F.col("doc_id").alias("row"), "links").cache()
+    made = aligned(tokens(docs, A, B)).select(F.col("id").alias("row"), "links").cache()
     pairs = pair_counts(made)
     want = scored(made, pairs, frequent=1 << 20).collect()
     for k in (0, 3, 40):
@@ -104,12 +104,14 @@ def test_frequent_and_seldom_pairs_agree(spark):
 
 
 def test_groups_and_links(spark, both):
-    docs = spark.createDataFrame([(0, "Antidisestablishment, naïve 日本語\n\nx")], "doc_id int, text string")
-    r = aligned(tokens(docs, A, B)).withColumn("t", group_text(F.col("groups"), F.col("a_ids"), F.col("b_ids"))).first()
-    a, b = spans(both, docs.first().text)
-    assert (r.a_ids, r.a_ends) == ([x for x, *_ in a], [e for *_, e in a])
-    assert r.links == [(x << 32) + y for x, s, e in a for y, t, f in b if max(s, t) < min(e, f)]
-    assert r.t.count(";") + 1 == len(r.groups) and r.groups[-1].a == len(a) - 1
+    texts = ["Antidisestablishment, naïve 日本語\n\nx", "a", "the the", "x" * 300 + "日" * 300]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    for r in aligned(tokens(docs, A, B)).collect():
+        a, b = spans(both, texts[r.id])
+        assert (r.n_a, r.n_b) == (len(a), len(b)) and r.groups.count(";") + 1 == r.n_groups
+        assert r.links == [(x << 32) + y for x, s, e in a for y, t, f in b if max(s, t) < min(e, f)]
+        for k, side in enumerate((a, b)):
+            assert [int(x) for g in r.groups.split(";") for x in g.split("|")[k].split(",")] == [x for x, *_ in side]
 
 
 def test_whole_table(spark, both):
