@@ -28,12 +28,13 @@ from pyspark.sql import functions as F
 
 from .common import Table, binary_texts, let, slices
 
-#: Stretches that a worker remembers, and characters of new ones that are encoded at once.
-REMEMBERED, AT_ONCE = 200_000, 1 << 16
+#: Stretches that a worker remembers, characters of new ones that are encoded at once, and bytes of a block's texts (or one longer text).
+REMEMBERED, AT_ONCE, BLOCK = 100_000, 1 << 16, 4 << 20
 #: Pairs of ids that are broadcast at most (some 40 bytes each), those that most documents have.
 FREQUENT = 1 << 17
 _LOW = (1 << 32) - 1
 _ARRAYS = ("a_ids", "a_ends", "b_ids", "b_ends")
+_COLUMNS = ["ids", "codes", "a_ids", "a_ends", "n_a", "b_ids", "b_ends", "n_b"]
 #: Stretches of space + text start with a space that follows no white space.  No pre-token of A and no piece of B crosses their bounds.
 _SPACE = r"\s\x1c-\x1f"
 _STRETCH = regex.compile(rf"[{_SPACE}]++(?:[^{_SPACE}]++(?:(?! )[{_SPACE}]++)?+)*+")
@@ -157,7 +158,7 @@ def _memory(first: bytes, second: bytes, remembered: int) -> Memory:
 def _tokens(models, remembered: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = _memory(*models.value, remembered)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", BLOCK):
             raw = binary_texts(batch["text"])
             numbers: dict[str, int] = {}
             codes = [[numbers.setdefault(x, len(numbers)) for x in stretches(t.decode())] if t else [] for t in raw]
@@ -167,13 +168,15 @@ def _tokens(models, remembered: int):
                 codes = [c if whole[c].all() else [] for c in codes]
             lists = lambda values, bounds: pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values.astype(np.int32)))
             one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-            columns = [one(batch["id"]), one(lists(np.fromiter(chain.from_iterable(codes), np.int32), np.cumsum([0, *map(len, codes)])))]
+            docs = np.cumsum([0, *map(len, codes)])
+            places = np.fromiter(chain.from_iterable(codes), np.int64, docs[-1])
+            columns = [one(batch["id"]), one(lists(places, docs))]
             for of, (ids, counts, _) in zip(memory.tokenisers, met, strict=True):
                 ids, counts = ids[np.repeat(whole, counts)], np.where(whole, counts, 0)
                 bounds, ends = np.concatenate([[0], np.cumsum(counts)]), np.cumsum(of.sizes[ids])
                 base = np.concatenate([[0], ends])[bounds[:-1]]
-                columns += [one(lists(ids, bounds)), one(lists(ends - np.repeat(base, counts), bounds))]
-            yield pa.RecordBatch.from_arrays(columns, ["ids", "codes", *_ARRAYS])
+                columns += [one(lists(ids, bounds)), one(lists(ends - np.repeat(base, counts), bounds)), one(pa.array(np.diff(np.concatenate([[0], np.cumsum(counts[places])])[docs])))]
+            yield pa.RecordBatch.from_arrays(columns, _COLUMNS)
 
     return run
 
@@ -185,14 +188,14 @@ def tokens(docs: DataFrame, first: str, second: str, id_col: str = "doc_id", tex
     places in the block's arrays; none where the text is null or empty, or where
     the bytes of either tokeniser's tokens, joined, aren't space + text.  a_ids,
     a_ends, b_ids, b_ends: for each stretch the ids of its tokens and where they
-    end, in bytes of the stretch.
+    end, in bytes of the stretch.  n_a, n_b: for each document its tokens.
 
     first: a byte-level BPE file (JSON) whose pre-tokens keep a space with the
     word after it; second: a piece model.  The driver reads them.
     """
     models = docs.sparkSession.sparkContext.broadcast((Path(first).read_bytes(), Path(second).read_bytes()))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
-    kinds = f"ids array<{rows.schema['id'].dataType.simpleString()}>, codes array<array<int>>, " + ", ".join(f"{c} array<array<int>>" for c in _ARRAYS)
+    kinds = f"ids array<{rows.schema['id'].dataType.simpleString()}>, " + ", ".join(f"{c} {'array<bigint>' if c.startswith('n_') else 'array<array<int>>'}" for c in _COLUMNS[1:])
     return rows.mapInArrow(_tokens(models, remembered), kinds)
 
 
@@ -240,12 +243,11 @@ def _entangled(e: Column) -> Column:
 def stretch(e: Column) -> Column:
     """groups (as `a1,a2|b1;a3|b2,b3`), links (A's id * 2^32 + B's id of each pair whose bytes overlap) and n_groups of a stretch's tokens."""
     a, b = e["a_ids"], e["b_ids"]
-    n = F.size(F.array_intersect(e["a_ends"], e["b_ends"]))
-    made = lambda groups, links: F.struct(groups.alias("groups"), links.alias("links"))
+    made = lambda groups, links, n: F.struct(groups.alias("groups"), links.alias("links"), n.alias("n"))
     whole = F.concat(_joined(a), F.lit("|"), _joined(b))
-    easy = F.when(F.size(a) == 1, made(whole, F.transform(b, lambda y: _pair(a[0], y)))).when(F.size(b) == 1, made(whole, F.transform(a, lambda x: _pair(x, b[0]))))
-    none = made(F.lit(""), F.array().cast("array<bigint>"))  # a stretch that no document has
-    return F.struct(F.when(F.size(a) == 0, none).otherwise(easy.otherwise(_entangled(e))).alias("of"), n.alias("n"))
+    none = made(F.lit(""), F.array().cast("array<bigint>"), F.lit(0))  # a stretch that no document has
+    out = F.when(F.size(a) == 0, none).when(F.size(a) == 1, made(whole, F.transform(b, lambda y: _pair(a[0], y)), F.lit(1))).when(F.size(b) == 1, made(whole, F.transform(a, lambda x: _pair(x, b[0])), F.lit(1)))
+    return out.otherwise(let(_entangled(e), lambda x: made(x["groups"], x["links"], F.size(F.array_intersect(e["a_ends"], e["b_ends"])))))
 
 
 def aligned(blocks: DataFrame) -> DataFrame:
@@ -253,13 +255,11 @@ def aligned(blocks: DataFrame) -> DataFrame:
     entries = F.arrays_zip(*_ARRAYS)
 
     def document(d: Column, known: Column) -> Column:
-        total = lambda f: F.aggregate(d["codes"], F.lit(0).cast("long"), lambda s, c: s + f(c))
-        return F.struct(
-            d["ids"].alias("id"), total(lambda c: F.size(F.col("a_ids")[c])).alias("n_a"), total(lambda c: F.size(F.col("b_ids")[c])).alias("n_b"), total(lambda c: known[c]["n"]).alias("n_groups"),
-            F.array_join(F.transform(d["codes"], lambda c: known[c]["of"]["groups"]), ";").alias("groups"), F.flatten(F.transform(d["codes"], lambda c: known[c]["of"]["links"])).alias("links"),
-        )
+        of = lambda field: F.transform(d["codes"], lambda c: known[c][field])
+        n = F.aggregate(d["codes"], F.lit(0).cast("long"), lambda s, c: s + known[c]["n"])
+        return F.struct(d["ids"].alias("id"), d["n_a"].alias("n_a"), d["n_b"].alias("n_b"), n.alias("n_groups"), F.array_join(of("groups"), ";").alias("groups"), F.flatten(of("links")).alias("links"))
 
-    docs = let(F.transform(entries, stretch), lambda known: F.transform(F.arrays_zip("ids", "codes"), lambda d: document(d, known)))
+    docs = let(F.transform(entries, stretch), lambda known: F.transform(F.arrays_zip("ids", "codes", "n_a", "n_b"), lambda d: document(d, known)))
     return blocks.select(F.inline(docs))
 
 

@@ -15,7 +15,7 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Table
+from .common import Table, let
 
 #: Weights, lengths of n-grams, labelled URLs of each class that are learned from at most, and gradient steps.
 WEIGHTS, GRAMS, LABELLED, STEPS = 4096, (3, 4, 5), 1000, 20
@@ -51,15 +51,18 @@ def matched_rule(rules: list[tuple[str, str]]) -> tuple[Column, Column]:
 
 
 def features(host: Column, path: Column, weights: int = WEIGHTS) -> Column:
-    """Distinct weight numbers of the character n-grams, ends marked."""
+    """Distinct weight numbers of the character n-grams, ends marked; in time that grows with the text's length."""
     none = F.array().cast("array<int>")
 
-    def grams(kind: str, text: Column, n: int) -> Column:
-        places = F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1)))
-        return F.when(F.length(text) >= n, F.transform(places, lambda i: F.pmod(F.xxhash64(F.lit(kind), F.substring(text, i, F.lit(n))), F.lit(weights)).cast("int"))).otherwise(none)
+    def grams(kind: str, letters: Column, n: int) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.size(letters) - n + 1, F.lit(1)))
+        return F.when(F.size(letters) >= n, F.transform(places, lambda i: F.pmod(F.xxhash64(F.lit(kind), F.array_join(F.slice(letters, i, n), "")), F.lit(weights)).cast("int"))).otherwise(none)
 
-    sets = [grams(kind, F.concat(F.lit("^"), text, F.lit("$")), n) for kind, text in (("h", host), ("p", path)) for n in GRAMS]
-    return F.array_distinct(F.concat(*sets))
+    def all_of(kind: str, text: Column) -> Column:
+        letters = F.filter(F.split(F.concat(F.lit("^"), text, F.lit("$")), ""), lambda c: c != "")
+        return let(letters, lambda x: F.concat(*[grams(kind, x, n) for n in GRAMS]))
+
+    return F.array_distinct(F.concat(all_of("h", host), all_of("p", path)))
 
 
 def _literal(weights: list[float]) -> Column:
@@ -69,8 +72,9 @@ def _literal(weights: list[float]) -> Column:
 def score(found: Column, weights: list[float]) -> Column:
     """Chance that the label is 1; weights: the bias last."""
     table = _literal(weights)
-    total = F.aggregate(F.transform(found, lambda f: table[f]), F.lit(0.0), lambda a, x: a + x)
-    return 1 / (1 + F.exp(-(total / F.sqrt(F.greatest(F.size(found), F.lit(1)).cast("double")) + weights[-1])))
+    # the found numbers are worked out once, though two parts of the formula name them
+    total = lambda known: F.aggregate(F.transform(known, lambda f: table[f]), F.lit(0.0), lambda a, x: a + x)
+    return let(found, lambda known: 1 / (1 + F.exp(-(total(known) / F.sqrt(F.greatest(F.size(known), F.lit(1)).cast("double")) + weights[-1]))))
 
 
 def train(labelled: DataFrame, steps: int = STEPS, rate: float = 4.0, shrink: float = 1e-3) -> list[float]:
