@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codes, geo, parse, records, score, text
-from ..operators import cluster, columns, corrections, dedupe, lookup, model_map, reads, refresh, snapshot, spatial, validate
+from ..operators import cluster, columns, corrections, dedupe, lookup, model_map, reads, refresh, search, snapshot, spatial, validate
 from ..sources import readers, tables, writers
 from ..streaming import jobs
 from . import samples
@@ -605,6 +605,31 @@ def o7_search(spark, d):
     return reads.search(table(spark, d, "part"), "RED wi", "p_name", "p_retailprice", "p_partkey", 20).select("p_partkey", "matched")
 
 
+_PART_WORDS = "list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
+
+
+@query(f"""with d as (select p_partkey as id, p_retailprice as rank, {_PART_WORDS.format("p_name || ' ' || p_type || ' ' || p_brand")} as w from part),
+n as (select unnest([1, 2, 3]) as f),
+g as (select id, rank, f, list_transform(range(1, greatest(len(w) - f + 2, 1)), lambda i: array_to_string(w[i:i + f - 1], ' ')) as t from d, n),
+s as (select f, count(*) as n, avg(len(t)) as mean from g where len(t) > 0 group by f),
+q as (select p_partkey as query_id, {_PART_WORDS.format("p_name || ' ' || left(p_type, 2)")} as w from part where p_partkey % 50 = 0),
+e as (select query_id, f, list_transform(range(1, greatest(len(w) - f + 2, 1)), lambda i: array_to_string(w[i:i + f - 1], ' ')) as t from q, n),
+tf as (select id, f, term, count(*) as tf, any_value(dl) as dl from (select id, f, len(t) as dl, unnest(t) as term from g) group by all),
+df as (select f, term, count(*) as df from tf group by all),
+part_score as (select query_id, id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2 * (0.25 + 0.75 * dl / mean))) as x
+  from (select query_id, f, unnest(t[:len(t) - 1]) as term from e where len(t) > 0) join tf using (f, term) join df using (f, term) join s using (f) group by all),
+begun as (select query_id, id, count(distinct f) as x from (select query_id, f, t[len(t)] as start from e where len(t) > 0) join tf using (f) where starts_with(term, start) group by all),
+found as (select query_id, id, round(sum(x), 6) as score from (select * from part_score union all select * from begun) group by all),
+placed as (select query_id, row_number() over (partition by query_id order by score desc, rank desc nulls last, id) as place, id, rank, score from found join d using (id))
+select query_id, place::int as place, id, rank, score from placed where place <= 10""")
+def o7_ranked_search(spark, d):
+    """Every fiftieth part's name and the start of its type, against all parts by a written index."""
+    parts = table(spark, d, "part")
+    index = search.build(parts.withColumn("text", F.concat_ws(" ", "p_name", "p_type", "p_brand")), _path(spark, "index"), "p_partkey", "text", "p_retailprice")
+    asked = parts.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("query_id"), F.concat_ws(" ", "p_name", F.substring("p_type", 1, 2)).alias("query"))
+    return index.top(asked, 10)
+
+
 @query("""select count(*) filter (o_orderstatus in ('O', 'P')) as active, count(*) filter (o_orderstatus = 'F') as completed from orders""")
 def a10_a17_tallies(spark, d):
     return reads.tallies(table(spark, d, "orders"), {"active": ["O", "P"], "completed": ["F"]}, "o_orderstatus")

@@ -29,6 +29,13 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+def delete(df: DataFrame) -> None:
+    """Remove what written() has written; only when no result still reads it."""
+    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/jalur-" in f}:
+        fs, p = filesystem(df.sparkSession, name)
+        fs.delete(p, True)
+
+
 def filesystem(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
