@@ -682,6 +682,15 @@ def s1_s2_s6_csv(spark, d):
     return readers.read(spark, "csv", f"{at}/*.csv")
 
 
+@query("""select doc_id::varchar as doc_id, length(text) as n_chars, md5(text) as text_md5 from documents""")
+def s2_quoted_csv(spark, d):
+    """Whole documents, with their line breaks and quotes, as one CSV file, read in byte ranges."""
+    at = _path(spark, "quoted")
+    options = {"escape": '"', "quoteAll": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    table(spark, d, "documents").select("doc_id", "text").write.options(**options).csv(at, header=True)
+    return readers.read(spark, "csv", f"{at}/*.csv").select("doc_id", F.length("text").cast("long").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
 @query("""select p_partkey, p_name, p_size from part""")
 def s3_k8_json(spark, d):
     at = _path(spark, "json")

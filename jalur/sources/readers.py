@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions.text import clean
+from . import split_csv
 from .tables import filesystem
 
 
@@ -26,9 +27,18 @@ def expanded(spark: SparkSession, path: str) -> list[str]:
 
 
 def csv_files(spark: SparkSession, path: str, sep: str = ",", encoding: str = "utf-8", header: bool = True, infer: bool = False) -> DataFrame:
-    """CSV files, by column name; texts unless infer, so that codes keep their zeros."""
-    one = lambda p: spark.read.csv(p, header=header, sep=sep, encoding=encoding, inferSchema=infer, multiLine=True, escape='"')
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [one(p) for p in expanded(spark, path)])
+    """CSV files, by column name; texts unless infer, so that codes keep their zeros.
+
+    Files are read in byte ranges, also where quoted values hold line breaks;
+    encodings in which a byte may be part of a letter beside a file a task.
+    """
+    paths = expanded(spark, path)
+    if encoding.lower() in split_csv.ENCODINGS:
+        df = split_csv.read(spark, paths, sep, encoding, header)
+    else:
+        one = lambda p: spark.read.csv(p, header=header, sep=sep, encoding=encoding, multiLine=True, escape='"')
+        df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [one(p) for p in paths])
+    return split_csv.inferred(df) if infer else df
 
 
 def json_files(spark: SparkSession, path: str, multiline: bool | None = None) -> DataFrame:
