@@ -12,8 +12,11 @@ Fields are parsed by Spark.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -56,22 +59,42 @@ def _lines(spark: SparkSession, paths: list[str], encoding: str) -> DataFrame:
     return rows.withColumn("value", F.decode(F.col("value").cast("binary"), encoding)) if encoding else rows
 
 
+def _ranges(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
+    """(file, block), whether it goes on from the batch before, and the columns' rows, of each batch's ranges."""
+    now = None
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        file, block = batch["file"], batch["block"]
+        new = pc.or_(pc.not_equal(file[1:], file[:-1]), pc.not_equal(block[1:], block[:-1])).to_numpy(zero_copy_only=False)
+        for lo, hi in pairwise([0, *(np.flatnonzero(new) + 1).tolist(), n]):
+            where = file[lo].as_py(), block[lo].as_py()
+            yield where, where == now, *(batch[c][lo:hi] for c in columns)
+            now = where
+
+
 def _both_states(sep: str):
     """One row a range: the end's state from either state (to0, to1), whether a line ends outside (end0, end1), and whether none ends inside from outside."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, found = None, []
-        for batch in batches:
-            for where, line in zip(zip(batch["file"].to_pylist(), batch["block"].to_pylist(), strict=True), batch["quoted"].to_pylist(), strict=True):
-                if where != now:
-                    now = where
-                    found.append([*now, False, True, False, False, True])
-                row = found[-1]
-                if line is not None:
-                    row[2], row[3] = ends_inside(line, row[2], sep), ends_inside(line, row[3], sep)
+        found = []
+        for where, goes_on, lines in _ranges(batches, "quoted"):
+            if not goes_on:
+                found.append([*where, False, True, False, False, True])
+            row, last = found[-1], -1
+            for k, line in zip(np.flatnonzero(lines.is_valid()).tolist(), lines.drop_null().to_pylist(), strict=True):
+                if k > last + 1:  # lines without quotes leave the state
+                    row[4] |= not row[2]
+                    row[5] |= not row[3]
+                last = k
+                row[2], row[3] = ends_inside(line, row[2], sep), ends_inside(line, row[3], sep)
                 row[4] |= not row[2]
                 row[5] |= not row[3]
                 row[6] &= not row[2]
+            if last + 1 < len(lines):
+                row[4] |= not row[2]
+                row[5] |= not row[3]
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*found, strict=True)], ["file", "block", "to0", "to1", "end0", "end1", "plain"])
 
@@ -97,33 +120,40 @@ def range_states(lines: DataFrame, sep: str = ",") -> DataFrame:
 def _cut(sep: str):
     """Records of each range: kind 0 whole, 1 begun here, 2 gone on with here; `n` is the place in the range."""
 
+    def batch_of(where: tuple, n: int, texts: list[str], kinds: list[int]) -> pa.RecordBatch:
+        size = len(texts)
+        columns = [pa.repeat(pa.scalar(where[0]), size), pa.repeat(pa.scalar(where[1], pa.int64()), size), pa.array(np.arange(n, n + size)), pa.array(kinds, pa.int32()), pa.array(texts, pa.string())]
+        return pa.RecordBatch.from_arrays(columns, ["file", "block", "n", "kind", "text"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = pa.schema([("file", pa.string()), ("block", pa.int64()), ("n", pa.int64()), ("kind", pa.int32()), ("text", pa.string())])
-        now, n, held, inside, kind, out = None, 0, [], False, 0, []
-
-        def close(kind: int) -> None:
-            nonlocal n, held
-            out.append((*now, n, kind, "\n".join(held)))
-            n, held = n + 1, []
-
-        for batch in batches:
-            for where, begins, line in zip(zip(batch["file"].to_pylist(), batch["block"].to_pylist(), strict=True), batch["inside"].to_pylist(), batch["value"].to_pylist(), strict=True):
-                if where != now:
-                    if held:
-                        close(kind or 1)
-                    now, n, inside, kind = where, 0, bool(begins), 2 if begins else 0
-                held.append(line)
-                if '"' in line:
-                    inside = ends_inside(line, inside, sep)
+        now, n, held, inside, kind = None, 0, [], False, 0
+        for where, goes_on, begins, values in _ranges(batches, "inside", "value"):
+            if not goes_on:
+                if held:
+                    yield batch_of(now, n, ["\n".join(held)], [kind or 1])
+                now, n, held, inside = where, 0, [], bool(begins[0].as_py())
+                kind = 2 if inside else 0
+            lines, texts, kinds, at = values.to_pylist(), [], [], 0
+            for k in [*np.flatnonzero(pc.match_substring(values, '"')).tolist(), len(lines)]:
+                if inside:
+                    held += lines[at:k]
+                else:
+                    texts += lines[at:k]
+                    kinds += [0] * (k - at)
+                at = k + 1
+                if k == len(lines):
+                    break
+                held.append(lines[k])
+                inside = ends_inside(lines[k], inside, sep)
                 if not inside:
-                    close(kind)
-                    kind = 0
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), made, strict=True)], schema=made)
-                out = []
+                    texts.append("\n".join(held))
+                    kinds.append(kind)
+                    held, kind = [], 0
+            if texts:
+                yield batch_of(now, n, texts, kinds)
+                n += len(texts)
         if held:
-            close(kind or 1)
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), made, strict=True)], schema=made)
+            yield batch_of(now, n, ["\n".join(held)], [kind or 1])
 
     return run
 
