@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import codes, geo, parse, records, score, text
 from ..operators import cluster, columns, corrections, dedupe, lookup, model_map, reads, refresh, search, snapshot, spatial, validate
 from ..sources import readers, tables, writers
-from ..streaming import jobs
+from ..streaming import jobs, log
 from . import samples
 from .pipeline import standardised
 from .samples import ADDRESSES, table
@@ -736,6 +736,20 @@ def s12_s13_records(spark, d):
 # ---- streams
 
 
+@query("""select event_type, count(*) as n, sum(event_id)::bigint as ids, count(*) filter (value > 50) as done, count(*) filter (value is null or value <= 50) as waiting from events group by 1""")
+def s15_k9_log(spark, d):
+    """Every event through a message log to a group, which acknowledges those of a value over 50."""
+    at = _path(spark, "log")
+    log.publish(table(spark, d, "events").select(F.to_json(F.struct("event_id", "event_type", "value")).alias("value")), at)
+    parsed = lambda df: df.withColumn("e", F.from_json("value", "event_id long, event_type string, value double"))
+    group = log.Group(spark, at, "jobs")
+    group.poll(lambda df: parsed(df).where("e.value > 50"))
+    left = group.pending().select("message_id", F.lit(True).alias("left"))
+    every = parsed(log.registered(spark).read.format(log.FORMAT).option("path", at).load()).join(left, "message_id", "left")
+    waits = F.coalesce("left", F.lit(False))
+    return every.groupBy("e.event_type").agg(F.count("*").alias("n"), F.sum("e.event_id").alias("ids"), F.count_if(~waits).alias("done"), F.count_if(waits).alias("waiting"))
+
+
 @query("""select event_type, time_bucket(interval '1 hour', ts) as hour, count(*) as n, round(sum(value), 4) as total from events group by 1, 2""")
 def g1_windowed_stream(spark, d):
     """The events as a stream, counted by hour; each batch has the whole result, the last one stays."""
