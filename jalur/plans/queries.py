@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codes, geo, parse, records, score, text
 from ..operators import cluster, columns, corrections, dedupe, lookup, model_map, reads, refresh, search, snapshot, spatial, validate
-from ..sources import readers, tables, writers
+from ..sources import databases, readers, tables, writers
 from ..streaming import jobs, log
 from . import samples
 from .pipeline import standardised
@@ -733,6 +733,16 @@ def s12_s13_records(spark, d):
     return readers.records(spark, text="\n\n".join(names)).select("record_id", "address")
 
 
+@query("""select p_brand, count(*) as n, sum(p_partkey)::bigint as ids, round(sum(p_retailprice), 4) as price from part where p_size > 10 and p_type = 'ECONOMY' group by 1""")
+def s9_s14_k6_jdbc(spark, d):
+    """Parts loaded into an embedded database, in two loads, and scanned again in parts with the filters pushed down."""
+    url, parts = f"jdbc:derby:memory:q{uuid.uuid4().hex};create=true", table(spark, d, "part")
+    databases.load(parts.where("p_partkey % 2 = 0"), url, "PART")
+    databases.load(parts.where("p_partkey % 2 = 1"), url, "PART")
+    back = databases.table(spark, url, "PART", key="p_partkey", rows=1000).where("p_size > 10 and p_type = 'ECONOMY'")
+    return back.groupBy("p_brand").agg(F.count("*").alias("n"), F.sum("p_partkey").alias("ids"), F.round(F.sum("p_retailprice"), 4).alias("price"))
+
+
 # ---- streams
 
 
