@@ -743,6 +743,27 @@ def s9_s14_k6_jdbc(spark, d):
     return back.groupBy("p_brand").agg(F.count("*").alias("n"), F.sum("p_partkey").alias("ids"), F.round(F.sum("p_retailprice"), 4).alias("price"))
 
 
+@query("""with f as (select n_regionkey, c_custkey, c_custkey % 5 > 0 as known from customer join nation on c_nationkey = n_nationkey)
+select '0' || n_regionkey as state_code, count(*) as polygons, count(*) filter (not known) as unmatched, sum(case when known then c_custkey end)::bigint as ids, sum(c_custkey % 100 + 1)::double as edges from f group by 1""")
+def s11_k7_boundaries(spark, d):
+    """A polygon for each customer, in one collection of one line, read in byte ranges and given its code by a lookup."""
+    at, rows = _path(spark, "geojson"), table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    x = F.col("c_custkey") % 100
+    ring = F.array(*[F.array(a.cast("double"), F.lit(b)) for a, b in ((x, 0.0), (x + 1, 0.0), (x + 1, 1.0), (x, 0.0))])
+    name = F.concat(F.lit('a {"'), F.col("c_custkey").cast("string"))
+    properties = F.struct(F.concat(F.lit("0"), F.col("n_regionkey").cast("string")).alias("STATE_CODE"), F.col("n_name").alias("DIVISION"), name.alias("MUKIM"))
+    one = F.to_json(F.struct(F.lit("Feature").alias("type"), properties.alias("properties"), F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")).alias("geometry")))
+    ends = spark.createDataFrame([(-1, '{"type":"FeatureCollection","features":[{"type":"none"}'), (1 << 60, "]}")], "k long, value string")
+    lines = rows.select(F.col("c_custkey").alias("k"), F.concat(F.lit(","), one).alias("value")).unionAll(ends)
+    lines.coalesce(1).sortWithinPartitions("k").select("value").write.option("lineSep", " ").text(at)  # the file to be read is one
+    part = [f for f in spark.read.text(at).inputFiles()][0]
+    fs, p = tables.filesystem(spark, part)
+    fs.rename(p, spark._jvm.org.apache.hadoop.fs.Path(f"{at}/mukim_boundary.geojson"))
+    known = rows.where("c_custkey % 5 > 0").select(properties["STATE_CODE"].alias("state_code"), name.alias("mukim_name"), F.col("c_custkey").cast("string").alias("mukim_code"), F.col("c_custkey").cast("string").alias("mukim_id"))
+    layer = readers.boundary_layers(spark, at, {"mukim": known})["mukim_boundary"]
+    return layer.groupBy("state_code").agg(F.count("*").alias("polygons"), F.count_if(F.col("mukim_code").isNull()).alias("unmatched"), F.sum(F.col("mukim_id").cast("long")).alias("ids"), F.sum("max_x").alias("edges"))
+
+
 # ---- streams
 
 

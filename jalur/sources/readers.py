@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions.text import clean
-from . import split_csv
-from .tables import filesystem
+from . import split_csv, split_json
+from .tables import exists, filesystem
 
 
 def expanded(spark: SparkSession, path: str) -> list[str]:
@@ -96,17 +96,68 @@ def boundary_table(df: DataFrame, wkt: str = "boundary_wkt", names: list[str] =
     return boundaries(df.where(F.col(wkt).isNotNull()).select(*names, F.col(wkt).alias("geom_wkt")), "geom_wkt")
 
 
-def geojson(spark: SparkSession, path: str, names: dict[str, str]) -> DataFrame:
-    """Features of a GeoJSON file: properties by their new name, and rings; third ordinates are dropped."""
-    shape = "features array<struct<properties:map<string,string>,geometry:struct<type:string,coordinates:string>>>"
-    rows = spark.read.schema(shape).json(expanded(spark, path), multiLine=True).select(F.explode("features").alias("f"))
+def geojson(spark: SparkSession, path: str, names: dict[str, str | list[str]]) -> DataFrame:
+    """Features of GeoJSON files, cut out by byte ranges: properties by their new name, and rings; third ordinates are dropped.
+
+    names: for each new name its property, or several of which the first that is there counts.
+    """
+    shape = "type string, properties map<string,string>, geometry struct<type:string,coordinates:string>"
+    rows = split_json.objects(spark, expanded(spark, path)).select(F.from_json("text", shape).alias("f")).where("f.type = 'Feature'")
     multi = F.from_json("f.geometry.coordinates", "array<array<array<array<double>>>>")
     single = F.from_json("f.geometry.coordinates", "array<array<array<double>>>")
     rings = F.when(F.col("f.geometry.type") == "MultiPolygon", geo.rings_from_geojson(multi, True)).otherwise(geo.rings_from_geojson(single, False))
-    rows = rows.select(*[F.col("f.properties")[old].alias(new) for new, old in names.items()], rings.alias("rings"))
+    first = lambda old: F.coalesce(*[F.col("f.properties")[o] for o in ([old] if isinstance(old, str) else old)])
+    rows = rows.select(*[first(old).alias(new) for new, old in names.items()], rings.alias("rings"))
     return rows.where("rings is not null").withColumns(geo.bounds(F.col("rings")))
 
 
+# Boundary files, and the columns that their properties become.
+LAYERS = {
+    "state_boundary": {"state_code": "STATE_CODE", "state_name": "STATE"},
+    "district_boundary": {"state_code": "STATE_CODE", "district_name": "DISTRICT"},
+    "mukim_boundary": {"state_code": "STATE_CODE", "district_name": "DIVISION", "mukim_name": "MUKIM"},
+    "postcode_boundary": {"postcode": "POSTCODE", "city": "TOWN_CITY", "state": "STATE"},
+    "pbt_boundary": {"object_id": "OBJECTID", "pbt_id": "pbt_id", "pbt_name": ["NAMA_PBT", "pbt_name"]},
+}
+_UPPER = {"state_name", "district_name", "mukim_name", "city", "state", "pbt_id", "pbt_name"}
+
+
+def boundary_layers(spark: SparkSession, folder: str, lookups: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The boundary layers of a folder's GeoJSON files, of those that are there.
+
+    Districts get their code from the lookup by state and name, mukims code and
+    id; a feature that the lookup doesn't know keeps nulls, one that it knows
+    twice comes twice, as in the original's merge.  Areas of a local authority
+    without any id get one from their object number.  lookups: district and mukim.
+    """
+    out = {}
+    for name, columns in LAYERS.items():
+        if not exists(spark, f"{folder}/{name}.geojson"):
+            continue
+        rows = geojson(spark, f"{folder}/{name}.geojson", columns)
+        out[name] = rows.withColumns({c: F.upper(F.trim(c)) if c in _UPPER else F.trim(c) for c in columns})
+    text = lambda df, *upper: df.select(*[(F.upper(F.trim(c)) if c in upper else F.trim(c)).alias(c) for c in df.columns])
+    if "district_boundary" in out:
+        known = text(lookups["district"].select("state_code", "district_name", "district_code"), "district_name")
+        out["district_boundary"] = out["district_boundary"].join(known, ["state_code", "district_name"], "left")
+    if "mukim_boundary" in out:
+        known = text(lookups["mukim"].select("state_code", "mukim_name", "mukim_code", "mukim_id"), "mukim_name")
+        out["mukim_boundary"] = out["mukim_boundary"].join(known, ["state_code", "mukim_name"], "left")
+    if "pbt_boundary" in out:
+        rows = out.pop("pbt_boundary")
+        if rows.where("pbt_id is not null").isEmpty():
+            rows = rows.withColumn("pbt_id", F.concat(F.lit("PBT-"), "object_id"))
+        out["pbt"] = rows.drop("object_id")
+    return out
+
+
+def unmatched(layers: dict[str, DataFrame]) -> DataFrame:
+    """layer, polygons and unmatched (those that no lookup gave a code) of each layer."""
+    code = {"district_boundary": "district_code", "mukim_boundary": "mukim_code"}
+    counts = [df.agg(F.lit(name).alias("layer"), F.count("*").alias("polygons"), (F.count_if(F.col(code[name]).isNull()) if name in code else F.lit(0).cast("long")).alias("unmatched")) for name, df in layers.items()]
+    return reduce(lambda a, b: a.unionAll(b), counts)
+
+
 def records(spark: SparkSession, address: str | None = None, addresses: list[str] | None = None, text: str | None = None, csv_text: str | None = None, address_column: str | None = None, max_records: int = 1000) -> DataFrame:
     """record_id addr-N, address and input_metadata from one address, a list, lines, or CSV text; blanks are dropped.
 

@@ -12,22 +12,20 @@ Fields are parsed by Spark.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .byte_ranges import WHERE, before, put_together, ranges_of, with_state
 from .tables import written
 
 #: Ranges that begin inside quotes up to which they are broadcast; beyond, the lines are shuffled by range.
 BROADCAST_RANGES = 200_000
 #: Encodings that are read in ranges; others are read a file a task.
 ENCODINGS = {"utf-8": None, "utf8": None, "us-ascii": None, "iso-8859-1": "ISO-8859-1", "latin-1": "ISO-8859-1", "latin1": "ISO-8859-1"}
-_WHERE = ["file", "block"]
 
 
 def ends_inside(line: str, inside: bool, sep: str = ",") -> bool:
@@ -59,27 +57,12 @@ def _lines(spark: SparkSession, paths: list[str], encoding: str) -> DataFrame:
     return rows.withColumn("value", F.decode(F.col("value").cast("binary"), encoding)) if encoding else rows
 
 
-def _ranges(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
-    """(file, block), whether it goes on from the batch before, and the columns' rows, of each batch's ranges."""
-    now = None
-    for batch in batches:
-        n = batch.num_rows
-        if not n:
-            continue
-        file, block = batch["file"], batch["block"]
-        new = pc.or_(pc.not_equal(file[1:], file[:-1]), pc.not_equal(block[1:], block[:-1])).to_numpy(zero_copy_only=False)
-        for lo, hi in pairwise([0, *(np.flatnonzero(new) + 1).tolist(), n]):
-            where = file[lo].as_py(), block[lo].as_py()
-            yield where, where == now, *(batch[c][lo:hi] for c in columns)
-            now = where
-
-
 def _both_states(sep: str):
     """One row a range: the end's state from either state (to0, to1), whether a line ends outside (end0, end1), and whether none ends inside from outside."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = []
-        for where, goes_on, lines in _ranges(batches, "quoted"):
+        for where, goes_on, lines in ranges_of(batches, "quoted"):
             if not goes_on:
                 found.append([*where, False, True, False, False, True])
             row, last = found[-1], -1
@@ -104,17 +87,11 @@ def _both_states(sep: str):
 def range_states(lines: DataFrame, sep: str = ",") -> DataFrame:
     """file, block, inside (at the range's start), origin (the range in which the record open at its start begins) and plain."""
     quoted = F.when(F.contains("value", F.lit('"')), F.col("value"))
-    ranges = written(lines.select(*_WHERE, quoted.alias("quoted")).mapInArrow(_both_states(sep), "file string, block long, to0 boolean, to1 boolean, end0 boolean, end1 boolean, plain boolean"))
-    before = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    # of the maps between the two states two are constant; since the last of them only the swaps count
-    rows = ranges.withColumn("fixed", F.col("to0") == F.col("to1")).withColumn("era", F.coalesce(F.count_if("fixed").over(before), F.lit(0)))
-    rows = rows.withColumn("since", F.coalesce(F.max(F.when(F.col("fixed"), F.struct("block", "to0"))).over(before)["to0"], F.lit(False)))
-    swaps = F.coalesce(F.count_if(~F.col("fixed") & F.col("to0")).over(W.partitionBy("file", "era").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    # the range that is constant itself is the last of its era, so no swap before it is lost
-    rows = rows.withColumn("inside", F.col("since") != (swaps % 2 == 1))
+    ranges = written(lines.select(*WHERE, quoted.alias("quoted")).mapInArrow(_both_states(sep), "file string, block long, to0 boolean, to1 boolean, end0 boolean, end1 boolean, plain boolean"))
+    rows = with_state(ranges)
     by_state = lambda c: F.when(F.col("inside"), F.col(f"{c}1")).otherwise(F.col(f"{c}0"))
     begins = by_state("to") & (by_state("end") | ~F.col("inside"))  # a record that is still open at the range's end
-    return rows.withColumn("origin", F.max(F.when(begins, F.col("block"))).over(before)).select(*_WHERE, "inside", "origin", "plain")
+    return rows.withColumn("origin", F.max(F.when(begins, F.col("block"))).over(before())).select(*WHERE, "inside", "origin", "plain")
 
 
 def _cut(sep: str):
@@ -127,7 +104,7 @@ def _cut(sep: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, n, held, inside, kind = None, 0, [], False, 0
-        for where, goes_on, begins, values in _ranges(batches, "inside", "value"):
+        for where, goes_on, begins, values in ranges_of(batches, "inside", "value"):
             if not goes_on:
                 if held:
                     yield batch_of(now, n, ["\n".join(held)], [kind or 1])
@@ -164,19 +141,15 @@ def records(spark: SparkSession, paths: list[str], sep: str = ",", encoding: str
     states = written(range_states(lines, sep))
     clean = F.regexp_replace("text", "\r$", "")
     if states.where(~F.col("plain")).limit(1).count() == 0:  # no record has a line break: what ranges hold is what they look like
-        rows = lines.select(*_WHERE, F.monotonically_increasing_id().alias("n"), F.col("value").alias("text"))
+        rows = lines.select(*WHERE, F.monotonically_increasing_id().alias("n"), F.col("value").alias("text"))
         return rows.select("file", "block", "n", clean.alias("record")).where("record <> ''")
-    begun = states.where("inside").select(*_WHERE, "inside")
+    begun = states.where("inside").select(*WHERE, "inside")
     if begun.limit(BROADCAST_RANGES + 1).count() <= BROADCAST_RANGES:
-        dealt = lines.join(F.broadcast(begun), _WHERE, "left")
+        dealt = lines.join(F.broadcast(begun), WHERE, "left")
     else:
-        dealt = lines.withColumn("pos", F.monotonically_increasing_id()).join(begun, _WHERE, "left").repartition(*_WHERE).sortWithinPartitions(*_WHERE, "pos")
-    cut = written(dealt.select(*_WHERE, "inside", "value").mapInArrow(_cut(sep), "file string, block long, n long, kind int, text string"))
-    pieces = cut.where("kind > 0").join(states.select(*_WHERE, "origin"), _WHERE)
-    start = F.when(F.col("kind") == 1, F.col("block")).otherwise(F.col("origin"))
-    whole = pieces.groupBy("file", start.alias("start")).agg(F.array_sort(F.collect_list(F.struct("block", "n", "text"))).alias("p"))  # one record's pieces
-    joined = whole.select("file", F.col("p")[0]["block"].alias("block"), F.col("p")[0]["n"].alias("n"), F.array_join(F.transform("p", lambda x: x["text"]), "\n").alias("text"))
-    return cut.where("kind = 0").drop("kind").unionByName(joined).select("file", "block", "n", clean.alias("record")).where("record <> ''")
+        dealt = lines.withColumn("pos", F.monotonically_increasing_id()).join(begun, WHERE, "left").repartition(*WHERE).sortWithinPartitions(*WHERE, "pos")
+    cut = written(dealt.select(*WHERE, "inside", "value").mapInArrow(_cut(sep), "file string, block long, n long, kind int, text string"))
+    return put_together(cut, states, "\n").select("file", "block", "n", clean.alias("record")).where("record <> ''")
 
 
 def column_names(header: list[str | None]) -> list[str]:
