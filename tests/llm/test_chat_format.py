@@ -67,6 +67,21 @@ def test_edges(spark, budget, history, chunk):
             assert parts[0].startswith("<turn>system\n")
 
 
+@pytest.mark.parametrize(("budget", "history"), [(1024, 256), (60, 20), (200, 0)])
+def test_chunks_change_no_window(spark, budget, history):
+    """Small chunks, also smaller than a window and than the history, and several levels of maps."""
+    rows = ROWS + [(6, i, ("system", "user", "assistant")[min(i, 1 + i % 2)], "w " * (i * i % 23)) for i in range(170)] + [(None, i, "assistant", "z" * (i % 90)) for i in range(70)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    key = lambda out: sorted(map(str, out.collect()))
+    want = key(cf.windows(df, budget, history))
+    fan, cf.FAN = cf.FAN, 3
+    try:
+        for chunk in (3, 8, 41):
+            assert key(cf.windows(df, budget, history, chunk=chunk)) == want
+    finally:
+        cf.FAN = fan
+
+
 def test_empty(spark):
     df = spark.createDataFrame(ROWS, "conv_id long, turn long, role string, text string").limit(0)
     assert cf.digests(cf.read_back(cf.windows(df))).count() == 0
