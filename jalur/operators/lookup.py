@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.parse import EVIDENCE
 from ..functions.text import clean, postcode_label, title, upper_clean
-from ..sources.tables import written
+from ..sources.tables import scratch, written
 from .dedupe import first_rows
 
 #: Rows and bytes (as JSON) of a lookup that are sent to all executors at most; beyond, joins shuffle.
@@ -46,22 +48,60 @@ def with_state(df: DataFrame, states: DataFrame) -> DataFrame:
     return out.withColumns({"state_name": F.coalesce("state_name", "_name"), "state_lookup_valid": F.col("_c").isNotNull()}).drop("_c", "_name")
 
 
-def best_match(df: DataFrame, lookup: DataFrame, name: str, keep: list[str], row_key: str, within: list[str] = (), evidence: list[str] = EVIDENCE, near: tuple[int, int] = (1, 2)) -> DataFrame:
+class NameIndex:
+    """What best_match() looks a lookup's names up in, written once and used by any number of batches.
+
+    names: the lookup's rows (_m_ columns) with the cleaned name _n.  rarest: each
+    name and the rarest of its words.  deletions: each name and the texts that are
+    left of it when up to as many letters go as it may differ in.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.names, self.rarest, self.deletions = (spark.read.parquet(f"{path}/{t}") for t in ("names", "rarest", "deletions"))
+        stats = spark.read.parquet(f"{path}/stats").first()
+        self.longest, self.near, self.within = stats["longest"], (stats["near_short"], stats["near_long"]), list(stats["within"])
+
+
+def name_index(lookup: DataFrame, name: str, keep: list[str], within: list[str] = (), near: tuple[int, int] = (1, 2), path: str | None = None) -> NameIndex:
+    """Write the index of a lookup (with _ord, the order of its rows) to path, or to a scratch folder."""
+    spark, path = lookup.sparkSession, path or f"{scratch(lookup.sparkSession)}/jalur-{uuid.uuid4().hex}"
+    lookup.withColumn("_n", upper_clean(name)).where("_n is not null").select(*[F.col(c).alias(f"_m_{c}") for c in dict.fromkeys([*keep, *within])], "_n", F.col("_ord").alias("_m_ord")).write.mode("overwrite").parquet(f"{path}/names")
+    texts = spark.read.parquet(f"{path}/names").select("_n").distinct()
+    # a name with a mark no word can hold has no exact match
+    words = texts.select("_n", F.explode(F.array_distinct(F.split("_n", " "))).alias("_word"))
+    often = words.groupBy("_word").agg(F.count("*").alias("_often"))
+    words.join(often, "_word").groupBy("_n").agg(F.min_by("_word", F.struct("_often", "_word")).alias("_word")).write.mode("overwrite").parquet(f"{path}/rarest")
+    texts.select("_n", F.explode(_deletions("_n", _most("_n", near), near[1])).alias("_d")).write.mode("overwrite").parquet(f"{path}/deletions")
+    longest = spark.read.parquet(f"{path}/rarest").agg(F.coalesce(F.max(F.length("_n")), F.lit(0)).alias("longest"))
+    longest.select("longest", F.lit(near[0]).alias("near_short"), F.lit(near[1]).alias("near_long"), F.array(*map(F.lit, within)).cast("array<string>").alias("within")).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
+    return NameIndex(spark, path)
+
+
+def _most(text: str, near: tuple[int, int]):
+    return F.when(F.length(text) <= 5, near[0]).otherwise(near[1])
+
+
+def best_match(df: DataFrame, lookup: DataFrame | NameIndex, name: str, keep: list[str], row_key: str, within: list[str] = (), evidence: list[str] = EVIDENCE, near: tuple[int, int] = (1, 2)) -> DataFrame:
     """For each row_key the best row of lookup, as columns _m_*; rows without a match are left out.
 
     A name matches if ` NAME ` is in address_norm, or if one of the evidence texts
     is within 1 edit (names of 5 letters or fewer) or 2.  Exact before near, then
     the distance, then the longer name, then the row's order (_ord).  within:
-    columns that must agree where df has a value.
+    columns that must agree where df has a value.  lookup: rows, or their index by
+    name_index() with the same columns, of which nothing is then worked out anew.
 
     Candidates come from equi-joins of distinct texts: a name meets the addresses
     that have its rarest word, and an evidence text, once for all rows that have
     it, the names that share a deletion neighbourhood with it - two texts within
     k edits share a text that is left when each loses k letters or fewer.  Only
     names that match are then joined to their rows of the lookup, within the
-    columns that must agree.  So no row meets every name.
+    columns that must agree.  So no row meets every name.  The index is in
+    tables, so Spark broadcasts what is small by its own bound.
     """
-    names = written(lookup.withColumn("_n", upper_clean(name)).where("_n is not null").select(*[F.col(c).alias(f"_m_{c}") for c in dict.fromkeys([*keep, *within])], "_n", F.col("_ord").alias("_m_ord")))
+    index = lookup if isinstance(lookup, NameIndex) else name_index(lookup, name, keep, within, near)
+    if list(within) != index.within or tuple(near) != index.near:
+        raise ValueError(f"the index is for {index.within} and {index.near}, not {list(within)} and {near}")
+    names = index.names
     shape = [c for c in names.columns if c.startswith("_m_")]
     cols = [c for c in evidence if c in df.columns]
     own = [f"_w_{c}" for c in within]
@@ -69,37 +109,30 @@ def best_match(df: DataFrame, lookup: DataFrame, name: str, keep: list[str], row
     # rows with the same texts are one case, named by 128 bits of hash
     rows = written(rows.withColumn("_case", F.struct(F.xxhash64("_norm", "_ev", *own).alias("a"), F.xxhash64(F.lit(1), "_ev", "_norm", *own).alias("b"))))
     cases = rows.dropDuplicates(["_case"]).drop("_k")
-    texts = names.select("_n").distinct()
-    # exact: by the name's rarest word; a name with a mark no word can hold has no exact match
-    words = texts.select("_n", F.explode(F.array_distinct(F.split("_n", " "))).alias("_word"))
-    often = words.groupBy("_word").agg(F.count("*").alias("_often"))
-    rarest = words.join(often, "_word").groupBy("_n").agg(F.min_by("_word", F.struct("_often", "_word")).alias("_word"))
+    # exact: by the name's rarest word
     asked = cases.select("_case", "_norm", "_ev", F.explode(F.array_distinct(F.split(F.trim("_norm"), " "))).alias("_word"))
-    hit = asked.join(dimension(rarest), "_word").where(F.contains(F.col("_norm"), F.concat(F.lit(" "), F.col("_n"), F.lit(" "))))
+    hit = asked.join(index.rarest, "_word").where(F.contains(F.col("_norm"), F.concat(F.lit(" "), F.col("_n"), F.lit(" "))))
     least = F.coalesce(F.array_min(F.transform("_ev", lambda e: F.levenshtein(e, F.col("_n")))), F.lit(999))
     found = hit.select("_case", "_n", F.lit(0).alias("_rank"), least.alias("_dist"))
     if cols:
         # near: deletion neighbourhoods of distinct texts
-        longest = texts.agg(F.coalesce(F.max(F.length("_n")), F.lit(0))).first()[0]
-        said = cases.select("_case", F.explode("_ev").alias("_e")).where(F.length("_e") <= longest + near[1])
-        most = lambda t: F.when(F.length(t) <= 5, near[0]).otherwise(near[1])
-        probes = said.select("_e").distinct().select("_e", F.explode(_deletions("_e", most("_e"), near[1])).alias("_d"))
-        by_probe = dimension(texts.select("_n", F.explode(_deletions("_n", most("_n"), near[1])).alias("_d")))
-        close = probes.join(by_probe, "_d").select("_e", "_n").distinct().withColumn("_dist", F.levenshtein("_e", "_n")).where(F.col("_dist") <= most("_n"))
-        found = found.unionAll(said.join(dimension(close), "_e").select("_case", "_n", F.lit(1).alias("_rank"), "_dist"))
+        said = cases.select("_case", F.explode("_ev").alias("_e")).where(F.length("_e") <= index.longest + near[1])
+        probes = said.select("_e").distinct().select("_e", F.explode(_deletions("_e", _most("_e", near), near[1])).alias("_d"))
+        close = probes.join(index.deletions, "_d").select("_e", "_n").distinct().withColumn("_dist", F.levenshtein("_e", "_n")).where(F.col("_dist") <= _most("_n", near))
+        found = found.unionAll(said.join(close, "_e").select("_case", "_n", F.lit(1).alias("_rank"), "_dist"))
     # of a case and a name the best; it meets the name's rows, by all columns that must agree where the case has them
     found = found.groupBy("_case", "_n").agg(F.min(F.struct("_rank", "_dist")).alias("_o")).select("_case", "_n", "_o.*")
     if within:
-        found = found.join(cases.select("_case", *own), "_case")
+        found = written(found.join(cases.select("_case", *own), "_case"))
         full, agrees = F.lit(True), F.lit(True)
         for c, w in zip(within, own, strict=True):
             full &= F.col(w).isNotNull()
             agrees &= F.col(w).isNull() | (F.col(w) == F.col(f"_m_{c}").cast("string"))
         keyed = names.withColumns({w: F.col(f"_m_{c}").cast("string") for c, w in zip(within, own, strict=True)})
         part = ["_case", "_rank", "_dist", "_n", *shape]
-        found = found.where(full).join(dimension(keyed), ["_n", *own]).select(*part).unionAll(found.where(~full).join(dimension(names), "_n").where(agrees).select(*part))
+        found = found.where(full).join(keyed, ["_n", *own]).select(*part).unionAll(found.where(~full).join(names, "_n").where(agrees).select(*part))
     else:
-        found = found.join(dimension(names), "_n")
+        found = found.join(names, "_n")
     order = F.struct("_rank", "_dist", (-F.length("_n")).alias("_len"), "_m_ord")
     best = found.groupBy("_case").agg(F.min_by(F.struct(*shape, F.col("_rank").alias("_m__rank"), F.col("_dist").alias("_m__distance")), order).alias("_b")).select("_case", "_b.*")
     return rows.select("_k", "_case").join(best, "_case").select(F.col("_k").alias(row_key), *[c for c in best.columns if c.startswith("_m_")])
@@ -114,26 +147,42 @@ def _deletions(text: str, k, most: int):
     return F.when(k >= 2, two).otherwise(F.array_union(F.array(t), first)) if most > 1 else F.array_union(F.array(t), first)
 
 
-def with_district(df: DataFrame, districts: DataFrame, aliases: DataFrame | None = None, row_key: str = "_row_id") -> DataFrame:
-    """District code and name by best_match where they lack, the name by the code, and whether the code is known.
-
-    districts: state_code, district_code, district_name, _ord; aliases: district_alias for the name.
-    """
+def district_index(districts: DataFrame, aliases: DataFrame | None = None, path: str | None = None) -> NameIndex:
+    """The index that with_district() looks names up in; aliases (district_alias) come after the names."""
     lookup = districts.select("state_code", "district_code", "district_name", "_ord")
     if aliases is not None:
         lookup = lookup.unionByName(aliases.select("state_code", "district_code", F.col("district_alias").alias("district_name"), (F.col("_ord") + F.lit(1 << 40)).alias("_ord")))
-    hit = best_match(df, lookup, "district_name", ["district_code", "district_name"], row_key, ["state_code"]).select(F.col(row_key).alias("_k"), "_m_district_code", upper_clean("_m_district_name").alias("_m_district_name"))
+    return name_index(lookup, "district_name", ["district_code", "district_name"], ["state_code"], path=path)
+
+
+def with_district(df: DataFrame, districts: DataFrame, aliases: DataFrame | None = None, row_key: str = "_row_id", index: NameIndex | None = None) -> DataFrame:
+    """District code and name by best_match where they lack, the name by the code, and whether the code is known.
+
+    districts: state_code, district_code, district_name, _ord; aliases: district_alias for the name; index: district_index() of both.
+    """
+    index = index or district_index(districts, aliases)
+    hit = best_match(df, index, "district_name", ["district_code", "district_name"], row_key, ["state_code"]).select(F.col(row_key).alias("_k"), "_m_district_code", upper_clean("_m_district_name").alias("_m_district_name"))
     out = df.join(hit, F.col(row_key) == F.col("_k"), "left").withColumns({"district_code": F.coalesce("district_code", "_m_district_code"), "district_name": F.coalesce("district_name", "_m_district_name")}).drop("_k", "_m_district_code", "_m_district_name")
     known = first_rows(districts, ["state_code", "district_code"], [F.desc("_ord")]).select(F.col("state_code").alias("_s"), F.col("district_code").alias("_d"), upper_clean("district_name").alias("_name"), F.lit(True).alias("_known"))
     out = out.join(dimension(known), (F.col("state_code") == F.col("_s")) & (F.col("district_code") == F.col("_d")), "left")
     return out.withColumns({"district_name": F.when(F.col("_known"), F.col("_name")).otherwise(upper_clean("district_name")), "district_lookup_valid": F.coalesce("_known", F.lit(False))}).drop("_s", "_d", "_name", "_known")
 
 
-def with_mukim(df: DataFrame, mukims: DataFrame, row_key: str = "_row_id") -> DataFrame:
-    """Mukim columns by best_match within state and district, else the only mukim of the district; whether it is known."""
-    names = ["state_code", "state_name", "district_code", "district_name", "mukim_code", "mukim_name", "mukim_id"]
-    lookup = mukims.withColumn("mukim_name", upper_clean("mukim_name"))
-    hit = best_match(df, lookup, "mukim_name", names, row_key, ["state_code", "district_code"]).select(F.col(row_key).alias("_k"), *[f"_m_{c}" for c in names])
+_MUKIM = ["state_code", "state_name", "district_code", "district_name", "mukim_code", "mukim_name", "mukim_id"]
+
+
+def mukim_index(mukims: DataFrame, path: str | None = None) -> NameIndex:
+    """The index that with_mukim() looks names up in."""
+    return name_index(mukims.withColumn("mukim_name", upper_clean("mukim_name")), "mukim_name", _MUKIM, ["state_code", "district_code"], path=path)
+
+
+def with_mukim(df: DataFrame, mukims: DataFrame, row_key: str = "_row_id", index: NameIndex | None = None) -> DataFrame:
+    """Mukim columns by best_match within state and district, else the only mukim of the district; whether it is known.
+
+    index: mukim_index() of mukims.
+    """
+    names, lookup = _MUKIM, mukims.withColumn("mukim_name", upper_clean("mukim_name"))
+    hit = best_match(df, index or mukim_index(mukims), "mukim_name", names, row_key, ["state_code", "district_code"]).select(F.col(row_key).alias("_k"), *[f"_m_{c}" for c in names])
     out = df.join(hit, F.col(row_key) == F.col("_k"), "left").drop("_k").withColumns({c: F.coalesce(F.col(c), f"_m_{c}") for c in names}).drop(*[f"_m_{c}" for c in names])
     only = single_child(lookup, ["state_code", "district_code"], ["mukim_code", "mukim_name", "mukim_id"])
     lacks = F.col("mukim_code").isNull()
