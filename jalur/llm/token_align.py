@@ -86,7 +86,7 @@ class Tokeniser:
 
 
 class Memory:
-    """What a worker knows of stretches: those that it met first, as long as they make up most of what it meets."""
+    """What a worker knows of stretches: those that it met first, as long as it meets a fifth of them again."""
 
     def __init__(self, tokenisers: list[Tokeniser], remembered: int):
         self.tokenisers, self.remembered = tokenisers, remembered
@@ -102,7 +102,7 @@ class Memory:
         fresh, held = {}, self.held
         if None in codes:
             fresh = dict.fromkeys(x for x, c in zip(parts, codes, strict=True) if c is None)
-            if 2 * len(fresh) > len(parts) and len(self.known) == self.remembered:
+            if 5 * len(fresh) > 4 * len(parts) and len(self.known) == self.remembered:
                 self.clear()
                 held, fresh, codes = self.held, dict.fromkeys(parts), [None] * len(parts)
             fresh = {x: len(self.known) + k for k, x in enumerate(sorted(fresh, key=lambda x: not x or x[-1] in _SPACES))}
