@@ -42,6 +42,8 @@ LEAST_BLOCK = 6
 CROWD, LEADERS = 256, 16
 #: Fingerprints over words, and 64-bit parts of the one over shingles; words whose hash a worker remembers at most.
 TABLES, PARTS, HASHES = 4, 8, 100_000
+#: Standard deviations that texts of just the similarity asked for may be off by: one in twenty is off by more.
+SLACK = 1.6
 
 
 def fingerprint(text: bytes, width: int = 3) -> int:
@@ -122,10 +124,10 @@ def wide_fingerprint(text: bytes, known: dict[bytes, int], width: int = 5) -> np
 
 
 def wide_budget(similarity: float) -> int:
-    """Bits of the shingle fingerprint that texts of this Jaccard similarity differ in, and one standard deviation."""
+    """Bits of the shingle fingerprint that texts of this Jaccard similarity differ in, and SLACK standard deviations."""
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
     n = 64 * PARTS
-    return int(n * share + (n * share * (1 - share)) ** 0.5)
+    return int(n * share + SLACK * (n * share * (1 - share)) ** 0.5)
 
 
 def wide_fingerprints(docs: DataFrame, text: str = "text", out: str = "fingerprint", width: int = 5) -> DataFrame:

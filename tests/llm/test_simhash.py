@@ -139,3 +139,30 @@ def test_near_copies(spark, at_most):
         close = [linked(i, j) for s, i, j in pairs if s >= 0.8]
         assert len(close) > 30 and np.mean(close) >= 0.9
         assert not any(linked(i, j) for s, i, j in pairs if s < 0.6)
+
+
+def test_recall_on_the_given_table():
+    """Of the pairs of texts whose five-word shingles agree by 0.8 or more, found through their least shingle hashes, nine in ten pass both fingerprints."""
+    import duckdb
+    import xxhash
+
+    texts = list({r[0] or "" for r in duckdb.sql("select text from '/root/testdata/sf0.1/documents.parquet'").fetchall()})
+    sets, prints, known, holders = [], [], {}, {}
+    for k, text in enumerate(texts):
+        words = text.encode().translate(simhash._LOWER).split()
+        sets.append({xxhash.xxh64_intdigest(b" ".join(words[i : i + 5])) for i in range(max(1, len(words) - 4))})
+        prints.append(simhash.wide_fingerprint(text.encode(), known))
+        for h in sorted(sets[-1])[:24]:
+            holders.setdefault(h, []).append(k)
+    pairs = {(a, b) for v in holders.values() if len(v) <= 60 for i, a in enumerate(v) for b in v[i + 1 :]}
+    far, counts = simhash.wide_budget(0.8), {True: [0, 0], False: [0, 0]}
+    for a, b in pairs:
+        same = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+        bits = np.bitwise_count(prints[a] ^ prints[b])
+        linked = bits[: simhash.TABLES].min() <= 3 and bits[simhash.TABLES :].sum() <= far
+        if same >= 0.8 or same < 0.6:
+            counts[same >= 0.8][0] += 1
+            counts[same >= 0.8][1] += linked
+    n, linked = counts[True]
+    assert n >= 40 and linked >= 0.9 * n
+    assert counts[False][0] > 1000 and counts[False][1] == 0
