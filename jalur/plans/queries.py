@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codes, geo, parse, records, score, text
-from ..operators import cluster, columns, corrections, dedupe, lookup, model_map, reads, refresh, search, snapshot, spatial, validate
+from ..operators import cluster, columns, corrections, dedupe, lookup, metrics, model_map, reads, refresh, search, snapshot, spatial, validate
 from ..sources import databases, readers, tables, writers
 from ..streaming import jobs, log
 from . import samples
@@ -640,6 +640,24 @@ def a14_a15_rates(spark, d):
     return reads.rates(table(spark, d, "events"), "ts", "event_type")
 
 
+@query("""with e as (select *, lag(value) over (partition by event_type order by ts, event_id) as before from events where value is not null)
+select event_type, time_bucket(interval '1 hour', ts) as window_start, round(sum(case when before is null then 0 when value >= before then value - before else value end), 4) as increase from e group by 1, 2""")
+def a14_increase(spark, d):
+    """The values as readings of a counter for each kind of event, which starts anew wherever it falls."""
+    return metrics.increase(table(spark, d, "events"), ["event_type"], "ts", "value", "event_id").withColumn("increase", F.round("increase", 4))
+
+
+@query("""with b as (select event_type, value, case when value = 0 then 0 else sign(value) * (ceil(ln(abs(value)) / ln(1.01 / 0.99)) + 1048576) end as b from events where value is not null),
+c as (select event_type, b, count(*) as n from b group by all), r as (select *, sum(n) over (partition by event_type order by b) as upto, sum(n) over (partition by event_type) as total from c),
+q as (select event_type, q, min(b) as b from r, (values (0.5), (0.95), (0.99)) as v(q) where upto >= greatest(ceil(q * total), 1) group by all)
+select event_type, q::double as q, round(case when b = 0 then 0 else sign(b) * 2 * pow(1.01 / 0.99, abs(b) - 1048576) / (1.01 / 0.99 + 1) end, 4) as value from q""")
+def a15_sketch_quantiles(spark, d):
+    """Quantiles of all events, from sketches of each hour that are added up."""
+    events = table(spark, d, "events")
+    hours = metrics.sketch(events, "value", ["event_type", F.date_trunc("hour", "ts").alias("hour")])
+    return metrics.quantiles(metrics.added(hours, ["event_type"]), [0.5, 0.95, 0.99], ["event_type"]).withColumn("value", F.round("value", 4))
+
+
 @query("""with h as (select event_type, count(*) filter (value <= 5) as a, count(*) filter (value <= 20) as b, count(*) filter (value <= 80) as c, count(value) as n from events group by 1), t as (select *, n * 0.95 as q from h)
 select event_type, round(case when n = 0 then null when a >= q then 5 * q / a when b >= q then 5 + 15 * (q - a) / (b - a) when c >= q then 20 + 60 * (q - b) / (c - b) else 80 end, 6)::double as value from t""")
 def a15_histogram_quantile(spark, d):
