@@ -31,7 +31,6 @@ K1, B = 1.2, 0.75
 FIELDS = (1, 2, 3)
 #: Entries up to which a query's entries are also pushed down to the scan, which doesn't change the result.
 PUSHED = 1000
-_ENTRY = "field int, term string"
 _SLACK = 1e-5  # scores are rounded to 6 places
 
 
