@@ -267,7 +267,9 @@ def pair_counts(rows: DataFrame) -> DataFrame:
     """pair, n (rows that have it in links) and best (whether n is the highest of the pair's A id)."""
     counts = Table(rows.select(F.explode(F.array_distinct("links")).alias("pair")).groupBy("pair").agg(F.count("*").alias("n")))
     highest = counts.df.groupBy(F.shiftright("pair", 32).alias("a")).agg(F.max("n").alias("top"))
-    return Table(counts.df.join(highest, F.shiftright("pair", 32) == F.col("a")).select("pair", "n", (F.col("n") == F.col("top")).alias("best"))).df
+    out = Table(counts.df.join(highest, F.shiftright("pair", 32) == F.col("a")).select("pair", "n", (F.col("n") == F.col("top")).alias("best")))
+    counts.drop()
+    return out.df
 
 
 def _floor(pairs: DataFrame, at_most: int) -> int:
