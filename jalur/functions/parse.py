@@ -16,6 +16,8 @@ LOT = (r"\bLOT\s*([0-9A-Z/-]+)", r"\bPT\s*([0-9A-Z/-]+)")
 UNIT = (r"\b(?:UNIT|APT|APARTMENT|SUITE|STE)\s*([0-9A-Z/-]+)", r"(\b[A-Z]?\d+-\d+(?:-\d+)?\b)")
 FLOOR = (r"\b(?:FLOOR|LEVEL|LVL|TINGKAT|TKT|ARAS)\s*([0-9A-Z/-]+)",)
 PREMISE = (r"\bNO\.?\s*([0-9A-Z/-]+)", r"^([0-9A-Z/-]+)")
+#: What names a number that isn't a postcode.
+NAMED = (*LOT, UNIT[0], *FLOOR, PREMISE[0])
 TYPES = [
     ("HIGHRISE", r"(APARTMENT|APARTMEN|PANGSAPURI|KONDOMINIUM|KONDO|CONDO|FLAT|RUMAH PANGSA|MENARA|TOWER|RESIDENSI|RESIDENCE|SOHO|SOFO|SERVICED RESIDENCE|PPR|PPA1M)"),
     ("INSTITUTIONAL", r"(HOSPITAL|SCHOOL|MOSQUE|SURAU|POLICE STATION|BALAI POLIS|GOVERNMENT BUILDING|PEJABAT)"),
@@ -39,6 +41,14 @@ def _found(text: Column, pattern: str) -> Column:
     return F.coalesce(text, F.lit("")).rlike("(?i)" + pattern)
 
 
+def _postcode() -> Column:
+    """X5, but a number that the first segment names as a lot, unit, floor or premise is one only if no other five digits stand alone."""
+    first = F.col("_u1")
+    for pattern in NAMED:
+        first = F.regexp_replace(first, pattern, " ")
+    return F.coalesce(postcode(F.concat_ws(", ", first, F.slice("_p", 2, F.greatest(F.size("_p") - 1, F.lit(0))))), postcode("_a"))
+
+
 def parse(df: DataFrame, address: str) -> DataFrame:
     """Df with address_clean, COMPONENTS, EVIDENCE and address_norm; columns of these names are replaced.
 
@@ -68,7 +78,7 @@ def parse(df: DataFrame, address: str) -> DataFrame:
         "locality_name": F.coalesce("_b5", "_b4", "_b3"),
         "sub_locality_1": F.when(F.col("_s4").isNotNull(), F.col("_b3")),
         "sub_locality_2": F.when(F.col("_s5").isNotNull(), F.col("_b4")),
-        "postcode": postcode("_a"),
+        "postcode": _postcode(),
         **{f"seg{k}_norm": segment(f"_s{k}") for k in range(2, 6)},
         **{f"tail{k}_norm": tail(k) for k in range(2, 5)},
         "address_norm": padded("_a"),

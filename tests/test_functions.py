@@ -46,6 +46,11 @@ def test_parse_of_a_usual_address(spark):
     assert {k: p[k] for k in want} == want
 
 
+@pytest.mark.parametrize(("address", "want"), [("No 10000, Jalan Ampang, Taman Maju, 50450 Kuala Lumpur", "50450"), ("LOT 12345-A, Jalan Ampang, 50450 Kuala Lumpur", "50450"), ("No. 10000", "10000"), ("No 5 50450 Kuala Lumpur", "50450"), ("50450 Kuala Lumpur, Jalan Ampang", "50450"), ("No 7, Jalan Ampang", None)])
+def test_a_numbered_premise_is_no_postcode(spark, address, want):
+    assert parsed(spark, address)["postcode"] == want
+
+
 def test_parse_of_other_separators(spark):
     p = parsed(spark, "12; Jalan 1| Kajang")
     assert (p["address_clean"], p["premise_no"], p["street_name"], p["street_name_prefix"], p["locality_name"], p["sub_locality_1"], p["postcode"]) == ("12, JALAN 1, KAJANG", "12", "1", "JALAN", "KAJANG", None, None)
