@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +25,11 @@ EVENT = "event_type string, event_id string, job_id string, requested_at string,
 STATE = "status string, updated_at timestamp, started_at timestamp, recoveries int"
 MOVE = "job_id string, event string, from_status string, to_status string, accepted boolean, at timestamp, seconds double, recoveries int"
 
+#: Batches after which all states are written anew, not just those that changed.
+WHOLE = 20
+_KEPT = "job_id string, event string, from_status string, to_status string, accepted boolean, at long, seconds double, recoveries int, started long, heard long, what string"
+_KEPT_ARROW = pa.schema([("job_id", pa.string()), ("event", pa.string()), ("from_status", pa.string()), ("to_status", pa.string()), ("accepted", pa.bool_()), ("at", pa.int64()), ("seconds", pa.float64()), ("recoveries", pa.int32()), ("started", pa.int64()), ("heard", pa.int64()), ("what", pa.string())])
+
 
 def messages(spark: SparkSession, path: str, schema, files: int = 1, fmt: str = "json", names: str = "*") -> DataFrame:
     """Files of a folder, of these names, as they come, so many at a time; what was read is in the query's checkpoint."""
@@ -133,3 +140,83 @@ def run_once(stream: DataFrame, path: str, checkpoint: str, each: Callable[[Data
         conf.set(name, before)
     query.awaitTermination()
     return query
+
+
+def _walk(stale: int, now: int, whole: bool):
+    """Rows of jobs in order, a job's states before its events; times in microseconds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some = touched = False
+        job = status = at = started = heard = None
+        recoveries = 0
+        out: list[tuple] = []
+
+        def end() -> None:
+            if touched and status is not None:
+                out.append((job, None, None, status, None, at, None, recoveries, started, now, "state"))
+            elif status == "running" and stale and not touched and heard + stale <= now:
+                out.append((job, "sweep", status, "queued", True, now, None, recoveries + 1, None, None, "move"))
+                out.append((job, None, None, "queued", None, now, None, recoveries + 1, None, now, "state"))
+            elif whole and status is not None:
+                out.append((job, None, None, status, None, at, None, recoveries, started, heard, "state"))
+
+        def flushed() -> pa.RecordBatch:
+            columns = zip(*out, strict=True) if out else [()] * len(_KEPT_ARROW)
+            batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _KEPT_ARROW, strict=True)], schema=_KEPT_ARROW)
+            out.clear()
+            return batch
+
+        for rows in batches:
+            for j, is_event, said, when, began, last, times in zip(*(rows.column(c).to_pylist() for c in ("job_id", "is_event", "said", "at", "started", "heard", "recoveries")), strict=True):
+                if not some or j != job:
+                    if some:
+                        end()
+                    some, touched, job, status, at, started, heard, recoveries = True, False, j, None, None, None, None, 0
+                if not is_event:
+                    status, at, started, heard, recoveries = said, when, began, last, times
+                    continue
+                touched = True
+                before, after = MOVES.get(said, ((), status))
+                ok = status in before
+                took = (when - started) / 1e6 if ok and status == "running" and started is not None and when is not None else None
+                out.append((job, said, status, after if ok else status, ok, when, took, recoveries, None, None, "move"))
+                if ok:
+                    status, at, started = after, when, when if after == "running" else started
+            yield flushed()
+        if some:
+            end()
+        yield flushed()
+
+    return run
+
+
+def run_moves(events: DataFrame, path: str, checkpoint: str, stale: float = 300.0):
+    """What there is of a stream of events (job_id, event, at) as moves() says, for very many jobs; kept_moves() reads the moves.
+
+    The states are rows beside the moves of each batch.  A batch's events and
+    the states before it are sorted by job, and each task walks through its jobs,
+    so that a job costs no call of its own.  A batch that is done again reads
+    the states of the batches before it only, and overwrites itself.
+    """
+    spark = events.sparkSession
+
+    def keep(df: DataFrame, batch: int) -> None:
+        none = lambda kind: F.lit(None).cast(kind)
+        rows = df.select("job_id", F.lit(True).alias("is_event"), F.lit(batch).cast("int").alias("batch"), F.col("event").alias("said"), F.unix_micros(F.col("at").cast("timestamp")).alias("at"), none("long").alias("started"), none("long").alias("heard"), none("int").alias("recoveries"))
+        if batch:
+            since = (batch - 1) // WHOLE * WHOLE
+            states = spark.read.schema(f"{_KEPT}, batch int").parquet(path).where((F.col("what") == "state") & (F.col("batch") >= since) & (F.col("batch") < batch))
+            rows = rows.unionByName(states.select("job_id", F.lit(False).alias("is_event"), "batch", F.col("to_status").alias("said"), "at", "started", "heard", "recoveries"))
+        placed = rows.repartition("job_id").sortWithinPartitions("job_id", "is_event", "batch", F.col("at").asc_nulls_last(), F.col("said").asc_nulls_last())
+        walked = placed.mapInArrow(_walk(int((stale or 0) * 1e6), time.time_ns() // 1000, batch % WHOLE == 0), _KEPT)
+        walked.write.mode("overwrite").partitionBy("what").parquet(f"{path}/batch={batch}")
+
+    query = events.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(keep).start()
+    query.awaitTermination()
+    return query
+
+
+def kept_moves(spark: SparkSession, path: str) -> DataFrame:
+    """The moves that run_moves() has kept under path."""
+    rows = spark.read.schema(f"{_KEPT}, batch int").parquet(path).where("what = 'move'")
+    return rows.select("job_id", "event", "from_status", "to_status", "accepted", F.timestamp_micros("at").alias("at"), "seconds", "recoveries")

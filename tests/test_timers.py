@@ -63,3 +63,29 @@ def test_once_forgets(spark, store, tmp_path):
     time.sleep(4)
     put(spark, folder, [("a", "x", 5)])
     assert go(3) == ["a", "a", "b", "c"]
+
+
+def test_moves_of_many_jobs_are_those_of_single_ones(spark, tmp_path, monkeypatch):
+    """Over several batches, with states written anew in between, late events, unknown jobs and a job that goes stale."""
+    monkeypatch.setattr(jobs, "WHOLE", 2)
+    batches = [
+        [("a", "uploaded", 0), ("a", "queue", 1), ("a", "claim", 2), ("b", "complete", 1), ("c", "uploaded", 0), (None, "uploaded", 3)],
+        [("a", "fail", 9), ("c", "claim", 1), ("c", "queue", 2), ("c", "claim", 3)],
+        [("a", "queue", 12), ("a", "claim", 5), ("b", "uploaded", 0), ("a", "odd", 13)],
+        [("c", "complete", 8), ("c", "complete", 8), ("a", "claim", 20), (None, "queue", 4)],
+    ]
+    folder, want, out = f"{tmp_path}/in", f"{tmp_path}/want", f"{tmp_path}/out"
+    for rows in batches:
+        put(spark, folder, rows)
+        events = jobs.messages(spark, folder, "job_id string, event string, at timestamp", 1, "parquet")
+        jobs.run_once(jobs.moves(events), want, f"{want}-c")
+        jobs.run_moves(events, out, f"{out}-c")
+    plain = lambda df: sorted(map(str, df.select("job_id", "event", "from_status", "to_status", "accepted", "at", "seconds", "recoveries").collect()))
+    assert plain(jobs.kept_moves(spark, out)) == plain(spark.read.parquet(want)) and len(plain(jobs.kept_moves(spark, out))) == 18
+    time.sleep(1.1)
+    put(spark, folder, [("z", "uploaded", 0)])
+    jobs.run_moves(events, out, f"{out}-c", stale=1)
+    put(spark, folder, [("a", "claim", 90), ("a", "complete", 97)])
+    jobs.run_moves(events, out, f"{out}-c", stale=1)
+    got = [tuple(r)[:5] + (r.seconds, r.recoveries) for r in jobs.kept_moves(spark, out).where("job_id = 'a'").orderBy("recoveries", "at").collect()]
+    assert got[-3:] == [("a", "claim", "queued", "running", True, None, 1), ("a", "complete", "running", "completed", True, 7.0, 1), ("a", "sweep", "running", "queued", True, None, 1)]
