@@ -173,10 +173,13 @@ class Index:
         The greatest score first, then the greatest rank, rows without one last,
         then the least id; scores are rounded to 6 places, so that the order in
         which they're added up decides nothing.  limit is held between 1 and 50.
-        A query without a word finds nothing.
+        A query without a word finds nothing.  Queries of the same words are
+        worked out once.
         """
         limit = min(50, max(1, limit))
-        bounded = written(self.bounded(queries, query_id, text, limit))
+        said = written(queries.select(F.col(query_id).alias("_id"), F.array_join(words(F.col(text)), " ").alias("_said")))
+        texts = written(said.select("_said").distinct().withColumn("query", F.monotonically_increasing_id()))
+        bounded = written(self.bounded(texts, "query", "_said", limit))
         hit = ["query", "field", "kind", "times", F.explode("rows").alias("r")]
         heavy = self.met(bounded).select(*hit).withColumn("heavy", F.lit(True))
         candidates = heavy.select("query", F.col("r.id").alias("id")).distinct()
@@ -185,4 +188,5 @@ class Index:
         score = F.coalesce(F.sum(F.when(F.col("kind") == "w", F.col("times") * F.col("r.weight"))), F.lit(0.0)) + sum(begun[1:], begun[0])
         found = hits.groupBy("query", F.col("r.id").alias("id"), F.col("r.rank").alias("rank")).agg(F.round(score, 6).alias("score"), F.max("heavy").alias("heavy")).where("heavy")
         place = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), F.col("rank").desc_nulls_last(), "id"))
-        return found.withColumn("place", place).where(F.col("place") <= limit).select(F.col("query").alias(query_id), "place", "id", "rank", "score")
+        best = found.withColumn("place", place).where(F.col("place") <= limit)
+        return best.join(said.join(texts, "_said"), "query").select(F.col("_id").alias(query_id), "place", "id", "rank", "score")

@@ -79,6 +79,17 @@ def test_blocks_are_skipped(spark, tmp_path):
     assert [r[2] for r in got(index.top(asked, 5))] == [r[2] for r in full_scan(rows, [(1, "rare jalan zz")], 5)]
 
 
+def test_queries_of_the_same_words_are_worked_out_once(spark, tmp_path, monkeypatch):
+    rows = [(i, t, float(i % 7)) for i, t in enumerate(texts(120, 3))]
+    queries = [(k, q) for k, q in enumerate(["jalan kl", "Jalan, KL!", "jalan kl", "klang b", None, "", "nothing here"] * 5)]
+    index = build(spark.createDataFrame(rows, "id long, text string, rank double"), f"{tmp_path}/index", "id", "text", "rank")
+    met, bounded = [], Index.bounded
+    monkeypatch.setattr(Index, "bounded", lambda self, df, *rest: met.append(df.count()) or bounded(self, df, *rest))
+    found = got(index.top(spark.createDataFrame(queries, "query_id int, query string"), 4))
+    assert met == [4]  # the empty one is one of them
+    assert [r[:4] for r in found] == [r[:4] for r in full_scan(rows, queries, 4)]
+
+
 def test_empty_table(spark, tmp_path):
     df = spark.createDataFrame([], "id long, text string, rank double")
     index = build(df, f"{tmp_path}/index", "id", "text", "rank")
