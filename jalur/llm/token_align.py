@@ -10,7 +10,9 @@ each end gives one link, and an end of both the same one twice.
 What both tokenisers do to a stretch between blanks doesn't depend on what is
 around it, and tokens of both end where it ends.  So each worker remembers the
 tokens of stretches, and a block of documents has each of its distinct stretches
-once: these are aligned, and a document's groups and links are its stretches' in order.
+once, and each distinct order of ends once: groups and links are worked out from
+the ends as places, then filled with the ids of each stretch that has this order,
+and a document's groups and links are its stretches' in order.
 """
 
 from __future__ import annotations
@@ -33,8 +35,9 @@ REMEMBERED, AT_ONCE, BLOCK = 100_000, 1 << 16, 4 << 20
 #: Pairs of ids that are broadcast at most (some 40 bytes each), those that most documents have.
 FREQUENT = 1 << 17
 _LOW = (1 << 32) - 1
-_ARRAYS = ("a_ids", "a_ends", "b_ids", "b_ends")
-_COLUMNS = ["ids", "codes", "a_ids", "a_ends", "n_a", "b_ids", "b_ends", "n_b"]
+#: What the spelling of groups has besides ids.
+SIGNS = (",", "|", ";")
+_COLUMNS = ["ids", "codes", "tokens", "shapes", "a_ends", "b_ends", "n_a", "n_b"]
 #: Stretches of space + text start with a space that follows no white space.  No pre-token of A and no piece of B crosses their bounds.
 _SPACE = r"\s\x1c-\x1f"
 _STRETCH = regex.compile(rf"[{_SPACE}]++(?:[^{_SPACE}]++(?:(?! )[{_SPACE}]++)?+)*+")
@@ -155,6 +158,35 @@ def _memory(first: bytes, second: bytes, remembered: int) -> Memory:
     return Memory([first_tokens(first), second_tokens(second)], remembered)
 
 
+def _side_by_side(sides: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Each stretch's ids of A, then its ids of B."""
+    stretch_of = np.concatenate([np.repeat(np.arange(len(counts)), counts) for _, counts, _ in sides])
+    return np.concatenate([ids for ids, *_ in sides])[np.argsort(stretch_of, kind="stable")]
+
+
+def _shapes(sides: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[pa.Array]:
+    """For each stretch the number of its shape, and the ends of A and of B in each shape.
+
+    Only the order of ends matters to an alignment, not how many bytes lie
+    between, so ends are counted in a stretch's pieces: the k-th end of either is k.
+    """
+    pieces = np.zeros(max((int(ends[-1]) for *_, ends in sides if len(ends)), default=0) + 1, bool)
+    for *_, ends in sides:
+        pieces[ends] = True
+    number = np.cumsum(pieces)
+    lists, cuts = [], []
+    for _, counts, ends in sides:
+        at, bounds = number[ends], np.concatenate([[0], np.cumsum(counts)])
+        tops = np.concatenate([[0], at])[bounds]  # where the stretches end
+        lists.append(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array((at - np.repeat(tops[:-1], counts)).astype(np.int32))))
+        raw, to = lists[-1].values.to_numpy().tobytes(), (4 * bounds).tolist()
+        cuts.append([raw[lo:hi] for lo, hi in pairwise(to)])
+    numbers: dict[tuple[bytes, ...], int] = {}
+    shapes = np.array([numbers.setdefault(k, len(numbers)) for k in zip(*cuts, strict=True)], np.int32)
+    firsts = pa.array(np.unique(shapes, return_index=True)[1])
+    return [pa.array(shapes), *(x.take(firsts) for x in lists)]
+
+
 def _tokens(models, remembered: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = _memory(*models.value, remembered)
@@ -170,12 +202,14 @@ def _tokens(models, remembered: int):
             one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
             docs = np.cumsum([0, *map(len, codes)])
             places = np.fromiter(chain.from_iterable(codes), np.int64, docs[-1])
-            columns = [one(batch["id"]), one(lists(places, docs))]
+            sides, totals = [], []
             for of, (ids, counts, _) in zip(memory.tokenisers, met, strict=True):
                 ids, counts = ids[np.repeat(whole, counts)], np.where(whole, counts, 0)
-                bounds, ends = np.concatenate([[0], np.cumsum(counts)]), np.cumsum(of.sizes[ids])
-                base = np.concatenate([[0], ends])[bounds[:-1]]
-                columns += [one(lists(ids, bounds)), one(lists(ends - np.repeat(base, counts), bounds)), one(pa.array(np.diff(np.concatenate([[0], np.cumsum(counts[places])])[docs])))]
+                sides.append((ids, counts, np.cumsum(of.sizes[ids])))
+                totals.append(one(pa.array(np.diff(np.concatenate([[0], np.cumsum(counts[places])])[docs]))))
+            both = np.sum([counts for _, counts, _ in sides], axis=0)
+            columns = [one(batch["id"]), one(lists(places, docs)), one(lists(_side_by_side(sides), np.concatenate([[0], np.cumsum(both)])))]
+            columns += [one(x) for x in _shapes(sides)] + totals
             yield pa.RecordBatch.from_arrays(columns, _COLUMNS)
 
     return run
@@ -186,16 +220,17 @@ def tokens(docs: DataFrame, first: str, second: str, id_col: str = "doc_id", tex
 
     ids: the documents' id_col.  codes: for each document its stretches, as
     places in the block's arrays; none where the text is null or empty, or where
-    the bytes of either tokeniser's tokens, joined, aren't space + text.  a_ids,
-    a_ends, b_ids, b_ends: for each stretch the ids of its tokens and where they
-    end, in bytes of the stretch.  n_a, n_b: for each document its tokens.
+    the bytes of either tokeniser's tokens, joined, aren't space + text.
+    tokens: for each stretch A's ids, then B's.  shapes: for each stretch its
+    place in a_ends and b_ends, which have each distinct pair of ends once, in
+    pieces (see _shapes()).  n_a, n_b: for each document its tokens.
 
     first: a byte-level BPE file (JSON) whose pre-tokens keep a space with the
     word after it; second: a piece model.  The driver reads them.
     """
     models = docs.sparkSession.sparkContext.broadcast((Path(first).read_bytes(), Path(second).read_bytes()))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
-    kinds = f"ids array<{rows.schema['id'].dataType.simpleString()}>, " + ", ".join(f"{c} {'array<bigint>' if c.startswith('n_') else 'array<array<int>>'}" for c in _COLUMNS[1:])
+    kinds = f"ids array<{rows.schema['id'].dataType.simpleString()}>, " + ", ".join(f"{c} {'array<bigint>' if c.startswith('n_') else 'array<int>' if c == 'shapes' else 'array<array<int>>'}" for c in _COLUMNS[1:])
     return rows.mapInArrow(_tokens(models, remembered), kinds)
 
 
@@ -208,59 +243,64 @@ def merged_ends(a_ends: Column, b_ends: Column) -> Column:
     return F.sort_array(F.concat(F.transform(a_ends, key(0)), F.transform(b_ends, key(F.lit(1 << 32)))))
 
 
-def _pair(a: Column, b: Column) -> Column:
-    return F.shiftleft(a.cast("long"), 32).bitwiseOR(b.cast("long"))
+def shape(e: Column) -> Column:
+    """What the ends alone say of the stretches that have them: a and b, spelling, and n (groups).
 
-
-def _joined(ids: Column) -> Column:
-    return F.array_join(ids.cast("array<string>"), ",")
-
-
-def _entangled(e: Column) -> Column:
-    """groups (text) and links of a stretch of several groups or of several tokens of both."""
-    a, b = e["a_ids"], e["b_ids"]
+    a, b: for each pair of tokens whose bytes overlap, their places in a
+    stretch's ids.  spelling: places in the ids and SIGNS, one after the other,
+    that make the groups as `a1,a2|b1;a3|b2,b3`.
+    """
+    n_a, n_b = F.size(e["a_ends"]), F.size(e["b_ends"])
     same = lambda m, p: F.shiftright(m[p], 33) == F.shiftright(F.get(m, p - 1), 33)
     which = lambda x: x.bitwiseAND(_LOW).cast("int")
+    place = lambda i, j: F.struct(i.alias("a"), (n_a + j).alias("b"))
 
     def link(m: Column, x: Column, p: Column) -> Column:
-        i = which(x)
         of_a = x.bitwiseAND(1 << 32) == 0
-        return F.when(of_a, _pair(a[i], b[p - i])).when(same(m, p), None).otherwise(_pair(a[p - i], b[i]))
+        return F.when(of_a, place(which(x), p - which(x))).when(same(m, p), None).otherwise(place(p - which(x), which(x)))
 
-    def text(m: Column, ends: Column) -> Column:
+    def spelling(m: Column, ends: Column) -> Column:
         """ends: where in m a group ends; before it is A's last token of the group."""
-        before = lambda k, d: F.coalesce(which(F.get(m, F.get(ends, k - 1) - d)), F.lit(-1))
-        cut = lambda of, m_, p, k, d: _joined(F.slice(of, before(k, d) + 2, which(m_[p - d]) - before(k, d)))
-        return F.array_join(F.transform(ends, lambda p, k: F.concat(cut(a, m, p, k, 1), F.lit("|"), cut(b, m, p, k, 0))), ";")
+        sign = lambda c: F.lit(SIGNS.index(c)) + n_a + n_b
+
+        def part(p: Column, k: Column, d: int, base: Column, opens: str) -> Column:
+            first = F.coalesce(which(F.get(m, F.get(ends, k - 1) - d)), F.lit(-1)) + 1
+            return F.flatten(F.transform(F.sequence(first, which(m[p - d])), lambda i, at: F.array(F.when(at == 0, sign(opens)).otherwise(sign(",")), i + base)))
+
+        whole = F.flatten(F.transform(ends, lambda p, k: F.concat(part(p, k, 1, F.lit(0), ";"), part(p, k, 0, n_a, "|"))))
+        return F.slice(whole, F.lit(2), F.size(whole))  # no sign opens the first group
 
     def both(m: Column) -> Column:
         ends = F.filter(F.sequence(F.lit(1), F.size(m) - 1), lambda p: same(m, p))
-        return F.struct(let(ends, lambda at: text(m, at)).alias("groups"), F.array_compact(F.transform(m, lambda x, p: link(m, x, p))).alias("links"))
+        links = F.array_compact(F.transform(m, lambda x, p: link(m, x, p)))
+        n = F.size(F.array_intersect(e["a_ends"], e["b_ends"])).cast("long")
+        return F.struct(links["a"].alias("a"), links["b"].alias("b"), let(ends, lambda at: spelling(m, at)).alias("spelling"), n.alias("n"))
 
-    return let(merged_ends(e["a_ends"], e["b_ends"]), both)
+    return F.when(n_a > 0, let(merged_ends(e["a_ends"], e["b_ends"]), both))  # null for a stretch that no document has
 
 
-def stretch(e: Column) -> Column:
-    """groups (as `a1,a2|b1;a3|b2,b3`), links (A's id * 2^32 + B's id of each pair whose bytes overlap) and n_groups of a stretch's tokens."""
-    a, b = e["a_ids"], e["b_ids"]
-    made = lambda groups, links, n: F.struct(groups.alias("groups"), links.alias("links"), n.alias("n"))
-    whole = F.concat(_joined(a), F.lit("|"), _joined(b))
-    none = made(F.lit(""), F.array().cast("array<bigint>"), F.lit(0))  # a stretch that no document has
-    out = F.when(F.size(a) == 0, none).when(F.size(a) == 1, made(whole, F.transform(b, lambda y: _pair(a[0], y)), F.lit(1))).when(F.size(b) == 1, made(whole, F.transform(a, lambda x: _pair(x, b[0])), F.lit(1)))
-    return out.otherwise(let(_entangled(e), lambda x: made(x["groups"], x["links"], F.size(F.array_intersect(e["a_ends"], e["b_ends"])))))
+def stretch(e: Column, shapes: Column) -> Column:
+    """groups (as `a1,a2|b1;a3|b2,b3`), links (A's id * 2^32 + B's id of each pair whose bytes overlap) and n (groups) of a stretch's tokens."""
+    ids, of = e["tokens"], shapes[e["shapes"]]
+    texts = F.concat(ids.cast("array<string>"), F.array(*map(F.lit, SIGNS)))
+    groups = let(texts, lambda t: F.array_join(F.transform(of["spelling"], lambda k: t[k]), ""))
+    links = F.zip_with(of["a"], of["b"], lambda i, j: F.shiftleft(ids[i].cast("long"), 32).bitwiseOR(ids[j].cast("long")))
+    return F.struct(groups.alias("groups"), links.alias("links"), of["n"].alias("n"))
 
 
 def aligned(blocks: DataFrame) -> DataFrame:
     """One row a document of tokens(): id, n_a, n_b, n_groups, groups and links, both in order, as stretch() says."""
-    entries = F.arrays_zip(*_ARRAYS)
+    known, docs = F.col("known"), F.arrays_zip("ids", "codes", "n_a", "n_b")
 
-    def document(d: Column, known: Column) -> Column:
+    def document(d: Column) -> Column:
         of = lambda field: F.transform(d["codes"], lambda c: known[c][field])
         n = F.aggregate(d["codes"], F.lit(0).cast("long"), lambda s, c: s + known[c]["n"])
         return F.struct(d["ids"].alias("id"), d["n_a"].alias("n_a"), d["n_b"].alias("n_b"), n.alias("n_groups"), F.array_join(of("groups"), ";").alias("groups"), F.flatten(of("links")).alias("links"))
 
-    docs = let(F.transform(entries, stretch), lambda known: F.transform(F.arrays_zip("ids", "codes", "n_a", "n_b"), lambda d: document(d, known)))
-    return blocks.select(F.inline(docs))
+    # each step's arrays are a column of their own, so that the next reads them packed
+    shaped = blocks.withColumn("known", F.transform(F.arrays_zip("a_ends", "b_ends"), shape))
+    filled = shaped.withColumn("known", F.transform(F.arrays_zip("tokens", "shapes"), lambda e: stretch(e, known)))
+    return filled.select(F.inline(F.transform(docs, document)))
 
 
 def pair_counts(rows: DataFrame) -> DataFrame:

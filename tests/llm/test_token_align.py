@@ -114,6 +114,18 @@ def test_groups_and_links(spark, both):
             assert [int(x) for g in r.groups.split(";") for x in g.split("|")[k].split(",")] == [x for x, *_ in side]
 
 
+def test_an_order_of_ends_is_aligned_once(spark, both):
+    """Stretches whose tokens end in the same order share what is worked out from the ends, however many bytes lie between."""
+    texts = [" ".join(f"{w}{k}" for w in ("the", "alignment", "\u00e9t\u00e9", "x") for k in range(10, 60)), "a a the", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").coalesce(1)
+    for r in tokens(docs, A, B).collect():
+        ends = list(zip(map(tuple, r.a_ends), map(tuple, r.b_ends), strict=True))
+        assert len(set(ends)) == len(ends) < len(r.tokens) // 5
+        assert all(sorted({*a, *b}) == [*range(1, max(a) + 1)] for a, b in ends)
+        assert all(len(t) == sum(map(len, ends[k])) for t, k in zip(r.tokens, r.shapes, strict=True))
+    assert rows(align(docs, A, B)) == brute(both, list(enumerate(texts)))
+
+
 def test_whole_table(spark, both):
     sf_dir = "/root/testdata/sf0.001"
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
