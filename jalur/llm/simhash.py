@@ -34,8 +34,10 @@ from .common import Table, binary_texts, slices, text_key
 from .components import connected
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-#: Pairs of trie nodes that a task holds at once, and pairs of leaves under which a node pair is compared directly.
-FRONTIER, LEAVES = 1 << 15, 32
+#: Pairs of trie nodes that a task holds at once; pairs of leaves up to which node pairs are compared together, and up to which one is compared as a square.
+FRONTIER, LEAVES, SQUARE = 1 << 15, 128, 1 << 15
+#: Of the wide fingerprint's parts so many are compared first, where over one pair in so many of a square has near words.
+FIRST_PARTS, DENSE = 4, 8
 #: Bits of a block by which a sub-trie that is too large is dealt out, at least.
 LEAST_BLOCK = 6
 #: Values of a sub-trie from which on some of them are first compared with all, and so many of them at most.
@@ -161,23 +163,88 @@ class Groups:
                 label[:] = up
 
 
-def trie_groups(values: np.ndarray, top: int, budget: int, wide: np.ndarray | None = None, far: int = 0) -> np.ndarray:
+def _earlier(path: int, turn: int, fixed: int, blocks: int) -> list[np.uint64]:
+    """Masks of the blocks before this sub-trie's own, at each of its levels, where they are in its values.
+
+    Another sub-trie has the pairs that agree in one of them wholly.
+    """
+    width = 64 // blocks
+    at, top, before = np.roll(np.arange(64), -turn), width, [range(b, b + width) for b in range(0, turn, width)]
+    tops = []
+    while top < fixed:
+        tops.append(top)
+        top += (64 - top) // blocks
+    for level, top in enumerate(tops):
+        b, rest = path // (blocks + 1) ** (len(tops) - 1 - level) % (blocks + 1) - 1, 64 - top
+        tail = at[top:]
+        before += [tail[c * rest // blocks : c * rest // blocks + rest // blocks] for c in range(b)]
+        at = np.r_[at[:top], np.roll(tail, -(b * rest // blocks))]
+    place = np.argsort(at)
+    return [np.bitwise_or.reduce(np.uint64(1) << (63 - place[list(bits)]).astype(np.uint64)) for bits in before]
+
+
+def trie_groups(values: np.ndarray, top: int, budget: int, wide: np.ndarray | None = None, far: int = 0, earlier: list[np.uint64] | None = None, side: np.ndarray | None = None) -> np.ndarray:
     """For each of the sorted unsigned values the position of the first of its group.
 
     Values with the same top bits are linked if they differ in budget bits or
     fewer and, if wide has a row of 64-bit parts for each, these in far or fewer.
     Node pairs all of whose values are in one group already aren't walked any
-    further, so that a crowd of copies doesn't cost its square.
+    further, so that a crowd of copies doesn't cost its square.  Left to others
+    are pairs that agree in all bits of a mask of earlier, and those of one side.
     """
     groups, n = Groups(len(values)), len(values)
+    earlier = earlier or []
+    parts = [np.ascontiguousarray(wide[:, k]) for k in range(wide.shape[1])] if wide is not None else []
+    room = {kind: np.empty(SQUARE, kind) for kind in (np.uint64, np.uint8, bool)}
+    more = np.empty(SQUARE, np.uint8)
 
-    def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        ok = np.bitwise_count(values[i] ^ values[j]) <= budget
+    def near(i: np.ndarray, j: np.ndarray, known: bool = False) -> np.ndarray:
+        ok = np.ones(len(j), bool) if known else np.bitwise_count(values[i] ^ values[j]) <= budget
         if wide is not None and ok.any():
             at = np.flatnonzero(ok)
             ok[at] = np.bitwise_count(wide[i[at]] ^ wide[j[at]]).sum(1) <= far
         return ok
 
+    def ours(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        ok = i < j
+        ok &= groups.label[i] != groups.label[j]
+        if earlier:
+            differ = values[i] ^ values[j]
+            for mask in earlier:
+                ok &= differ & mask != 0
+        if side is not None:
+            ok &= side[i] != side[j]
+        return ok
+
+    def square(a: int, b: int, c: int, d: int) -> None:
+        """All pairs of two nodes; first those whose words and then whose first parts are near, without fetching a pair."""
+        turned = b - a > d - c  # the longer side is the one that lies together
+        if turned:
+            a, b, c, d = c, d, a, b
+        shape = (b - a, d - c)
+        bits, count, ok = (x[: shape[0] * shape[1]].reshape(shape) for x in room.values())
+        equal = values[a] == values[b - 1] == values[c] == values[d - 1]
+        if not equal:
+            np.less_equal(np.bitwise_count(np.bitwise_xor(values[a:b, None], values[c:d], out=bits), out=count), budget, out=ok)
+        at = np.arange(ok.size) if equal else np.flatnonzero(ok)
+        if len(at) * DENSE > ok.size and len(parts) > FIRST_PARTS:
+            # eight bits hold these parts' sum but for one value, which is taken for 0 and so compared in full
+            added = more[: ok.size].reshape(shape)
+            for k, part in enumerate(parts[:FIRST_PARTS]):
+                np.bitwise_count(np.bitwise_xor(part[a:b, None], part[c:d], out=bits), out=added if k else count)
+                if k:
+                    np.add(count, added, out=count)
+            near_parts = np.less_equal(count, far)
+            at = np.flatnonzero(near_parts if equal else near_parts & ok)
+        if len(at):
+            i, j = a + at // shape[1], c + at % shape[1]
+            if turned:
+                i, j = j, i
+            mine = ours(i, j)
+            i, j = i[mine], j[mine]
+            linked = near(i, j, known=True)
+            groups.join(i[linked], j[linked])
+
     key = values >> np.uint64(64 - top) if top else np.zeros(n, np.uint64)
     lo = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if n else np.zeros(0, np.int64)
     hi = np.r_[lo[1:], n] if n else lo
@@ -193,6 +260,7 @@ def trie_groups(values: np.ndarray, top: int, budget: int, wide: np.ndarray | No
             at = near(i, members)
             groups.join(i[at], members[at])
             alone = alone[1:][~at[alone[1:] - first]]
+    sides = np.cumsum(np.r_[0, side[1:] != side[:-1]]) if side is not None else None
     todo = [(63 - top, np.stack([lo, hi, lo, hi, np.zeros(len(lo), np.int64)])[:, many])]
     while todo:
         bit, pairs = todo.pop()
@@ -204,6 +272,10 @@ def trie_groups(values: np.ndarray, top: int, budget: int, wide: np.ndarray | No
         turns = np.cumsum(np.r_[0, label[1:] != label[:-1]])
         a, b, c, d, differ = pairs
         done = (turns[a] == turns[b - 1]) & (turns[c] == turns[d - 1]) & (label[a] == label[c])
+        if earlier:  # equal values agree in every block
+            done |= (values[a] == values[b - 1]) & (values[a] == values[c]) & (values[a] == values[d - 1])
+        if sides is not None:
+            done |= (sides[a] == sides[b - 1]) & (sides[c] == sides[d - 1]) & (side[a] == side[c])
         pairs = pairs[:, ~done]
         a, b, c, d, differ = pairs
         few = (b - a) * (d - c) <= LEAVES
@@ -214,12 +286,20 @@ def trie_groups(values: np.ndarray, top: int, budget: int, wide: np.ndarray | No
             nth = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
             width = (p[3] - p[2])[owner]
             i, j = p[0][owner] + nth // width, p[2][owner] + nth % width
-            apart = (i < j) & (label[i] != label[j])
-            i, j = i[apart], j[apart]
-            at = near(i, j)
+            close = np.bitwise_count(values[i] ^ values[j]) <= budget
+            i, j = i[close], j[close]
+            mine = ours(i, j)
+            i, j = i[mine], j[mine]
+            at = near(i, j, known=True)
             groups.join(i[at], j[at])
             pairs = pairs[:, ~few]
             a, b, c, d, differ = pairs
+        some = (b - a) * (d - c) <= SQUARE
+        if some.any():
+            for sides_of in pairs[:4, some].T.tolist():
+                square(*sides_of)
+            pairs = pairs[:, ~some]
+            a, b, c, d, differ = pairs
         if not pairs.shape[1]:
             continue
 
@@ -253,7 +333,9 @@ def links(values: DataFrame, budget: int = 3, at_most: int = 250_000, far: int |
     a fingerprint of theirs differs in budget bits or fewer, and wide in far or
     fewer.  Of each sub-trie every group is returned as a star, so there are at
     most budget + 1 edges a fingerprint, or that many times more where sub-tries
-    of over at_most values were split.
+    of over at_most values were split.  Where that doesn't help, as one value is
+    over half of at_most or few bits are left, their values are dealt
+    into chunks, and each pair of chunks is a task's.
     """
     spark, blocks = values.sparkSession, budget + 1
     width = 64 // blocks
@@ -267,14 +349,16 @@ def links(values: DataFrame, budget: int = 3, at_most: int = 250_000, far: int |
     level = Table(level.withColumn("head", head))
     ready: list[Table] = []
     while True:
-        # a block of fewer bits than this deals out less than it repeats
-        sizes = level.df.where(f"(64 - fixed) div {blocks} >= {LEAST_BLOCK}").groupBy(*on).count().where(F.col("count") > at_most)
-        large = Table(sizes.drop("count"))
+        large = Table(level.df.groupBy(*on).agg(F.count("*").alias("n")).where(F.col("n") > at_most))
         if large.df.isEmpty():
             large.drop()
             break
         ready.append(Table(level.df.join(large.df, on, "left_anti")))
-        hot = level.df.join(large.df, on, "left_semi")
+        same = level.df.join(large.df, on, "left_semi").groupBy(*on, "value").count().groupBy(*on).agg(F.max("count").alias("same"))
+        # a block of fewer bits than LEAST_BLOCK deals out less than it repeats
+        sizes = Table(large.df.join(same, on).withColumn("whole", F.expr(f"2 * same > {at_most} or (64 - fixed) div {blocks} < {LEAST_BLOCK}")))
+        ready.append(Table(_chunks(level.df.join(sizes.df.where("whole"), on), at_most)))
+        hot = level.df.join(sizes.df.where("not whole"), on, "left_semi")
         # the bits below the shared ones, once more in blocks: block b of the rest comes next to the shared ones
         parts = []
         for b in range(blocks):
@@ -284,19 +368,33 @@ def links(values: DataFrame, budget: int = 3, at_most: int = 250_000, far: int |
             moved = f"(shiftleft({tail}, {step}) | shiftrightunsigned({tail}, {rest} - {step})) & (shiftleft(1L, {rest}) - 1)"
             parts.append(F.struct(F.expr(f"(value & ~(shiftleft(1L, {rest}) - 1)) | ({moved})").alias("value"), F.col("turn"), F.expr(f"fixed + (64 - fixed) div {blocks}").cast("int").alias("fixed"), (F.col("path") * (blocks + 1) + b + 1).alias("path")))
         new = Table(hot.select(F.explode(F.array(*parts)).alias("x"), *carried).select("x.*", *carried).withColumn("head", head))
-        level.drop()
-        large.drop()
+        for table in (level, large, sizes):
+            table.drop()
         level = new
     ready.append(level)
     schema = T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType())])
     out = None
     for table in ready:
-        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-table.df.count() // at_most))
-        edges = table.df.repartition(n, *on).select("value", "turn", "fixed", "path", *carried).mapInArrow(_stars(budget, far), schema)
+        rows = table.df.count()
+        if not rows and out is not None:
+            continue
+        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // at_most))
+        dealt = [c for c in ("part", "side") if c in table.df.columns]
+        edges = table.df.repartition(n, *on, *dealt[:1]).select("value", "turn", "fixed", "path", *carried, *dealt).mapInArrow(_stars(budget, far), schema)
         out = edges if out is None else out.unionAll(edges)
     return out
 
 
+def _chunks(rows: DataFrame, at_most: int) -> DataFrame:
+    """rows of sub-tries of n rows, each once in every part that has its chunk; side: the chunk, in parts of two chunks."""
+    # two chunks hold at_most rows
+    g = f"cast(ceil(2 * n / {at_most}) as int)"
+    mine = rows.withColumn("_mine", F.expr(f"pmod(xxhash64(node), {g})"))
+    out = mine.withColumn("_other", F.explode(F.expr(f"sequence(0, {g} - 1)")))
+    out = out.withColumn("part", F.expr(f"least(_mine, _other) * {g} + greatest(_mine, _other)"))
+    return out.withColumn("side", F.expr("if(_mine = _other, -1, _mine)").cast("long")).drop("_mine", "_other", "n", "same", "whole")
+
+
 def _stars(budget: int, far: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
@@ -305,15 +403,17 @@ def _stars(budget: int, far: int | None):
         columns = [[c.to_numpy(zero_copy_only=False) for c in b.columns[:5]] for b in held]
         value, turn, fixed, path, node = (np.concatenate(x) for x in zip(*columns, strict=True))
         wide = np.concatenate([np.frombuffer(b"".join(b.column("wide").to_pylist()), np.uint64).reshape(b.num_rows, -1) for b in held]) if far is not None else None
+        part, side = (np.concatenate([b.column(c).to_numpy() for b in held]) if c in held[0].schema.names else np.full(len(value), -1) for c in ("part", "side"))
         value = value.view(np.uint64)
-        kinds = np.stack([path, turn, fixed])
-        order = np.lexsort((node, value, *kinds))
-        value, node, kinds = value[order], node[order], kinds[:, order]
+        kinds = np.stack([path, turn, fixed, part, side >= 0])
+        order = np.lexsort((node, side, value, *kinds))
+        value, node, side, kinds = value[order], node[order], side[order], kinds[:, order]
         if wide is not None:
             wide = wide[order]
         cut = np.flatnonzero(np.any(kinds[:, 1:] != kinds[:, :-1], axis=0)) + 1
         for lo, hi in zip(np.r_[0, cut], np.r_[cut, len(value)], strict=True):
-            first = trie_groups(value[lo:hi], int(kinds[2, lo]), budget, None if wide is None else wide[lo:hi], far or 0)
+            earlier = _earlier(*kinds[:3, lo].tolist(), budget + 1)
+            first = trie_groups(value[lo:hi], int(kinds[2, lo]), budget, None if wide is None else wide[lo:hi], far or 0, earlier, side[lo:hi] if side[lo] >= 0 else None)
             member = np.flatnonzero(first != np.arange(hi - lo))
             yield pa.RecordBatch.from_arrays([pa.array(node[lo:hi][member]), pa.array(node[lo:hi][first[member]])], names=["u", "v"])
 

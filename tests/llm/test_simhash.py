@@ -141,6 +141,91 @@ def test_near_copies(spark, at_most):
         assert not any(linked(i, j) for s, i, j in pairs if s < 0.6)
 
 
+@pytest.mark.parametrize("at_most", [100_000, 120])
+def test_a_crowd_of_unlike_texts_with_the_same_word_fingerprints(spark, at_most):
+    """A word that is half of a text or more makes its word fingerprints by itself; only the shingles tell such texts apart."""
+    rng = np.random.default_rng(8)
+    crowd = [[x for w in rng.integers(0, 4000, rng.integers(30, 60)) for x in (f"t{w}", "|")] + ["|"] for _ in range(300)]
+    crowd += [edited(rng, crowd[k], 0.01) for k in range(0, 300, 6)] + [[*crowd[k], "end", "|"] for k in range(3, 300, 12)]
+    rows = list(enumerate(" ".join(words) for words in crowd))
+    prints = np.array([simhash.wide_fingerprint(t.encode(), {}) for _, t in rows])
+    assert np.unique(prints[:, 0], return_counts=True)[1].max() >= 250
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = kept_of(rows)
+    assert 290 <= len(want) < 340
+    assert sorted((r.doc_id, r.text) for r in simhash.one_of_each(docs, at_most=at_most).collect()) == want
+
+
+def test_no_task_holds_a_crowd(spark, monkeypatch):
+    """Of a value that is there many times, no part of a sub-trie has more than some at_most rows."""
+
+    def sizes(budget, far):
+        def run(batches):
+            import pyarrow as pa
+
+            for b in batches:
+                rows = list(zip(*(b.column(c).to_pylist() for c in ("path", "turn", "fixed", "value", *(["part"] if "part" in b.schema.names else []))), strict=True))
+                seen = {x: rows.count(x) for x in set(rows)}
+                yield pa.RecordBatch.from_arrays([pa.array(list(seen.values()), pa.int64()), pa.array([0] * len(seen), pa.int64())], names=["u", "v"])
+
+        return run
+
+    monkeypatch.setattr(simhash, "_stars", sizes)
+    values = spark.range(600).select(F.col("id").alias("node"), F.lit(77).cast("long").alias("fingerprint"), F.lit(0).alias("path"), F.lit(b"").alias("wide"))
+    found = [r.u for r in simhash.links(values, 3, 100, 90).collect()]
+    assert max(found) <= 150  # two chunks of some 50
+    assert sum(found) <= 4 * 600 * 13  # each value once for each pair of chunks and turn
+
+
+def test_a_crowd_costs_little_more_than_its_plain_comparison():
+    import time
+
+    rng = np.random.default_rng(4)
+    wide = rng.integers(0, 1 << 64, (4000, 8), dtype=np.uint64)
+    values = np.full(4000, 5, np.uint64)
+
+    def plain_pairs():
+        for k in range(0, 4000, 100):
+            sum(np.bitwise_count(wide[k : k + 100, None, p] ^ wide[k:, p]) for p in range(8)).min()
+
+    def spent(f):
+        at = time.process_time()
+        f()
+        return time.process_time() - at
+
+    groups = []
+    walk = min(spent(lambda: groups.append(simhash.trie_groups(values, 16, 3, wide, 90))) for _ in range(3))
+    assert np.array_equal(groups[-1], np.arange(4000))
+    assert walk < 4 * min(spent(plain_pairs) for _ in range(3))
+
+
+@pytest.mark.parametrize("levels", [0, 1, 2])
+def test_each_pair_has_one_sub_trie(levels):
+    """Of the sub-tries in which two values agree, just one has the pair: the earlier ones' blocks are masked in the others."""
+    rng = np.random.default_rng(6)
+
+    def places(x, y, turn, path=1, fixed=16):
+        """Sub-tries (level by level) that hold both: (path, turn, fixed, their values there)."""
+        if x >> (64 - fixed) != y >> (64 - fixed):
+            return
+        if len(range(16, fixed)) == sum((12, 9, 6)[:levels]):
+            yield path, turn, fixed, x, y
+            return
+        rest, full = 64 - fixed, (1 << (64 - fixed)) - 1
+        for b in range(4):
+            step = b * rest // 4
+            moved = [z & ~full | ((z & full) << step | (z & full) >> (rest - step)) & full for z in (x, y)]
+            yield from places(*moved, turn, path * 5 + b + 1, fixed + rest // 4)
+
+    for _ in range(300):
+        x = int(rng.integers(0, 1 << 63)) * 2 + 1
+        y = x ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 4), replace=False))
+        turned = lambda z, t: (z << t | z >> (64 - t)) & ((1 << 64) - 1)
+        held = [p for t in (0, 16, 32, 48) for p in places(turned(x, t), turned(y, t), t)]
+        ours = [p for p in held if all((p[3] ^ p[4]) & int(m) for m in simhash._earlier(*p[:3], 4))]
+        assert held and len(ours) == 1
+
+
 def test_recall_on_the_given_table():
     """Of the pairs of texts whose five-word shingles agree by 0.8 or more, found through their least shingle hashes, nine in ten pass both fingerprints."""
     import duckdb
